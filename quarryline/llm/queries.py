@@ -6,7 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import minhash
+from quarryline.llm import linededup, minhash
 from quarryline.llm.common import id_text
 from quarryline.sources.tables import table
 
@@ -16,5 +16,9 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(docs, ngram=3, threshold=Fraction(85, 100)).drop("class_id")
 
 
-QUERIES = {"op1_minhash": op1_minhash}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(id_text(table(spark, sf_dir, "documents"))).drop("kept_text")
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op9_line_dedup": op9_line_dedup}
 ORACLES: dict[str, str] = {}
