@@ -6,7 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import linededup, minhash
+from quarryline.llm import linededup, minhash, winnow
 from quarryline.llm.common import id_text
 from quarryline.sources.tables import table
 
@@ -20,5 +20,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(id_text(table(spark, sf_dir, "documents"))).drop("kept_text")
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op9_line_dedup": op9_line_dedup}
+def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.decontaminate(id_text(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return winnow.with_digest(found)
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op9_line_dedup": op9_line_dedup, "op10_winnow": op10_winnow}
 ORACLES: dict[str, str] = {}
