@@ -69,3 +69,14 @@ def crc32_mod(id_column: Column, modulus: int) -> Column:
 
 def crc32_mod_py(value: int, modulus: int) -> int:
     return zlib.crc32(str(value).encode()) % modulus
+
+
+def process_cache(name: str, make):
+    """One object a Python process, shared by the tasks that a reused worker runs one after another."""
+    import sys
+    from types import ModuleType
+
+    held = sys.modules.setdefault("quarryline_process_cache", ModuleType("quarryline_process_cache")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]

@@ -6,8 +6,9 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import linededup, minhash, winnow
+from quarryline.llm import huffman, linededup, minhash, winnow
 from quarryline.llm.common import id_text
+from quarryline.session import scratch_path
 from quarryline.sources.tables import table
 
 
@@ -16,6 +17,18 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(docs, ngram=3, threshold=Fraction(85, 100)).drop("class_id")
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_huffman(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    path = scratch_path(spark, "huffman")
+    huffman.write_ids(id_text(table(spark, sf_dir, "documents")), path, tokenizer or word_tokenizer())
+    return huffman.read_ids(spark, path)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(id_text(table(spark, sf_dir, "documents"))).drop("kept_text")
 
@@ -25,5 +38,5 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.with_digest(found)
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op9_line_dedup": op9_line_dedup, "op10_winnow": op10_winnow}
+QUERIES = {"op1_minhash": op1_minhash, "op7_huffman": op7_huffman, "op9_line_dedup": op9_line_dedup, "op10_winnow": op10_winnow}
 ORACLES: dict[str, str] = {}
