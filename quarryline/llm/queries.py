@@ -6,7 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import huffman, linededup, minhash, winnow
+from quarryline.llm import huffman, linededup, minhash, secrets, winnow
 from quarryline.llm.common import id_text
 from quarryline.session import scratch_path
 from quarryline.sources.tables import table
@@ -29,6 +29,10 @@ def op7_huffman(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return huffman.read_ids(spark, path)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(id_text(table(spark, sf_dir, "documents")))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(id_text(table(spark, sf_dir, "documents"))).drop("kept_text")
 
@@ -38,5 +42,5 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.with_digest(found)
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op7_huffman": op7_huffman, "op9_line_dedup": op9_line_dedup, "op10_winnow": op10_winnow}
+QUERIES = {"op1_minhash": op1_minhash, "op7_huffman": op7_huffman, "op8_secrets": op8_secrets, "op9_line_dedup": op9_line_dedup, "op10_winnow": op10_winnow}
 ORACLES: dict[str, str] = {}
