@@ -5,9 +5,10 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarryline.llm import huffman, linededup, minhash, secrets, winnow
-from quarryline.llm.common import id_text
+from quarryline.llm import huffman, langid, linededup, minhash, secrets, toxicity, winnow
+from quarryline.llm.common import crc32_mod, id_text
 from quarryline.session import scratch_path
 from quarryline.sources.tables import table
 
@@ -17,6 +18,20 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(docs, ngram=3, threshold=Fraction(85, 100)).drop("class_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = id_text(table(spark, sf_dir, "documents"))
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), folds=3, out_fold=1)
+    out = toxicity.score(docs, chain, with_spans=False)
+    held = F.coalesce(crc32_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    model = langid.train(docs.where(crc32_mod(F.col("doc_id"), 5) != 0))
+    return langid.held_out(langid.predict(docs.select("doc_id", "text"), model), 5)
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -42,5 +57,5 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.with_digest(found)
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op7_huffman": op7_huffman, "op8_secrets": op8_secrets, "op9_line_dedup": op9_line_dedup, "op10_winnow": op10_winnow}
+QUERIES = {"op1_minhash": op1_minhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_huffman": op7_huffman, "op8_secrets": op8_secrets, "op9_line_dedup": op9_line_dedup, "op10_winnow": op10_winnow}
 ORACLES: dict[str, str] = {}
