@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import huffman, langid, linededup, minhash, secrets, toxicity, winnow
+from quarryline.llm import huffman, langid, linededup, minhash, secrets, sketch, toxicity, winnow
 from quarryline.llm.common import crc32_mod, id_text
 from quarryline.session import scratch_path
 from quarryline.sources.tables import table
@@ -18,6 +18,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(docs, ngram=3, threshold=Fraction(85, 100)).drop("class_id")
 
 
+def op4_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(id_text(table(spark, sf_dir, "documents")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = id_text(table(spark, sf_dir, "documents"))
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), folds=3, out_fold=1)
@@ -57,5 +61,5 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.with_digest(found)
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_huffman": op7_huffman, "op8_secrets": op8_secrets, "op9_line_dedup": op9_line_dedup, "op10_winnow": op10_winnow}
+QUERIES = {"op1_minhash": op1_minhash, "op4_sketch": op4_sketch, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_huffman": op7_huffman, "op8_secrets": op8_secrets, "op9_line_dedup": op9_line_dedup, "op10_winnow": op10_winnow}
 ORACLES: dict[str, str] = {}
