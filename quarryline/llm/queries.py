@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import huffman, langid, linededup, minhash, secrets, sketch, toxicity, winnow
+from quarryline.llm import huffman, langid, linededup, minhash, mixing, pii, secrets, sketch, toxicity, winnow
 from quarryline.llm.common import crc32_mod, id_text
 from quarryline.session import scratch_path
 from quarryline.sources.tables import table
@@ -18,6 +18,16 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(docs, ngram=3, threshold=Fraction(85, 100)).drop("class_id")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str, key: str = "quarryline") -> DataFrame:
+    """The key is a parameter; a real one belongs in the deployment's secret store."""
+    return pii.pseudonymise(id_text(table(spark, sf_dir, "documents")), key)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_topic").alias("topic"), F.col("_words").alias("n_words"), F.round("_p", 9).alias("probability"), F.col("_kept").alias("kept"))
+
+
 def op4_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(id_text(table(spark, sf_dir, "documents")))
 
@@ -61,5 +71,5 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.with_digest(found)
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op4_sketch": op4_sketch, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_huffman": op7_huffman, "op8_secrets": op8_secrets, "op9_line_dedup": op9_line_dedup, "op10_winnow": op10_winnow}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_minhash": op1_minhash, "op2_pii": op2_pii, "op3_mixing": op3_mixing, "op4_sketch": op4_sketch, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_huffman": op7_huffman, "op8_secrets": op8_secrets, "op9_line_dedup": op9_line_dedup, "op10_winnow": op10_winnow}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.oracle()}
