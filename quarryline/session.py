@@ -54,18 +54,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete this application's scratch tables beyond the first ``keep``.
+def scratch_paths(spark: SparkSession) -> list[str]:
+    """The scratch tables that this application has made and not released."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
 
-    Call it once the results that read them have been written.
-    """
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables. Only for those whose readers' results have been written."""
     made = _made.get(spark.sparkContext.applicationId, [])
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while len(made) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(made.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
-def scratch_mark(spark: SparkSession) -> int:
-    """How many scratch tables there are now, for ``release(keep=...)``."""
-    return len(_made.get(spark.sparkContext.applicationId, []))
+    for path in paths:
+        if path in made:
+            made.remove(path)
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
