@@ -268,3 +268,22 @@ def _check_rest(members: DataFrame, comp: DataFrame, texts: DataFrame, ngram: in
     sides = tasks.select("cluster", "task", "key", F.lit(0).alias("side")).unionAll(tasks.where("key != other").select("cluster", "task", F.col("other").alias("key"), F.lit(1).alias("side")))
     groups = keyed.join(sides, ["cluster", "key"]).select("task", "side", "node", "label").join(texts, "node").groupBy("task")
     return materialize(groups.applyInArrow(_verify_blocks(ngram, threshold), "a long, b long"), "rest")
+
+
+def deduplicated(docs: DataFrame, ngram: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """One document of each component, with all its columns: the one of the smallest doc_id.
+
+    Rows without shingles or doc_id stay. Of rows that repeat a doc_id and its
+    text one stays; rows that repeat a doc_id with other texts stay or go by
+    their own texts' components.
+    """
+    pairs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    found = near_dedup(pairs, ngram, threshold)
+    gone = materialize(found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "decided")
+    dropped, repeated = gone.where("not kept").select("doc_id"), gone.where("kept and rows > 1").select("doc_id")
+    kept = docs.join(_small(dropped, dropped.count()), "doc_id", "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return kept
+    side = _small(repeated, repeated.count())
+    once = kept.join(side, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(side, "doc_id", "left_anti").unionAll(once).select(docs.columns)

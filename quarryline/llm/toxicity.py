@@ -326,3 +326,23 @@ def score(docs: DataFrame, chain: Chain, with_spans: bool = True) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # weights of features of the bounded sample
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(_score(shared, with_spans), OUT if with_spans else "doc_id long, score double")
+
+
+def _keep(shared, text_at: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(shared.value)
+        for part in slices(batches):
+            ps = tagger.marginals([tokens_of(t) for t in part.column(text_at).to_pylist()])
+            score = 1 / (1 + np.exp(-np.clip(np.array([document_features(p) for p in ps]) @ tagger.chain.document, -30, 30)))
+            yield part.filter(pa.array(score < threshold))
+
+    return run
+
+
+def reject(docs: DataFrame, chain: Chain, threshold: float = REJECT) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``, with all their columns; a narrow operation.
+
+    Null ids, null texts and repeated rows are judged by their text alone.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    return docs.mapInArrow(_keep(shared, docs.columns.index("text"), threshold), docs.schema)

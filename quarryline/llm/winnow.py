@@ -119,28 +119,32 @@ class Block:
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.int64())), ("contaminated", pa.bool_())])
 
 
-def _scan(blocks: list, window: int, k: int):
-    w = window - k + 1
+def _match(texts: list[str | None], blocks: list, window: int, k: int, hashes: WordHashes) -> tuple[list[np.ndarray], list[set[int]]]:
+    """Hit words and found items of each text, over all blocks."""
+    docs = [hashes.of(words_of(t)) for t in texts]
+    hit = [np.zeros(len(d), bool) for d in docs]
+    found: list[set[int]] = [set() for _ in docs]
+    prints = []
+    for d in docs:
+        gram = grams(d, k)
+        prints.append((gram, winnow(gram, window - k + 1)))
+    for shared in blocks:
+        block = shared.value
+        for i, d in enumerate(docs):
+            found[i] |= {block.names[j] for j in block.hits(d, *prints[i], hit[i])}
+        if len(blocks) > 1:
+            block = shared._value = None  # the next block takes its place in memory
+            del shared._value
+    return hit, found
+
 
+def _scan(blocks: list, window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in slices(batches):
-            docs = [hashes.of(words_of(t)) for t in part.column(1).to_pylist()]
-            hit = [np.zeros(len(d), bool) for d in docs]
-            found: list[set[int]] = [set() for _ in docs]
-            prints = []
-            for d in docs:
-                gram = grams(d, k)
-                prints.append((gram, winnow(gram, w)))
-            for shared in blocks:
-                block = shared.value
-                for i, d in enumerate(docs):
-                    found[i] |= {block.names[j] for j in block.hits(d, *prints[i], hit[i])}
-                if len(blocks) > 1:
-                    block = shared._value = None  # the next block takes its place in memory
-                    del shared._value
+            hit, found = _match(part.column(1).to_pylist(), blocks, window, k, hashes)
             n = [int(h.sum()) for h in hit]
-            columns = [part.column(0), pa.array([len(d) for d in docs], pa.int64()), pa.array(n, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([sorted(f) for f in found], pa.list_(pa.int64())), pa.array([x > 0 for x in n])]
+            columns = [part.column(0), pa.array([len(h) for h in hit], pa.int64()), pa.array(n, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([sorted(f) for f in found], pa.list_(pa.int64())), pa.array([x > 0 for x in n])]
             yield pa.RecordBatch.from_arrays(columns, schema=OUT)
 
     return run
@@ -160,6 +164,31 @@ def _blocks(rows: Iterable, limit: int) -> Iterator[list[tuple[int, list[bytes]]
         yield held
 
 
+def _broadcast(benchmark: DataFrame, window: int, k: int, block_words: int) -> list:
+    sc = benchmark.sparkSession.sparkContext
+    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), "text").toLocalIterator()
+    return [sc.broadcast(Block(b, window, k)) for b in _blocks(items, block_words)]
+
+
+def _clean(blocks: list, window: int, k: int, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part in slices(batches):
+            hit, _ = _match(part.column(text_at).to_pylist(), blocks, window, k, hashes)
+            yield part.filter(pa.array([not h.any() for h in hit], pa.bool_()))
+
+    return run
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` without a hit, with all their columns; a narrow operation.
+
+    Null ids, null texts and repeated rows are judged by their text alone.
+    """
+    blocks = _broadcast(benchmark, window, k, block_words)
+    return docs.mapInArrow(_clean(blocks, window, k, docs.columns.index("text")), docs.schema)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items, contaminated`` for each row of ``docs(doc_id, text)``.
 
@@ -170,10 +199,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     """
     if not 0 < k <= window:
         raise ValueError("k must be between 1 and window")
-    sc = docs.sparkSession.sparkContext
+    blocks = _broadcast(benchmark, window, k, block_words)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), "text").toLocalIterator()
-    blocks = [sc.broadcast(Block(b, window, k)) for b in _blocks(items, block_words)]
     kinds = "doc_id long, n_words long, n_hit long, n_items long, items array<long>, contaminated boolean"
     return docs.mapInArrow(_scan(blocks, window, k), kinds)
 
