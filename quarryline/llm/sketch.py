@@ -93,22 +93,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text and smallest sketch. A single document is its own next. Empty table: no
     rows.
 
-    Texts are shuffled once, with their sketches, and a third of each once more.
+    Texts are shuffled once, and a third of each once more, with its sketch.
     """
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own = docs.where("doc_id is not null").select("doc_id", "text", sketch(F.col("text")).alias("sketch"))
-    links = neighbours(docs.where("doc_id is not null"))
-    lengths = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+    docs = docs.select(docs["doc_id"].cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("body"))
+    own = docs.where("id is not null")
+    links = neighbours(own.select(F.col("id").alias("doc_id")))
+    lengths = own.groupBy(F.col("id").alias("doc_id")).agg(F.max(F.length("body")).alias("n"))
     links = materialize(links.join(lengths, "doc_id").select(F.col("next_id").alias("giver"), F.col("doc_id").alias("taker"), (F.col("n") / 3).cast("long").alias("n")), "links")
-    given = own.join(links, own.doc_id == links.giver).select("taker", F.substring(F.col("text"), F.lit(1), F.col("n").cast("int")).alias("head"), F.col("sketch").alias("next"))
+    # Both joins read one exchange of the bare texts. For that its two plans must be alike: new column names, since
+    # an alias of the same name is dropped on one side of a self-join only, and sketches computed after the exchange.
+    given = own.join(links.hint("shuffle_merge"), own.id == links.giver).select("taker", F.substring(F.col("body"), F.lit(1), F.col("n").cast("int")).alias("head"), sketch(F.col("body")).alias("next"))
     given = given.groupBy("taker").agg(F.min("head").alias("head"), F.min("next").alias("next"))
-    whole = own.join(given, own.doc_id == given.taker)
-    lone = docs.where("doc_id is null").select("doc_id", "text", sketch(F.col("text")).alias("sketch"), F.lit("").alias("head"), F.lit(None).cast("array<int>").alias("next"))
-    rows = whole.select("doc_id", "text", "sketch", "head", "next").unionAll(lone)
+    whole = own.join(given.hint("shuffle_merge"), own.id == given.taker)
+    lone = docs.where("id is null").select("id", "body", F.lit("").alias("head"), F.lit(None).cast("array<int>").alias("next"))
+    rows = whole.select("id", "body", "head", "next").unionAll(lone).select(F.col("id").alias("doc_id"), F.col("body").alias("text"), "head", "next")
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("head"), F.lit(1), cut))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next")
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text")).alias("sketch"), "next")
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", sketch(F.col("edited")).alias("edited_sketch"), "next")
     return rows.select(
         "doc_id",
