@@ -55,53 +55,110 @@ class ChunkEncoder:
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.by_chunk = [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in splits] == ["Split", "ByteLevel"] and splits[0]["invert"] and splits[0]["behavior"] == "Removed" and r"[^\s\p{L}\p{N}]+" in splits[0]["pattern"].get("Regex", "") and not any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
         self.marks = [t["content"].encode() for t in spec["added_tokens"]]
-        self.cache: dict[bytes, bytes] = {}
+        self.kind = id_type(self.tokenizer.get_vocab_size())
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a piece
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.places, self.values = Places(), []  # chunks in order, and the ids of each
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        raw = text.encode("utf-8", "surrogatepass")
-        if not self.by_chunk or b"<|" in raw or any(m in raw for m in self.marks):
-            return self._raw([text])[0]
-        chunks = []
-        for chunk in raw.translate(ASCII_LOWER).split():
-            # a final stop or comma after an ASCII letter or digit is always a piece of its own
-            if chunk[-1] in b".," and len(chunk) > 1 and chunk[-2:-1].isalnum():
-                chunks += (chunk[:-1], chunk[-1:])
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of chunks of letters alone, a piece each, encoded many at a time and cut after the ids that end a piece."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), 1000):
+            some = texts[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some) or stops[-1] != len(ids):
+                out += self._raw(some)
+                continue
+            raw, size = ids.tobytes(), ids.itemsize
+            out += [raw[a * size : b * size] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+        return out
+
+    def _learn(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each new chunk."""
+        # a final stop or comma after an ASCII letter or digit is always a piece of its own
+        stems = [c[:-1] if c[-1] in b".," and c[-2:-1].isalnum() else c for c in chunks]
+        known = self.places.get
+        new = [w for w in dict.fromkeys(stems) if known(w, len(self.values)) >= len(self.values)] + [b".", b","]
+        words = [c.decode("utf-8", "surrogatepass") for c in new]
+        letters = [i for i, w in enumerate(words) if w.isalpha()]
+        rest = [i for i, w in enumerate(words) if not w.isalpha()]
+        fresh: dict[bytes, bytes] = {}
+        for some, ids in ((letters, self._pieces), (rest, self._raw)):
+            fresh.update(zip([new[i] for i in some], ids([words[i] for i in some]), strict=True))
+        value = lambda w: fresh[w] if w in fresh else self.values[self.places[w]]
+        return [value(w) if w is c else value(w) + fresh[c[-1:]] for c, w in zip(chunks, stems, strict=True)]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned integers of ``kind``."""
+        if len(self.places) > CACHE_WORDS:
+            self.places.clear()
+            self.values.clear()
+        place, codes = self.places.__getitem__, []
+        for text in texts:
+            raw = text.encode("utf-8", "surrogatepass")
+            if self.by_chunk and b"<|" not in raw and not any(m in raw for m in self.marks):
+                codes.append(list(map(place, raw.translate(ASCII_LOWER).split())))
             else:
-                chunks.append(chunk)
-        if new := [c for c in set(chunks) if c not in self.cache]:
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache.clear()
-                new = list(set(chunks))
-            self.cache.update(zip(new, self._raw([c.decode("utf-8", "surrogatepass") for c in new]), strict=True))
-        return b"".join(map(self.cache.__getitem__, chunks))
+                codes.append(None)
+        self.values += self._learn(self.places.fresh)
+        self.places.fresh = []
+        value = self.values.__getitem__
+        return [self._raw([t])[0] if c is None else b"".join(map(value, c)) for t, c in zip(texts, codes, strict=True)]
 
 
-def _tokenize(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
+class Places(dict):
+    """A number for each chunk, in order of appearance."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        at = self[chunk] = len(self)
+        self.fresh.append(chunk)
+        return at
+
 
+def id_type(vocabulary: int) -> str:
+    """Two bytes an id where they suffice."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = process_cache(f"chunks:{path}", lambda: ChunkEncoder(path))
+        end = np.array([end_id], encoder.kind).tobytes()
         for part in slices(batches):
-            ids = [encoder.ids(t or "") + end for t in part.column(1).to_pylist()]
+            ids = [x + end for x in encoder.ids([t or "" for t in part.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for part in slices(iter([batch]), 4096):
-            seen = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), "<u4"))
+def _joined(column: pa.BinaryArray, kind: str) -> np.ndarray:
+    """All ids of a column of byte strings without nulls, end to end, without a copy."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind) if len(column) else np.empty(0, kind)
+
+
+def _count(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for part in slices(batches, 65536):
+            seen = np.bincount(_joined(part.column(0), kind))
             if len(seen) > len(total):
                 seen, total = total, seen
             total[: len(seen)] += seen
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+
+    return run
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -199,15 +256,17 @@ class Codec:
 BLOCKS = "shard int, block int, first long, n_ids long, doc_ids array<long>, doc_tokens array<int>, bits binary, checkpoints array<int>"
 
 
-def _encode(book):
+def _encode(book, kind: str):
+    width = np.dtype(kind).itemsize
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(*book.value)
         held: list[tuple] = []
         size = block = first = 0
 
         def pack(shard: int):
-            bits, marks = codec.encode(np.frombuffer(b"".join(x[1] for x in held), "<u4"))
-            columns = [[shard], [block], [first], [size], [[x[0] for x in held]], [[len(x[1]) // 4 for x in held]], [bits], [marks.tolist()]]
+            bits, marks = codec.encode(np.frombuffer(b"".join(x[1] for x in held), kind))
+            columns = [[shard], [block], [first], [size], [[x[0] for x in held]], [[len(x[1]) // width for x in held]], [bits], [marks.tolist()]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32())]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
 
@@ -215,7 +274,7 @@ def _encode(book):
         for part in slices(batches):
             for shard, doc, ids in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 held.append((doc, ids))
-                size += len(ids) // 4
+                size += len(ids) // width
                 if size >= BLOCK_IDS:
                     yield pack(shard)
                     held, size, block, first = [], 0, block + 1, first + size
@@ -234,8 +293,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, limit
     """
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    kind = ChunkEncoder(tokenizer).kind
+    if end_id >= 1 << 8 * np.dtype(kind).itemsize:
+        raise ValueError(f"end id {end_id} does not fit the vocabulary's type")
     tokens = materialize(docs.mapInArrow(_tokenize(tokenizer, end_id), "doc_id long, ids binary"), "tokens")
-    counted = tokens.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toArrow()  # a row for each id of the vocabulary
+    counted = tokens.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toArrow()  # a row for each id of the vocabulary
     ids, counts = (np.asarray(counted.column(c)) for c in ("id", "n"))
     lengths = code_lengths(counts, max(limit, int(max(len(ids), 2) - 1).bit_length()))
     spark.createDataFrame(zip(ids.tolist(), lengths.tolist(), strict=True), "id long, length int").coalesce(1).write.parquet(f"{path}/codebook")
@@ -243,7 +305,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, limit
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
     dealt = dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "ids")
-    dealt.mapInArrow(_encode(book), BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    dealt.mapInArrow(_encode(book, kind), BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     totals = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum(F.size("doc_ids")).alias("n_docs"), F.sum("n_ids").alias("n_ids")).orderBy("shard").collect()  # a row for each shard
     index, start = [], 0
     for row in totals:
