@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import crc32_mod, slices
-from quarryline.llm.sampling import bounded_sample
+from quarryline.llm.sampling import bounded_sample, collected
 
 DIMS = 1 << 16
 UND = "und"
@@ -144,8 +144,8 @@ def train(docs: DataFrame, per_lang: int = 1000, seed: int = 0) -> Model:
 
     Rows with a null text, lang or doc_id teach nothing.
     """
-    rows = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
-    return fit([(r["text"], r["lang"]) for r in bounded_sample(rows, "lang", per_lang, seed)], seed)
+    rows = docs.where("doc_id is not null and text is not null and lang is not null")
+    return fit(collected(rows, bounded_sample(rows.select("doc_id", "lang").distinct(), "lang", per_lang, seed), "lang"), seed)
 
 
 def _predict(shared):

@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_sample(rows: DataFrame, label: str, per_label: int, seed: int) -> list:
+def bounded_sample(rows: DataFrame, label: str, per_label: int, seed: int) -> DataFrame:
     """About ``per_label`` rows of each label, picked by a hash of doc_id; all of a rarer label.
 
-    One row for each doc_id and label is counted; what comes to the driver is
-    bounded by ``per_label`` times the number of labels.
+    Give it ids and labels, not texts, and join the texts to the result: that
+    has at most about ``per_label`` times the number of labels rows.
     """
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    unit = (F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).cast("double")
-    picked = rows.join(F.broadcast(counts), label).where(unit * F.col("_n") < per_label).drop("_n")
-    return sorted(picked.collect(), key=lambda r: (r["doc_id"], str(r[label]), r["text"]))
+    unit = F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    return rows.join(F.broadcast(counts), label).where(unit * F.col("_n") < per_label).drop("_n")
+
+
+def collected(docs: DataFrame, sample: DataFrame, label: str) -> list:
+    """``text`` and label of the sampled documents, in a fixed order; the bounded sample is broadcast, texts stay in place."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", label)), "doc_id").collect()
+    return [(r["text"], r[label]) for r in sorted(rows, key=lambda r: (r["doc_id"], str(r[label]), r["text"] or ""))]

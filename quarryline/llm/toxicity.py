@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import crc32_mod, slices
-from quarryline.llm.sampling import bounded_sample
+from quarryline.llm.sampling import bounded_sample, collected
 from quarryline.llm.winnow import words_of
 
 STRETCH = 64
@@ -170,12 +170,13 @@ def token_labels(docs: list[list[bytes]], toxic: np.ndarray, ratio: float = 4.0,
     toxic documents and a ``share`` of them, ``ratio`` times its share of others.
     """
     of: dict[bytes, list[bytes]] = {}
+    one: dict[bytes, bytes] = {}  # equal features of different words are one object
     seen = (Counter(), Counter())
     for words, y in zip(docs, toxic, strict=True):
         have: set[bytes] = set()
         for w in set(words):
             if w not in of:
-                of[w] = features(w)
+                of[w] = [one.setdefault(f, f) for f in features(w)]
             have.update(of[w])
         seen[int(y)].update(have)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
@@ -198,8 +199,10 @@ def fit_chain(docs: list[list[bytes]], toxic: np.ndarray, l2: float = 0.5, steps
 
     names = sorted(frequent)
     index = {f: i for i, f in enumerate(names)}
-    pairs = [(i, index[f]) for i, w in enumerate(words) for f in of[w] if f in index]
-    owner, feat = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
+    known = [[index[f] for f in of[w] if f in index] for w in words]
+    owner = np.repeat(np.arange(len(words)), [len(k) for k in known])
+    feat = np.fromiter((f for k in known for f in k), np.int64, len(owner))
+    del known
     alone = np.array([index.get(b"=" + w, -1) for w in words])
     n, v = len(names), len(words)
 
@@ -256,8 +259,12 @@ def fit_chain(docs: list[list[bytes]], toxic: np.ndarray, l2: float = 0.5, steps
     return Chain(keep(0), keep(1), keep(2), float(theta[3 * n]), theta[3 * n + 1 :].reshape(2, 2).copy())
 
 
-def fit(rows: list[tuple[str | None, int]], seed: int = 0) -> Chain:
-    """From ``(text, toxic)`` rows: two thirds train the chain, the rest the document score. Without both labels: a chain that scores 0."""
+def fit(rows: list[tuple[str | None, int]], seed: int = 0, odds: float | None = None) -> Chain:
+    """From ``(text, toxic)`` rows: two thirds train the chain, the rest the document score.
+
+    ``odds`` of label 1 among all labelled rows; the score is corrected where
+    the sample's differ. Without both labels: a chain that scores 0.
+    """
     docs = [tokens_of(t) for t, _ in rows]
     y = np.array([int(bool(x)) for _, x in rows])
     if len(set(y.tolist())) < 2:
@@ -272,21 +279,26 @@ def fit(rows: list[tuple[str | None, int]], seed: int = 0) -> Chain:
     tagger = Tagger(chain)
     x = np.array([document_features(tagger.marginals([d])[0]) for d, r in zip(docs, rest, strict=True) if r])
     chain.document = _logistic(x, y[rest].astype(float))
+    if odds:
+        chain.document[0] += np.log(odds / (y[rest].sum() / (1 - y[rest]).sum()))
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, out_fold: int | None = 1, per_label: int = 2000, seed: int = 0) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, out_fold: int | None = 1, toxic_rows: int = 1000, other_rows: int = 2500, seed: int = 0) -> Chain:
     """A chain from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
-    At most about ``per_label`` rows of either label are used, none of them with
+    At most about ``toxic_rows`` and ``other_rows`` are used, none of them with
     crc32(doc_id) mod ``folds`` = ``out_fold``. Null ids and labels teach nothing.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), (labels["toxic"] != 0).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     if out_fold is not None:
         known = known.where(crc32_mod(F.col("doc_id"), folds) != out_fold)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(known, "doc_id")
-    return fit([(r["text"], r["toxic"]) for r in bounded_sample(rows, "toxic", per_label, seed)], seed)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # a row a label
+    picked = [bounded_sample(known.where(F.col("toxic") == y), "toxic", n, seed) for y, n in ((1, toxic_rows), (0, other_rows))]
+    sample = collected(rows, picked[0].unionByName(picked[1]), "toxic")
+    return fit(sample, seed, count.get(1, 0) / max(1, count.get(0, 0)))
 
 
 def _spans(text: str, p: np.ndarray) -> list[dict]:
