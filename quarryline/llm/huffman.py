@@ -18,8 +18,10 @@ the decoder walk all its stretches in step, one table look-up an id.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,8 @@ from quarryline.session import materialize
 EVERY = 128
 BLOCK_IDS = 1 << 17
 MAX_BITS = 16
-CACHE_WORDS = 500_000
+CACHE_WORDS, KEPT_WORDS = 650_000, 300_000
+_PUNCTUATION = string.punctuation.replace("'", "")
 
 
 class ChunkEncoder:
@@ -80,25 +83,32 @@ class ChunkEncoder:
         return out
 
     def _learn(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of each new chunk."""
-        # a final stop or comma after an ASCII letter or digit is always a piece of its own
-        stems = [c[:-1] if c[-1] in b".," and c[-2:-1].isalnum() else c for c in chunks]
-        known = self.places.get
-        new = [w for w in dict.fromkeys(stems) if known(w, len(self.values)) >= len(self.values)] + [b".", b","]
-        words = [c.decode("utf-8", "surrogatepass") for c in new]
-        letters = [i for i, w in enumerate(words) if w.isalpha()]
-        rest = [i for i, w in enumerate(words) if not w.isalpha()]
-        fresh: dict[bytes, bytes] = {}
-        for some, ids in ((letters, self._pieces), (rest, self._raw)):
-            fresh.update(zip([new[i] for i in some], ids([words[i] for i in some]), strict=True))
-        value = lambda w: fresh[w] if w in fresh else self.values[self.places[w]]
-        return [value(w) if w is c else value(w) + fresh[c[-1:]] for c, w in zip(chunks, stems, strict=True)]
+        """Ids of each new chunk. Letters before a run of ASCII punctuation without apostrophes are pieces apart from it."""
+        split, stems, tails, whole = [], {}, {}, {}
+        for chunk in chunks:
+            word = chunk.decode("utf-8", "surrogatepass")
+            stem = word if word.isalpha() else word.rstrip(_PUNCTUATION)
+            if stem.isalpha() and stem.lower().isalpha():  # a letter may become one with a mark, which joins what follows
+                split.append((stem, word[len(stem) :]))
+                stems[stem] = tails[word[len(stem) :]] = None
+            else:
+                split.append((word, None))
+                whole[word] = None
+        done = len(self.values)
+        at = {w: self.places.get(w.encode(), done) for w in stems}
+        ids = {w: self.values[i] for w, i in at.items() if i < done}
+        new = [w for w in stems if w not in ids]
+        ids.update(zip(new, self._pieces(new), strict=True))
+        ends = dict(zip(tails, self._raw(list(tails)), strict=True))
+        ends[None] = b""
+        rest = dict(zip(whole, self._raw(list(whole)), strict=True))
+        return [rest[w] if t is None else ids[w] + ends[t] for w, t in split]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``kind``."""
-        if len(self.places) > CACHE_WORDS:
-            self.places.clear()
-            self.values.clear()
+        if len(self.places) > CACHE_WORDS:  # common chunks appear early: the first ones stay
+            kept = Places(islice(self.places.items(), KEPT_WORDS))
+            self.places, self.values = kept, self.values[:KEPT_WORDS]
         place, codes = self.places.__getitem__, []
         for text in texts:
             raw = text.encode("utf-8", "surrogatepass")
@@ -115,8 +125,8 @@ class ChunkEncoder:
 class Places(dict):
     """A number for each chunk, in order of appearance."""
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self, items=()) -> None:
+        super().__init__(items)
         self.fresh: list[bytes] = []
 
     def __missing__(self, chunk: bytes) -> int:
