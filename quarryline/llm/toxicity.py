@@ -231,11 +231,11 @@ def fit_chain(docs: list[list[bytes]], toxic: np.ndarray, l2: float = 0.5, steps
         p = odds / (1 + odds)
         # expected moves between neighbours
         f, b, e = ahead[row, column], back[row, column], table[row, column]
-        pair = np.empty((len(pos), 2, 2))
-        late = e[pos] * b[pos]
-        pair[:, 0, 0], pair[:, 0, 1] = a[0, 0], a[0, 1] * late
-        pair[:, 1, 0], pair[:, 1, 1] = f[pos - 1] * a[1, 0], f[pos - 1] * a[1, 1] * late
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
+        late, early = e[pos] * b[pos], f[pos - 1]
+        total = (a[0, 0] + a[0, 1] * late) + early * (a[1, 0] + a[1, 1] * late)
+        late /= total
+        expected = np.array([[a[0, 0] * (1 / total).sum(), a[0, 1] * late.sum()], [a[1, 0] * (early / total).sum(), a[1, 1] * (early * late).sum()]])
+        del total, late, early, f, b, e
         diff = p - y
         grad = np.zeros_like(theta)
         by_word = np.bincount(tokens, weights=diff, minlength=v)
@@ -247,7 +247,7 @@ def fit_chain(docs: list[list[bytes]], toxic: np.ndarray, l2: float = 0.5, steps
             known = alone >= 0
             grad[k * n : (k + 1) * n] = np.bincount(alone[known], weights=word[known], minlength=n)
         grad[3 * n] = diff.sum()
-        grad[3 * n + 1 :] = (pair.sum(axis=0) - target).ravel()
+        grad[3 * n + 1 :] = (expected - target).ravel()
         grad += l2 * theta
         grad[3 * n] -= l2 * theta[3 * n]
         m = 0.9 * m + 0.1 * grad
@@ -265,7 +265,9 @@ def fit(rows: list[tuple[str | None, int]], seed: int = 0, odds: float | None =
     ``odds`` of label 1 among all labelled rows; the score is corrected where
     the sample's differ. Without both labels: a chain that scores 0.
     """
-    docs = [tokens_of(t) for t, _ in rows]
+    one: dict[bytes, bytes] = {}  # equal words are one object
+    docs = [[one.setdefault(w, w) for w in tokens_of(t)] for t, _ in rows]
+    del one
     y = np.array([int(bool(x)) for _, x in rows])
     if len(set(y.tolist())) < 2:
         return Chain(document=np.array([-30.0, 0, 0, 0, 0, 0]))
@@ -284,7 +286,7 @@ def fit(rows: list[tuple[str | None, int]], seed: int = 0, odds: float | None =
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, out_fold: int | None = 1, toxic_rows: int = 1000, other_rows: int = 2500, seed: int = 0) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, out_fold: int | None = 1, toxic_rows: int = 800, other_rows: int = 1800, seed: int = 0) -> Chain:
     """A chain from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     At most about ``toxic_rows`` and ``other_rows`` are used, none of them with
