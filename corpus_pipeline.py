@@ -64,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes the ids as files and reads them back: ``doc_id, start, n_tokens, ids_crc32``."""
     path = scratch_path(spark, "corpus")
-    huffman.write_ids(docs.select("doc_id", "text"), path, queries.word_tokenizer())
+    huffman.write_ids(docs.select("doc_id", "text"), path, queries.word_tokenizer(), kept_words=50_000)
     return huffman.read_ids(spark, path)
 
 

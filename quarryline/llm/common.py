@@ -20,8 +20,20 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
 
+def tidy() -> None:
+    """Give back to the system what earlier tasks of a reused worker have freed."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to few rows, so that only so many texts are Python objects at a time."""
+    tidy()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -30,7 +42,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
 class WordHashes(dict):
     """64-bit hash of each word, remembered up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 200_000) -> None:
         super().__init__()
         self.limit = limit
 

@@ -104,11 +104,14 @@ class ChunkEncoder:
         rest = dict(zip(whole, self._raw(list(whole)), strict=True))
         return [rest[w] if t is None else ids[w] + ends[t] for w, t in split]
 
+    def trim(self, most: int, kept: int) -> None:
+        """Beyond ``most`` remembered chunks, keep the first: common ones appear early."""
+        if len(self.places) > most:
+            self.places, self.values = Places(islice(self.places.items(), kept)), self.values[:kept]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``kind``."""
-        if len(self.places) > CACHE_WORDS:  # common chunks appear early: the first ones stay
-            kept = Places(islice(self.places.items(), KEPT_WORDS))
-            self.places, self.values = kept, self.values[:KEPT_WORDS]
+        self.trim(CACHE_WORDS, KEPT_WORDS)
         place, codes = self.places.__getitem__, []
         for text in texts:
             raw = text.encode("utf-8", "surrogatepass")
@@ -140,13 +143,14 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def _tokenize(path: str, end_id: int):
+def _tokenize(path: str, end_id: int, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = process_cache(f"chunks:{path}", lambda: ChunkEncoder(path))
         end = np.array([end_id], encoder.kind).tobytes()
         for part in slices(batches):
             ids = [x + end for x in encoder.ids([t or "" for t in part.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        encoder.trim(kept, kept)
 
     return run
 
@@ -294,19 +298,20 @@ def _encode(book, kind: str):
     return run
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, limit: int = MAX_BITS) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, limit: int = MAX_BITS, kept_words: int = CACHE_WORDS) -> None:
     """Encode ``docs(doc_id, text)`` under ``path``, each text's ids followed by ``end_id``.
 
     Null text is empty: only the end id. Null doc_ids come first, repeated rows
     are all written, equal doc_ids in the order of their ids' bytes. An empty
-    table gives an empty codebook and no blocks.
+    table gives an empty codebook and no blocks. A worker remembers at most
+    ``kept_words`` chunks from one task to the next.
     """
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     kind = ChunkEncoder(tokenizer).kind
     if end_id >= 1 << 8 * np.dtype(kind).itemsize:
         raise ValueError(f"end id {end_id} does not fit the vocabulary's type")
-    tokens = materialize(docs.mapInArrow(_tokenize(tokenizer, end_id), "doc_id long, ids binary"), "tokens")
+    tokens = materialize(docs.mapInArrow(_tokenize(tokenizer, end_id, kept_words), "doc_id long, ids binary"), "tokens")
     counted = tokens.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toArrow()  # a row for each id of the vocabulary
     ids, counts = (np.asarray(counted.column(c)) for c in ("id", "n"))
     lengths = code_lengths(counts, max(limit, int(max(len(ids), 2) - 1).bit_length()))

@@ -33,7 +33,7 @@ STRETCH = 64
 REJECT = 0.7
 _TOKEN = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 PREFIXES = range(4, 10)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
