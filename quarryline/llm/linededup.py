@@ -245,3 +245,13 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, max_cells: int = MAX_CELLS,
         return docs.mapInArrow(_drop_broadcast(min_chars, shared), OUT)
     gone = suspects.join(repeated, ["low", "high"]).where("doc_id != first").groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("gone"))
     return docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_drop_joined(min_chars), OUT)
+
+
+#: DuckDB SQL of the query's columns over ``documents``.
+ORACLE = r"""
+WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS n, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (SELECT *, translate(regexp_replace(line, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) < max(doc_id)),
+d AS (SELECT k.*, coalesce(first <> doc_id, false) AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id"""

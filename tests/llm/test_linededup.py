@@ -57,3 +57,13 @@ def test_query_on_its_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     out = queries.op9_line_dedup(spark, sf_dir).collect()
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in out), key=str) == brute([(r.doc_id, r.text) for r in docs])
+
+
+def test_query_matches_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    columns = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
+    want = con.sql(queries.ORACLES["op9_line_dedup"]).project(", ".join(columns)).fetchall()
+    assert sorted(tuple(r) for r in queries.op9_line_dedup(spark, sf_dir).select(columns).collect()) == sorted(want)
