@@ -80,3 +80,15 @@ def enclosing_interval(points: DataFrame, intervals: DataFrame, key: str, at: st
     """For each point the smallest interval ``[lo, hi]`` of its key around it, the earlier on ties; an equality join with a range filter."""
     both = points.join(intervals, key).where((F.col(at) >= F.col("lo")) & (F.col(at) <= F.col("hi")))
     return both.groupBy(point_id).agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("span"), "lo", "hi")).alias("i")).select(point_id, "i.lo", "i.hi", "i.span")
+
+
+def processes(edges: DataFrame, entries: DataFrame, depth: int = 8, smallest: int = 3) -> DataFrame:
+    """``origin, functions, max_depth`` of what each entry (``node``) reaches within ``depth`` hops, itself included; small ones are left out."""
+    starts = entries.select("node").distinct()
+    step = edges.where("caller <> callee").select("caller", "callee").distinct()
+    found = front = starts.select(F.col("node").alias("origin"), "node", F.lit(0).alias("depth"))
+    for hop in range(1, depth + 1):
+        ahead = front.join(step, front.node == step.caller).select("origin", F.col("callee").alias("node")).distinct()
+        front = materialize(ahead.join(found, ["origin", "node"], "left_anti").withColumn("depth", F.lit(hop)), "process")
+        found = found.unionByName(front)
+    return found.groupBy("origin").agg(F.count("*").alias("functions"), F.max("depth").alias("max_depth")).where(F.col("functions") >= smallest)

@@ -68,3 +68,12 @@ def fan(edges: DataFrame, source: str = "source", target: str = "target") -> Dat
     into = distinct.groupBy(F.col(target).alias("node")).agg(F.count("*").alias("fan_in"))
     both = out.join(into, "node", "full").fillna(0, ["fan_out", "fan_in"])
     return both.withColumn("instability", F.round(F.when(F.col("fan_in") + F.col("fan_out") == 0, 0.5).otherwise(F.col("fan_out") / (F.col("fan_in") + F.col("fan_out"))), 3))
+
+
+def unstable(edges: DataFrame, stable_below: float = 0.3, unstable_above: float = 0.8, source: str = "caller", target: str = "callee") -> DataFrame:
+    """Distinct edges from a stable node to an unstable one, with both instabilities."""
+    nodes = fan(edges, source, target).select("node", "instability")
+    at = lambda c, name: nodes.select(F.col("node").alias(c), F.col("instability").alias(name))
+    links = edges.where(F.col(source) != F.col(target)).select(source, target).distinct()
+    both = links.join(at(source, "source_instability"), source).join(at(target, "target_instability"), target)
+    return both.where((F.col("source_instability") < stable_below) & (F.col("target_instability") > unstable_above)).select(source, target, "source_instability", "target_instability")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarryline.plans import core_queries, line_queries
+from quarryline.plans import core_queries, finding_queries, line_queries
 
-QUERIES = {**line_queries.QUERIES, **core_queries.QUERIES}
-ORACLES = {**line_queries.ORACLES, **core_queries.ORACLES}
+QUERIES = {**line_queries.QUERIES, **core_queries.QUERIES, **finding_queries.QUERIES}
+ORACLES = {**line_queries.ORACLES, **core_queries.ORACLES, **finding_queries.ORACLES}

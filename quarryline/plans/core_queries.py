@@ -31,10 +31,10 @@ def query(sql: str | None = None):
     return register
 
 
-_L = f"l AS (SELECT doc_id, source, lang, generate_subscripts(x, 1) AS line_no, unnest(x) AS line FROM (SELECT doc_id, source, lang, {SQL_LINES} AS x FROM documents))"
+SQL_LINES_TABLE = f"l AS (SELECT doc_id, source, lang, generate_subscripts(x, 1) AS line_no, unnest(x) AS line FROM (SELECT doc_id, source, lang, {SQL_LINES} AS x FROM documents))"
 
 
-def _lines(t) -> DataFrame:
+def lines_of(t) -> DataFrame:
     return explode_lines(t("documents"), ["doc_id", "source", "lang"])
 
 
@@ -42,7 +42,7 @@ RULES = {"LICENSE": "License", "TABLE": r" \| ", "SHOUT": "!!", "MARKUP": "###"}
 _HITS = " UNION ALL ".join(f"SELECT doc_id, line_no, '{r}' AS rule_id FROM l WHERE regexp_matches(line, '{p}')" for r, p in RULES.items())
 
 
-@query(f"""WITH {_L}, c AS (SELECT source, doc_id, line_no, regexp_replace(regexp_replace(line, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g'), '[ \\t\\r]+', ' ', 'g') AS b FROM l),
+@query(f"""WITH {SQL_LINES_TABLE}, c AS (SELECT source, doc_id, line_no, regexp_replace(regexp_replace(line, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g'), '[ \\t\\r]+', ' ', 'g') AS b FROM l),
 n AS (SELECT *, row_number() OVER w AS pos, list(b) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS block
   FROM c WHERE b <> '' AND NOT starts_with(b, '#') AND NOT starts_with(b, '//') WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
 k AS (SELECT source, doc_id, pos, block, count(*) OVER (PARTITION BY source, block) AS c FROM n WHERE len(block) = 6),
@@ -50,31 +50,31 @@ m AS (SELECT DISTINCT source, doc_id, unnest(range(pos, pos + 6)) AS pos FROM k
 SELECT source, code_lines, coalesce(d, 0) AS duplicate_lines, round(least(100.0, 100.0 * coalesce(d, 0) / code_lines), 1) AS duplication_rate
 FROM (SELECT source, count(*) AS code_lines FROM n GROUP BY 1) LEFT JOIN (SELECT source, count(*) AS d FROM m GROUP BY 1) USING (source)""")
 def duplication_rate_by_source(t):
-    return metrics.duplication_rate(_lines(t), ["source"], "doc_id", "line_no")
+    return metrics.duplication_rate(lines_of(t), ["source"], "doc_id", "line_no")
 
 
 SECRET = r"(password|secret|token|api_key)[ ]*[:=][ ]*[\"']?([A-Za-z0-9_./+-]{8,})"
 
 
-@query(f"""WITH {_L}, h AS (SELECT doc_id, line_no, regexp_extract(line, '(password|secret|token|api_key)[ ]*[:=][ ]*["'']?([A-Za-z0-9_./+-]{{8,}})', 2) AS value FROM l),
+@query(f"""WITH {SQL_LINES_TABLE}, h AS (SELECT doc_id, line_no, regexp_extract(line, '(password|secret|token|api_key)[ ]*[:=][ ]*["'']?([A-Za-z0-9_./+-]{{8,}})', 2) AS value FROM l),
 v AS (SELECT * FROM h WHERE value <> '' AND NOT (regexp_matches(value, '^[$%{{<]') OR lower(value) IN ('password','changeme','example','placeholder','secret','dummy','none','null','test','xxx')
   OR (length(value) < 8 AND (regexp_matches(value, '^[0-9]+$') OR regexp_matches(value, '^[A-Za-z]+$')))))
 SELECT doc_id, value, min(line_no)::INT AS line_no FROM v GROUP BY ALL""")
 def secret_line_hits(t):
-    hits = _lines(t).select("doc_id", "line_no", F.regexp_extract("line", SECRET, 2).alias("value")).where("value <> ''")
+    hits = lines_of(t).select("doc_id", "line_no", F.regexp_extract("line", SECRET, 2).alias("value")).where("value <> ''")
     return rules.first_of(hits.where(rules.plausible_secret(F.col("value"))), ["doc_id", "value"], ["line_no"])
 
 
-@query(f"""WITH {_L}, m AS (SELECT doc_id, line_no, regexp_matches(line, '[.]$') AS hit, contains(line, '!!') OR contains(line, '###') AS mark FROM l),
+@query(f"""WITH {SQL_LINES_TABLE}, m AS (SELECT doc_id, line_no, regexp_matches(line, '[.]$') AS hit, contains(line, '!!') OR contains(line, '###') AS mark FROM l),
 p AS (SELECT *, coalesce(lag(mark) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS above FROM m)
 SELECT doc_id, line_no::INT AS line_no FROM p WHERE hit AND NOT mark AND NOT above""")
 def suppressed_hits(t):
-    return rules.unsuppressed(_lines(t), "doc_id", F.col("line").rlike("[.]$"), F.col("line").contains("!!") | F.col("line").contains("###")).select("doc_id", "line_no")
+    return rules.unsuppressed(lines_of(t), "doc_id", F.col("line").rlike("[.]$"), F.col("line").contains("!!") | F.col("line").contains("###")).select("doc_id", "line_no")
 
 
-@query(f"WITH {_L} SELECT rule_id, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM ({_HITS}) GROUP BY 1")
+@query(f"WITH {SQL_LINES_TABLE} SELECT rule_id, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM ({_HITS}) GROUP BY 1")
 def rule_hits(t):
-    return rules.match_lines(_lines(t), RULES).groupBy("rule_id").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("documents"))
+    return rules.match_lines(lines_of(t), RULES).groupBy("rule_id").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("documents"))
 
 
 @query("SELECT page_id, url FROM pages WHERE contains(html, '<script') AND contains(html, '<nav') AND NOT contains(html, '<table')")
@@ -82,11 +82,11 @@ def doc_presence_absence(t):
     return rules.presence_absence(t("pages"), "html", ["<script", "<nav"], ["<table"]).select("page_id", "url")
 
 
-@query(f"""WITH {_L}, h AS (SELECT doc_id, line_no FROM l WHERE contains(line, 'License'))
+@query(f"""WITH {SQL_LINES_TABLE}, h AS (SELECT doc_id, line_no FROM l WHERE contains(line, 'License'))
 SELECT h.doc_id, h.line_no::INT AS line_no, string_agg(lpad(l.line_no::VARCHAR, 4, ' ') || ': ' || line, chr(10) ORDER BY l.line_no) AS snippet
 FROM h JOIN l ON l.doc_id = h.doc_id AND l.line_no BETWEEN h.line_no - 2 AND h.line_no + 2 GROUP BY ALL""")
 def hit_snippets(t):
-    lines = _lines(t)
+    lines = lines_of(t)
     return rules.snippets(lines, lines.where(F.col("line").contains("License")).select("doc_id", "line_no"), "doc_id")
 
 
@@ -98,36 +98,36 @@ def rule_filter(t):
     return kept.groupBy("rule_id", F.lower("p_type").alias("tag")).agg(F.count("*").alias("parts"))
 
 
-@query(f"""WITH {_L}, h AS ({_HITS}), b AS (SELECT DISTINCT rule_id, line_no FROM h JOIN documents USING (doc_id) WHERE lang = 'en')
+@query(f"""WITH {SQL_LINES_TABLE}, h AS ({_HITS}), b AS (SELECT DISTINCT rule_id, line_no FROM h JOIN documents USING (doc_id) WHERE lang = 'en')
 SELECT doc_id, line_no::INT AS line_no, rule_id FROM h JOIN documents USING (doc_id) WHERE lang <> 'en' AND (rule_id, line_no) NOT IN (SELECT (rule_id, line_no) FROM b)""")
 def baseline_new_hits(t):
-    hits = rules.match_lines(_lines(t), RULES)
+    hits = rules.match_lines(lines_of(t), RULES)
     return diff.beyond_baseline(hits.where("lang <> 'en'"), hits.where("lang = 'en'"), ["rule_id", "line_no"]).select("doc_id", "line_no", "rule_id")
 
 
-_DAYS = "d AS (SELECT *, ts::DATE AS day FROM events), e AS (SELECT max(day) AS today FROM d)"
+SQL_DAYS = "d AS (SELECT *, ts::DATE AS day FROM events), e AS (SELECT max(day) AS today FROM d)"
 
 
-def _two_days(t):
+def two_days(t):
     events = t("events").withColumn("day", F.to_date("ts"))
     today = events.agg(F.max("day").alias("today"))  # one row
     both = events.join(F.broadcast(today))
     return both.where("day = today - interval 1 day"), both.where("day = today")
 
 
-@query(f"""WITH {_DAYS}, a AS (SELECT DISTINCT user_id, event_type FROM d, e WHERE day = today - 1), b AS (SELECT DISTINCT user_id, event_type FROM d, e WHERE day = today),
+@query(f"""WITH {SQL_DAYS}, a AS (SELECT DISTINCT user_id, event_type FROM d, e WHERE day = today - 1), b AS (SELECT DISTINCT user_id, event_type FROM d, e WHERE day = today),
 x AS (SELECT user_id, event_type, 'new' AS status FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT user_id, event_type, 'resolved' FROM (SELECT * FROM a EXCEPT SELECT * FROM b))
 SELECT user_id, event_type, status, (SELECT max(event_id) FROM d, e WHERE d.user_id = x.user_id AND d.event_type = x.event_type AND day = CASE status WHEN 'new' THEN today ELSE today - 1 END) AS event_id FROM x""")
 def snapshot_diff(t):
-    return diff.snapshot_diff(*_two_days(t), ["user_id", "event_type"], "event_id")
+    return diff.snapshot_diff(*two_days(t), ["user_id", "event_type"], "event_id")
 
 
-@query(f"""WITH {_DAYS}, a AS (SELECT event_type, sum(value) AS v FROM d, e WHERE day = today - 1 GROUP BY 1), b AS (SELECT event_type, sum(value) AS v FROM d, e WHERE day = today GROUP BY 1)
+@query(f"""WITH {SQL_DAYS}, a AS (SELECT event_type, sum(value) AS v FROM d, e WHERE day = today - 1 GROUP BY 1), b AS (SELECT event_type, sum(value) AS v FROM d, e WHERE day = today GROUP BY 1)
 SELECT event_type, round(coalesce(a.v, 0), 2) AS before, round(coalesce(b.v, 0), 2) AS after, round(coalesce(b.v, 0) - coalesce(a.v, 0), 2) AS delta
 FROM a FULL JOIN b USING (event_type) WHERE abs(coalesce(b.v, 0) - coalesce(a.v, 0)) >= 0.001""")
 def metric_deltas(t):
     total = lambda df: df.groupBy("event_type").agg(F.sum("value").alias("v"))
-    return diff.metric_deltas(*map(total, _two_days(t)), "event_type", "v", places=2)
+    return diff.metric_deltas(*map(total, two_days(t)), "event_type", "v", places=2)
 
 
 @query("""WITH a AS (SELECT event_type, user_id, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2)
@@ -167,67 +167,67 @@ def change_coverage(t):
 
 # Nations as modules: an edge for each pair in which a customer's nation orders from a supplier's; confidence is the
 # pair's share of the caller's largest.
-_E = """n AS (SELECT c_nationkey AS caller, s_nationkey AS callee, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
+SQL_EDGES = """n AS (SELECT c_nationkey AS caller, s_nationkey AS callee, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
   JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
 g AS (SELECT caller, callee, round(n / max(n) OVER (PARTITION BY caller), 6) AS confidence FROM n), e AS (SELECT * FROM g WHERE confidence >= 0.9)"""
 
 
-def _edges(t, least: float = 0.9) -> DataFrame:
+def edges_of(t, least: float = 0.9) -> DataFrame:
     pairs = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     counts = pairs.groupBy(F.col("c_nationkey").alias("caller"), F.col("s_nationkey").alias("callee")).agg(F.count("*").alias("n"))
     top = F.max("n").over(Window.partitionBy("caller"))
     return counts.select("caller", "callee", F.round(F.col("n") / top, 6).alias("confidence")).where(F.col("confidence") >= least)
 
 
-@query(f"""WITH {_E}, x AS (SELECT DISTINCT caller, callee FROM e WHERE caller <> callee), o AS (SELECT caller AS node, count(*) AS fan_out FROM x GROUP BY 1), i AS (SELECT callee AS node, count(*) AS fan_in FROM x GROUP BY 1)
+@query(f"""WITH {SQL_EDGES}, x AS (SELECT DISTINCT caller, callee FROM e WHERE caller <> callee), o AS (SELECT caller AS node, count(*) AS fan_out FROM x GROUP BY 1), i AS (SELECT callee AS node, count(*) AS fan_in FROM x GROUP BY 1)
 SELECT node, coalesce(fan_out, 0) AS fan_out, coalesce(fan_in, 0) AS fan_in, round(coalesce(fan_out, 0) / (coalesce(fan_in, 0) + coalesce(fan_out, 0)), 3) AS instability FROM o FULL JOIN i USING (node)""")
 def fan_in_out_instability(t):
-    return metrics.fan(_edges(t), "caller", "callee")
+    return metrics.fan(edges_of(t), "caller", "callee")
 
 
-@query(f"WITH {_E} SELECT caller, callee, confidence, row_number() OVER (PARTITION BY caller ORDER BY confidence DESC, callee)::INT AS rank FROM e QUALIFY rank <= 3")
+@query(f"WITH {SQL_EDGES} SELECT caller, callee, confidence, row_number() OVER (PARTITION BY caller ORDER BY confidence DESC, callee)::INT AS rank FROM e QUALIFY rank <= 3")
 def direct_neighbours(t):
-    return graph.neighbours(_edges(t), 0.9, top=3)
+    return graph.neighbours(edges_of(t), 0.9, top=3)
 
 
-_R = f"""WITH RECURSIVE {_E}, r(origin, node, hops) AS (SELECT DISTINCT caller, callee, 1 FROM e WHERE caller <> callee
+_R = f"""WITH RECURSIVE {SQL_EDGES}, r(origin, node, hops) AS (SELECT DISTINCT caller, callee, 1 FROM e WHERE caller <> callee
 UNION SELECT origin, callee, hops + 1 FROM r JOIN e ON node = caller WHERE hops < 3)"""
 
 
 @query(f"{_R} SELECT origin, node, min(hops) AS hops FROM r WHERE origin <> node GROUP BY 1, 2")
 def reach_k(t):
-    return graph.reach(_edges(t), 3)
+    return graph.reach(edges_of(t), 3)
 
 
-@query(f"""WITH RECURSIVE {_E}, p(nodes, hops, confidence) AS (SELECT [caller, callee], 1, confidence FROM e WHERE caller = 3 AND caller <> callee
+@query(f"""WITH RECURSIVE {SQL_EDGES}, p(nodes, hops, confidence) AS (SELECT [caller, callee], 1, confidence FROM e WHERE caller = 3 AND caller <> callee
 UNION ALL SELECT list_append(nodes, callee), hops + 1, least(p.confidence, e.confidence) FROM p JOIN e ON nodes[-1] = caller WHERE hops < 3 AND NOT list_contains(nodes, callee))
 SELECT array_to_string(nodes, '>') AS path, hops, confidence FROM p""")
 def simple_paths(t):
-    return graph.simple_paths(_edges(t), 3, 3)
+    return graph.simple_paths(edges_of(t), 3, 3)
 
 
-@query(f"""WITH RECURSIVE {_E}, r(origin, node, hops) AS (SELECT DISTINCT caller, callee, 1 FROM e WHERE caller <> callee
+@query(f"""WITH RECURSIVE {SQL_EDGES}, r(origin, node, hops) AS (SELECT DISTINCT caller, callee, 1 FROM e WHERE caller <> callee
 UNION SELECT origin, callee, hops + 1 FROM r JOIN e ON node = caller WHERE hops < 4 AND caller <> callee) SELECT origin AS node, min(hops) AS cycle_length FROM r WHERE origin = node GROUP BY 1""")
 def link_cycles(t):
-    return graph.in_cycle(_edges(t), 4)
+    return graph.in_cycle(edges_of(t), 4)
 
 
-@query(f"WITH {_E} SELECT DISTINCT caller AS node FROM e WHERE caller NOT IN (SELECT callee FROM e WHERE confidence >= 0.97)")
+@query(f"WITH {SQL_EDGES} SELECT DISTINCT caller AS node FROM e WHERE caller NOT IN (SELECT callee FROM e WHERE confidence >= 0.97)")
 def entry_points(t):
-    return graph.entry_points(_edges(t), 0.97)
+    return graph.entry_points(edges_of(t), 0.97)
 
 
-@query(f"""WITH RECURSIVE {_E}, f(node, round) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey = 7 UNION SELECT caller, round + 1 FROM f JOIN e ON callee = node WHERE round < 6)
+@query(f"""WITH RECURSIVE {SQL_EDGES}, f(node, round) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey = 7 UNION SELECT caller, round + 1 FROM f JOIN e ON callee = node WHERE round < 6)
 SELECT node, min(round) AS round FROM f GROUP BY 1""")
 def fixpoint_flag(t):
-    return graph.propagate_flag(_edges(t), t("nation").where("n_nationkey = 7").select(F.col("n_nationkey").alias("node")))
+    return graph.propagate_flag(edges_of(t), t("nation").where("n_nationkey = 7").select(F.col("n_nationkey").alias("node")))
 
 
-@query(f"""WITH {_E}, i AS (SELECT callee AS node, count(*) AS n FROM e GROUP BY 1), s AS (SELECT e.callee, sum(i.n) AS m FROM (SELECT DISTINCT caller, callee FROM e WHERE caller <> callee) e JOIN i ON e.caller = i.node GROUP BY 1),
+@query(f"""WITH {SQL_EDGES}, i AS (SELECT callee AS node, count(*) AS n FROM e GROUP BY 1), s AS (SELECT e.callee, sum(i.n) AS m FROM (SELECT DISTINCT caller, callee FROM e WHERE caller <> callee) e JOIN i ON e.caller = i.node GROUP BY 1),
 k AS (SELECT node, (n + coalesce(m, 0))::BIGINT AS edges FROM i LEFT JOIN s ON node = callee)
 SELECT node, edges, (CASE WHEN edges <= 3 THEN 10 * edges WHEN edges <= 10 THEN 30 + 5 * (edges - 3) ELSE least(100, 65 + 3 * (edges - 10)) END)::BIGINT AS impact FROM k""")
 def impact_score(t):
-    return graph.impact(_edges(t), 0.9)
+    return graph.impact(edges_of(t), 0.9)
 
 
 @query("""WITH i AS (SELECT l_orderkey AS k, epoch(l_shipdate)::BIGINT // 86400 - l_quantity::BIGINT AS lo, epoch(l_shipdate)::BIGINT // 86400 AS hi FROM lineitem),
@@ -241,7 +241,7 @@ def enclosing_interval(t):
 
 
 # Orders as findings.
-_F = """f AS (SELECT o_orderkey, o_custkey, c_mktsegment AS segment, n_name AS module, CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' WHEN '5-LOW' THEN 'low' ELSE 'info' END AS severity,
+SQL_FINDINGS = """f AS (SELECT o_orderkey, o_custkey, c_mktsegment AS segment, n_name AS module, CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' WHEN '5-LOW' THEN 'low' ELSE 'info' END AS severity,
   CASE o_orderstatus WHEN 'F' THEN 'high' WHEN 'O' THEN 'medium' ELSE 'low' END AS confidence, CASE c_mktsegment WHEN 'BUILDING' THEN 'security' WHEN 'MACHINERY' THEN 'defect' WHEN 'AUTOMOBILE' THEN 'testing' ELSE 'maintainability' END AS category,
   o_orderpriority = '1-URGENT' AND o_totalprice > 450000 AS blocks FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 g AS (SELECT *, CASE WHEN blocks OR (severity = 'critical' AND confidence = 'high') THEN 'must-fix' WHEN severity IN ('critical', 'high') OR (severity = 'medium' AND confidence = 'high') THEN 'should-fix' ELSE 'can-fix' END AS priority FROM f),
@@ -252,10 +252,10 @@ h AS (SELECT *, least(60.0, 100.0 * (0.25 * CASE severity WHEN 'critical' THEN 1
   + 0.08 * CASE WHEN blocks OR category = 'security' THEN 0.9 WHEN category IN ('maintainability', 'defect') THEN 0.72 ELSE 0.58 END
   + 0.01 * CASE confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.7 ELSE 0.4 END)
   + CASE WHEN blocks THEN 8.0 ELSE 0 END + CASE priority WHEN 'must-fix' THEN 5.0 WHEN 'should-fix' THEN 2.5 ELSE 0 END)::DOUBLE AS deduction FROM g)"""
-_SEV = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
+SQL_SEVERITY = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
 
 
-def _findings(t) -> DataFrame:
+def findings_of(t) -> DataFrame:
     rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     severity = risk.lookup({"1-URGENT": "critical", "2-HIGH": "high", "3-MEDIUM": "medium", "5-LOW": "low"}, F.col("o_orderpriority"), "info")
     category = risk.lookup({"BUILDING": "security", "MACHINERY": "defect", "AUTOMOBILE": "testing"}, F.col("c_mktsegment"), "maintainability")
@@ -264,48 +264,48 @@ def _findings(t) -> DataFrame:
     return rows.select("o_orderkey", "o_custkey", F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("module"), severity.alias("severity"), confidence.alias("confidence"), category.alias("category"), blocks.alias("blocks"))
 
 
-@query(f"WITH {_F} SELECT o_custkey, count(*) AS findings, sum(blocks::INT)::BIGINT AS blocking, round(30000.0 / (300.0 + sum(deduction)), 1) AS score FROM h GROUP BY 1")
+@query(f"WITH {SQL_FINDINGS} SELECT o_custkey, count(*) AS findings, sum(blocks::INT)::BIGINT AS blocking, round(30000.0 / (300.0 + sum(deduction)), 1) AS score FROM h GROUP BY 1")
 def risk_score_by_group(t):
-    return risk.score(_findings(t), ["o_custkey"])
+    return risk.score(findings_of(t), ["o_custkey"])
 
 
-@query(f"""WITH {_F} SELECT segment, o_orderkey, priority, row_number() OVER (PARTITION BY segment ORDER BY CASE priority WHEN 'must-fix' THEN 0 WHEN 'should-fix' THEN 1 ELSE 2 END, {_SEV}, (confidence <> 'high')::INT, o_orderkey)::INT AS place
+@query(f"""WITH {SQL_FINDINGS} SELECT segment, o_orderkey, priority, row_number() OVER (PARTITION BY segment ORDER BY CASE priority WHEN 'must-fix' THEN 0 WHEN 'should-fix' THEN 1 ELSE 2 END, {SQL_SEVERITY}, (confidence <> 'high')::INT, o_orderkey)::INT AS place
 FROM g QUALIFY place <= 20""")
 def priority_order(t):
-    rows = _findings(t).withColumn("priority", risk.priority())
+    rows = findings_of(t).withColumn("priority", risk.priority())
     place = F.row_number().over(Window.partitionBy("segment").orderBy(*risk.priority_order(), "o_orderkey"))
     return rows.select("segment", "o_orderkey", "priority", place.alias("place")).where("place <= 20")
 
 
-@query(f"""WITH {_F} SELECT category, count(*) AS size, arg_min(severity, {_SEV}) AS worst, count(DISTINCT module) AS modules, array_to_string(list_sort(list(DISTINCT module))[1:5], ',') AS first_modules FROM f GROUP BY 1 HAVING count(*) >= 2""")
+@query(f"""WITH {SQL_FINDINGS} SELECT category, count(*) AS size, arg_min(severity, {SQL_SEVERITY}) AS worst, count(DISTINCT module) AS modules, array_to_string(list_sort(list(DISTINCT module))[1:5], ',') AS first_modules FROM f GROUP BY 1 HAVING count(*) >= 2""")
 def systemic_clusters(t):
-    return risk.clusters(_findings(t), "category", "module")
+    return risk.clusters(findings_of(t), "category", "module")
 
 
-@query(f"""WITH {_F} SELECT module, count(*) AS findings, round(sum(w), 1) AS hours, round(sum(w) / 8, 2) AS days FROM (SELECT module, (CASE severity WHEN 'critical' THEN 4.0 WHEN 'high' THEN 2.0 WHEN 'medium' THEN 1.0 WHEN 'low' THEN 0.5 ELSE 0.1 END)::DOUBLE AS w FROM f) GROUP BY 1""")
+@query(f"""WITH {SQL_FINDINGS} SELECT module, count(*) AS findings, round(sum(w), 1) AS hours, round(sum(w) / 8, 2) AS days FROM (SELECT module, (CASE severity WHEN 'critical' THEN 4.0 WHEN 'high' THEN 2.0 WHEN 'medium' THEN 1.0 WHEN 'low' THEN 0.5 ELSE 0.1 END)::DOUBLE AS w FROM f) GROUP BY 1""")
 def tech_debt(t):
-    return risk.tech_debt(_findings(t), ["module"])
+    return risk.tech_debt(findings_of(t), ["module"])
 
 
 _FACTS = "k AS (SELECT count(*) AS findings_total, " + ", ".join(f"sum((severity = '{s}')::INT)::BIGINT AS findings_{s}" for s in risk.SEVERITY) + ", sum(blocks::INT)::BIGINT AS findings_blocking, round(30000.0 / (300.0 + sum(deduction)), 1) AS project_score FROM h)"
 GATE = [("score", "project.score >= 60%", "fail"), ("blocking", "findings.blocking == 0 and findings.critical < 100000", "fail"), ("either", "findings.low > 10 or findings.total < 5", "warn"), ("unknown", "coverage.lines >= 80", "fail")]
 
 
-@query(f"WITH {_F}, {_FACTS} SELECT * FROM k")
+@query(f"WITH {SQL_FINDINGS}, {_FACTS} SELECT * FROM k")
 def gate_facts(t):
-    return risk.gate_facts(_findings(t).withColumn("priority", risk.priority()).withColumn("deduction", risk.deduction()))
+    return risk.gate_facts(findings_of(t).withColumn("priority", risk.priority()).withColumn("deduction", risk.deduction()))
 
 
-@query(f"""WITH {_F}, {_FACTS} SELECT 'score' AS rule, 'fail' AS action, project_score >= 60 AS passed FROM k UNION ALL SELECT 'blocking', 'fail', findings_blocking = 0 AND findings_critical < 100000 FROM k
+@query(f"""WITH {SQL_FINDINGS}, {_FACTS} SELECT 'score' AS rule, 'fail' AS action, project_score >= 60 AS passed FROM k UNION ALL SELECT 'blocking', 'fail', findings_blocking = 0 AND findings_critical < 100000 FROM k
 UNION ALL SELECT 'either', 'warn', findings_low > 10 OR findings_total < 5 FROM k UNION ALL SELECT 'unknown', 'fail', true""")
 def gate_eval(t):
     return risk.gate(gate_facts(t), GATE)
 
 
-@query(f"""WITH {_F}, s AS (SELECT module, sum(blocks::INT) AS b, round(30000.0 / (300.0 + sum(deduction)), 1) AS score, sum((severity IN ('critical', 'high'))::INT) AS serious FROM h GROUP BY 1)
+@query(f"""WITH {SQL_FINDINGS}, s AS (SELECT module, sum(blocks::INT) AS b, round(30000.0 / (300.0 + sum(deduction)), 1) AS score, sum((severity IN ('critical', 'high'))::INT) AS serious FROM h GROUP BY 1)
 SELECT module, score, CASE WHEN b > 0 THEN 'blocked' WHEN score < 50 THEN 'not_recommended' WHEN score < 80 OR serious > 0 THEN 'conditional' ELSE 'recommended' END AS verdict FROM s""")
 def release_verdict(t):
-    rows = _findings(t)
+    rows = findings_of(t)
     serious = rows.groupBy("module").agg(F.sum(F.col("severity").isin("critical", "high").cast("int")).alias("serious"))
     return risk.score(rows, ["module"]).join(serious, "module").select("module", "score", risk.verdict(F.col("blocking"), F.col("score"), F.col("serious")).alias("verdict"))
 
@@ -343,7 +343,7 @@ def budget_first_fit(t):
 
 @query()
 def overlap_dedupe(t):
-    hits = rules.match_lines(_lines(t), RULES)
+    hits = rules.match_lines(lines_of(t), RULES)
     rank = risk.lookup({"LICENSE": 4, "TABLE": 3, "SHOUT": 2}, F.col("rule_id"), 1)
     return folds.merge_near(hits.select("doc_id", "line_no", rank.alias("rank"), (F.col("line_no") * 10 - rank).alias("ordinal")), "doc_id", "line_no", "rank", "ordinal")
 
@@ -360,10 +360,10 @@ def ttl_lookup(t):
     return diff.fresh(t("events"), ["user_id", "event_type"], "ts", 7)
 
 
-@query(f"""WITH {_L}, s AS (SELECT doc_id, line_no, sum(length(line) - length(replace(line, '(', '')) - length(line) + length(replace(line, ')', ''))) OVER (PARTITION BY doc_id ORDER BY line_no) AS s FROM l),
+@query(f"""WITH {SQL_LINES_TABLE}, s AS (SELECT doc_id, line_no, sum(length(line) - length(replace(line, '(', '')) - length(line) + length(replace(line, ')', ''))) OVER (PARTITION BY doc_id ORDER BY line_no) AS s FROM l),
 d AS (SELECT doc_id, s - least(0, min(s) OVER (PARTITION BY doc_id ORDER BY line_no)) AS d FROM s) SELECT doc_id, max(d)::BIGINT AS max_depth FROM d GROUP BY 1""")
 def nesting_depth(t):
-    braces = _lines(t).withColumn("line", F.translate("line", "(){}", "{}"))
+    braces = lines_of(t).withColumn("line", F.translate("line", "(){}", "{}"))
     return folds.nesting(braces, "doc_id").select("doc_id", F.col("max_depth").cast("long").alias("max_depth"))
 
 
