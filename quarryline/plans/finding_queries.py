@@ -64,12 +64,12 @@ def blocking_and_evidence(t):
 
 @query("""WITH a AS (SELECT user_id, event_type, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2),
 o AS (SELECT user_id, round(sum(v), 2) AS changed, sum(n)::BIGINT AS commits, count(*) AS authors, arg_min(event_type, (-n, event_type)) AS top_author, round(max(n) / sum(n), 3) AS top_share FROM a GROUP BY 1)
-SELECT * FROM o WHERE commits >= 3 AND top_share >= 0.5 ORDER BY top_share DESC, changed DESC, user_id LIMIT 10""")
+SELECT * FROM o WHERE commits >= 3 AND top_share >= 0.35 ORDER BY top_share DESC, changed DESC, user_id LIMIT 10""")
 def ownership_risk(t):
     by = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
     owner = F.min(F.struct((-F.col("n")).alias("n"), "event_type"))["event_type"]
     owned = by.groupBy("user_id").agg(F.round(F.sum("v"), 2).alias("changed"), F.sum("n").alias("commits"), F.count("*").alias("authors"), owner.alias("top_author"), F.round(F.max("n") / F.sum("n"), 3).alias("top_share"))
-    return findings.ownership_risk(owned, "user_id", 3, 0.5)
+    return findings.ownership_risk(owned, "user_id", 3, 0.35)
 
 
 @query(f"""WITH {SQL_DAYS}, a AS (SELECT user_id, md5(count(*)::VARCHAR) AS h FROM d, e WHERE day = today - 1 GROUP BY 1), b AS (SELECT user_id, md5(count(*)::VARCHAR) AS h FROM d, e WHERE day = today GROUP BY 1)
@@ -93,19 +93,19 @@ def first_parent_chains(t):
     return findings.chains(t("nation"), "n_nationkey", "n_regionkey").select("n_nationkey", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
 
 
-@query(f"""WITH RECURSIVE {SQL_EDGES}, o AS (SELECT DISTINCT caller FROM e WHERE caller NOT IN (SELECT callee FROM e WHERE confidence >= 0.97)),
+@query(f"""WITH RECURSIVE {SQL_EDGES}, o AS (SELECT DISTINCT caller FROM e WHERE caller NOT IN (SELECT callee FROM e WHERE confidence >= 1)),
 r(origin, node, depth) AS (SELECT caller, caller, 0 FROM o UNION SELECT origin, callee, depth + 1 FROM r JOIN e ON node = e.caller WHERE depth < 4 AND confidence >= 0.92),
 m AS (SELECT origin, node, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT origin, count(*) AS functions, max(depth) AS max_depth FROM m GROUP BY 1 HAVING count(*) > 2""")
 def process_trees(t):
     edges = edges_of(t)
-    return graph.processes(edges.where("confidence >= 0.92"), graph.entry_points(edges, 0.97), 4)
+    return graph.processes(edges.where("confidence >= 0.92"), graph.entry_points(edges, 1.0), 4)
 
 
 @query(f"""WITH {SQL_EDGES}, x AS (SELECT DISTINCT caller, callee FROM e WHERE caller <> callee), o AS (SELECT caller AS node, count(*) AS fan_out FROM x GROUP BY 1), i AS (SELECT callee AS node, count(*) AS fan_in FROM x GROUP BY 1),
 s AS (SELECT node, round(coalesce(fan_out, 0) / (coalesce(fan_in, 0) + coalesce(fan_out, 0)), 3) AS k FROM o FULL JOIN i USING (node))
-SELECT caller, callee, a.k AS source_instability, b.k AS target_instability FROM x JOIN s a ON caller = a.node JOIN s b ON callee = b.node WHERE a.k < 0.5 AND b.k > 0.5""")
+SELECT caller, callee, a.k AS source_instability, b.k AS target_instability FROM x JOIN s a ON caller = a.node JOIN s b ON callee = b.node WHERE a.k < 0.6 AND b.k > 0.4""")
 def unstable_dependencies(t):
-    return metrics.unstable(edges_of(t), 0.5, 0.5)
+    return metrics.unstable(edges_of(t), 0.6, 0.4)
 
 
 @query(f"""WITH {SQL_LINES_TABLE}, m AS (SELECT doc_id, lang, count(*) AS loc, 1 + sum(contains(line, ',')::INT) AS cc FROM l GROUP BY 1, 2)
