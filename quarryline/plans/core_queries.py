@@ -166,17 +166,19 @@ def change_coverage(t):
 
 
 # Nations as modules: an edge for each pair in which a customer's nation orders from a supplier's; confidence is the
-# pair's share of the caller's largest.
+# pair's share of the supplier's nation over the caller's largest such share.
 SQL_EDGES = """n AS (SELECT c_nationkey AS caller, s_nationkey AS callee, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
   JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
-g AS (SELECT caller, callee, round(n / max(n) OVER (PARTITION BY caller), 6) AS confidence FROM n), e AS (SELECT * FROM g WHERE confidence >= 0.9)"""
+l AS (SELECT caller, callee, n / sum(n) OVER (PARTITION BY callee)::BIGINT AS share FROM n),
+g AS (SELECT caller, callee, round(share / max(share) OVER (PARTITION BY caller), 6) AS confidence FROM l), e AS (SELECT * FROM g WHERE confidence >= 0.9)"""
 
 
 def edges_of(t, least: float = 0.9) -> DataFrame:
     pairs = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     counts = pairs.groupBy(F.col("c_nationkey").alias("caller"), F.col("s_nationkey").alias("callee")).agg(F.count("*").alias("n"))
-    top = F.max("n").over(Window.partitionBy("caller"))
-    return counts.select("caller", "callee", F.round(F.col("n") / top, 6).alias("confidence")).where(F.col("confidence") >= least)
+    shares = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("callee")))
+    top = F.max("share").over(Window.partitionBy("caller"))
+    return shares.select("caller", "callee", F.round(F.col("share") / top, 6).alias("confidence")).where(F.col("confidence") >= least)
 
 
 @query(f"""WITH {SQL_EDGES}, x AS (SELECT DISTINCT caller, callee FROM e WHERE caller <> callee), o AS (SELECT caller AS node, count(*) AS fan_out FROM x GROUP BY 1), i AS (SELECT callee AS node, count(*) AS fan_in FROM x GROUP BY 1)

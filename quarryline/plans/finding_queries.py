@@ -64,12 +64,12 @@ def blocking_and_evidence(t):
 
 @query("""WITH a AS (SELECT user_id, event_type, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2),
 o AS (SELECT user_id, round(sum(v), 2) AS changed, sum(n)::BIGINT AS commits, count(*) AS authors, arg_min(event_type, (-n, event_type)) AS top_author, round(max(n) / sum(n), 3) AS top_share FROM a GROUP BY 1)
-SELECT * FROM o WHERE commits >= 3 AND top_share >= 0.35 ORDER BY top_share DESC, changed DESC, user_id LIMIT 10""")
+SELECT * FROM o WHERE commits >= 2 AND top_share >= 0.25 ORDER BY top_share DESC, changed DESC, user_id LIMIT 10""")
 def ownership_risk(t):
     by = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
     owner = F.min(F.struct((-F.col("n")).alias("n"), "event_type"))["event_type"]
     owned = by.groupBy("user_id").agg(F.round(F.sum("v"), 2).alias("changed"), F.sum("n").alias("commits"), F.count("*").alias("authors"), owner.alias("top_author"), F.round(F.max("n") / F.sum("n"), 3).alias("top_share"))
-    return findings.ownership_risk(owned, "user_id", 3, 0.35)
+    return findings.ownership_risk(owned, "user_id", 2, 0.25)
 
 
 @query(f"""WITH {SQL_DAYS}, a AS (SELECT user_id, md5(count(*)::VARCHAR) AS h FROM d, e WHERE day = today - 1 GROUP BY 1), b AS (SELECT user_id, md5(count(*)::VARCHAR) AS h FROM d, e WHERE day = today GROUP BY 1)
