@@ -287,3 +287,17 @@ def deduplicated(docs: DataFrame, ngram: int = 5, threshold: Fraction = Fraction
     side = _small(repeated, repeated.count())
     once = kept.join(side, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(side, "doc_id", "left_anti").unionAll(once).select(docs.columns)
+
+
+#: DuckDB SQL of the query's columns: equal sets once, pairs by common shingles, then the closure of the links.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS g FROM d),
+c AS (SELECT min(doc_id) AS class, g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+u AS (SELECT class, n, unnest(g) AS h FROM c),
+p AS (SELECT a.class AS x, b.class AS y FROM u a JOIN u b ON a.h = b.h AND a.class <> b.class AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r(class, root) AS (SELECT class, class FROM c UNION SELECT y, root FROM r JOIN p ON class = x),
+m AS (SELECT class, min(root) AS root FROM r GROUP BY class)
+SELECT doc_id, len(s.g) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM s LEFT JOIN c ON s.g = c.g LEFT JOIN m USING (class)"""

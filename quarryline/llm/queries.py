@@ -72,4 +72,4 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_minhash": op1_minhash, "op2_pii": op2_pii, "op3_mixing": op3_mixing, "op4_sketch": op4_sketch, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_huffman": op7_huffman, "op8_secrets": op8_secrets, "op9_line_dedup": op9_line_dedup, "op10_winnow": op10_winnow}
-ORACLES: dict[str, str] = {"op3_mixing": mixing.oracle(), "op9_line_dedup": linededup.ORACLE}
+ORACLES: dict[str, str] = {"op1_minhash": minhash.ORACLE, "op10_winnow": winnow.ORACLE, "op3_mixing": mixing.oracle(), "op9_line_dedup": linededup.ORACLE}

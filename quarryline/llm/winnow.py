@@ -209,3 +209,18 @@ def with_digest(found: DataFrame) -> DataFrame:
     """``items_sha256`` (ids sorted as strings, comma-joined) in place of ``items``."""
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.withColumn("items_sha256", F.sha2(names, 256)).drop("items")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: DuckDB SQL of the query's columns: every window of every length that an item has, looked up whole.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+n AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM n),
+z AS (SELECT DISTINCT n FROM g),
+p AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM d, z WHERE len(w) >= n),
+m AS (SELECT doc_id, p, p.n, item_id FROM p JOIN g ON p.n = g.n AND array_to_string(w[p:p + p.n - 1], ' ') = g.g),
+h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS place FROM m) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
