@@ -151,19 +151,19 @@ def chains(parents: DataFrame, node: str, parent: str, depth: int = 20) -> DataF
 
 
 def resolve_calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Targets of free calls (``path, class, callee``) among ``path, class, name, qualified``: ``site`` columns, ``target, confidence``.
+    """Targets of distinct free calls (``path, class, callee``) among ``path, class, name, qualified``: the columns of ``sites``, ``target, confidence``.
 
     The first that holds: same file 0.95, same class 0.9, the only one of its
     name 0.6, else each of the first three by name 0.5.
     """
-    ids = sites.withColumn("_site", F.xxhash64(*sites.columns))
+    ids = sites.distinct().withColumn("_site", F.xxhash64(*sites.columns))
     known = symbols.select(F.col("name").alias("callee"), F.col("path").alias("_path"), F.col("class").alias("_class"), "qualified")
     # candidates that can win: those near the call, and three of each name
     totals = known.groupBy("callee").agg(F.count("*").alias("_n"))
     first = top_by(known, ["callee"], ["qualified", "_path"], 3).drop("place").join(totals, "callee")
-    near = ids.join(known, "callee").where("_path = path or _class = class")
-    level = F.when(F.col("_path") == F.col("path"), 0.95).otherwise(0.9)
-    own = near.select(*ids.columns, level.alias("confidence"), "qualified")
+    # by path and by class apart: a name alone would pair every call with every symbol of that name
+    by = lambda column, level: ids.join(known.select("callee", F.col(f"_{column}").alias(column), "qualified"), ["callee", column]).select(*ids.columns, F.lit(level).alias("confidence"), "qualified")
+    own = by("path", 0.95).unionByName(by("class", 0.9))
     own = own.groupBy(*ids.columns).agg(F.min(F.struct((-F.col("confidence")).alias("c"), "qualified")).alias("b")).select(*ids.columns, F.col("b.qualified").alias("target"), (-F.col("b.c")).alias("confidence"))
     rest = ids.join(own.select("_site"), "_site", "left_anti").join(first, "callee").select(*ids.columns, F.col("qualified").alias("target"), F.when(F.col("_n") == 1, 0.6).otherwise(0.5).alias("confidence"))
     return own.unionByName(rest).drop("_site")
