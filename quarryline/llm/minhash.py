@@ -11,10 +11,18 @@ How the work is bounded:
 * in a band's bucket each member is compared with the bucket's smallest member
   (links in number of members, not pairs). The hub's set goes once to each
   block of ``BLOCK`` members;
-* members that remain in different components after that are compared block by
-  block within their cluster of colliding buckets, whole sets against whole
-  sets; two blocks of one component need no comparison. No pairs are emitted:
-  a task returns a spanning forest of the links it confirmed;
+* members of one bucket that remain in different components after that are
+  compared block by block within a group, whole sets against whole sets; two
+  blocks of one component need no comparison. No pairs are emitted: a task
+  returns a spanning forest of the links it confirmed;
+* such a group is a cluster of colliding buckets while all but its largest
+  component have at most ``NARROW`` members; a wider one gives way to its
+  buckets, each set of members once; a wider bucket to the members that share
+  one of their rarest shingles in it (``_by_rare_shingles``), which two sets of
+  the threshold always do. So a text is sent to a bounded number of blocks,
+  except where thousands of different texts share a band and rare shingles;
+* tables of hot keys (hubs, groups) have at most a row for ``BLOCK`` rows and
+  are broadcast after a count; beyond that both sides are salted (``_put``);
 * components are contracted in the cluster (``components``).
 """
 
@@ -26,14 +34,18 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import ASCII_LOWER, WordHashes, grams, mix, slices
 from quarryline.llm.components import components
-from quarryline.session import materialize
+from quarryline.session import materialize, release, scratch_scope
 
 BLOCK = 128
+#: Members besides the largest component that a group may have and still be compared as one.
+NARROW = 1024
+SALTS = 16
+NO_OWNER = -(2**63)
 #: A table of at most so many (id, id) rows may be broadcast: 16 bytes a row.
 BROADCAST_ROWS = 1_000_000
 #: Accepted chance that the bands overlook one link at the threshold.
@@ -184,6 +196,14 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _put(df: DataFrame, facts: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Left join to a written table of facts on the few hot ``keys``: broadcast after a count, else salted by ``by``."""
+    if facts.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(facts), keys, "left")
+    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [*keys, "_salt"], "left").drop("_salt")
+
+
 def near_dedup(docs: DataFrame, ngram: int = 5, threshold: Fraction = Fraction(4, 5), perms: int = 128, seed: int = 7) -> DataFrame:
     """Near-duplicate components of ``docs(doc_id, text)``.
 
@@ -198,14 +218,19 @@ def near_dedup(docs: DataFrame, ngram: int = 5, threshold: Fraction = Fraction(4
     Empty table: no rows. The number of texts in a group has no limit.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    with scratch_scope() as made:
+        out = materialize(_near_dedup(docs, ngram, threshold, perms, seed), "near-dedup")
+    release(docs.sparkSession, made[:-1])  # all but the result
+    return out
+
+
+def _near_dedup(docs: DataFrame, ngram: int, threshold: Fraction, perms: int, seed: int) -> DataFrame:
     schema = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
     feats = materialize(docs.mapInArrow(_features(ngram, perms, threshold, seed), schema), "features")
     named = feats.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
 
-    hits = classes.select("node", "n", F.explode("bands").alias("h"))
-    hubs = hits.groupBy("h").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    members = materialize(hits.join(hubs, "h").select("h", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
+    members = materialize(_members(classes.select("node", "n", F.explode("bands").alias("h"))), "members")
     num, den = threshold.numerator, threshold.denominator
     fits = F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num  # sets of other sizes cannot reach the threshold
     stars = materialize(members.where((F.col("node") != F.col("hub")) & fits).select("hub", "node").distinct(), "stars")
@@ -228,6 +253,18 @@ def near_dedup(docs: DataFrame, ngram: int = 5, threshold: Fraction = Fraction(4
     )
 
 
+def _members(hits: DataFrame) -> DataFrame:
+    """``h, node, n, hub, hub_n`` of the buckets with two members or more; the rows of large buckets are not shuffled."""
+    hubs = materialize(hits.groupBy("h").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1"), "hubs")
+    columns = ["h", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")]
+    large = hubs.where(F.col("c") > BLOCK)
+    if large.isEmpty():
+        return hits.join(hubs, "h").select(columns)
+    marked = _put(hits, large, ["h"], "node")
+    rest = marked.where("hub is null").select("h", "node", "n").join(hubs.where(F.col("c") <= BLOCK), "h")
+    return marked.where("hub is not null").select(columns).unionByName(rest.select(columns))
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, text`` of the nodes that share a bucket, each once."""
     side = _small(wanted, wanted.count())
@@ -236,8 +273,8 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _check_stars(stars: DataFrame, texts: DataFrame, ngram: int, threshold: Fraction) -> DataFrame:
-    blocks = stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = stars.join(blocks, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    many = materialize(stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "hot-hubs")
+    dealt = _put(stars, many, ["hub"], "node").select("hub", "node", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
     heads = dealt.select("hub", "block").distinct().select("hub", F.col("hub").alias("node"), "block")
     groups = dealt.unionByName(heads).join(texts, "node").groupBy("hub", "block")
     return materialize(groups.applyInArrow(_verify_hub(ngram, threshold), "a long, b long"), "found")
@@ -245,28 +282,86 @@ def _check_stars(stars: DataFrame, texts: DataFrame, ngram: int, threshold: Frac
 
 def _check_rest(members: DataFrame, comp: DataFrame, texts: DataFrame, ngram: int, threshold: Fraction) -> DataFrame:
     """Links between members of one bucket that the hubs did not connect."""
-    label = F.coalesce("component", "node")
-    left = members.where("node != hub").join(comp, "node", "left").select("h", "node", label.alias("label"))
-    open_ = left.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("first")).where("lo != hi")
-    rows = materialize(left.join(open_.select("h", "first"), "h").select("node", "label", "first").distinct(), "open")
+    left = members.where("node != hub").join(comp, "node", "left").select("h", "node", F.coalesce("component", "node").alias("label"))
+    open_ = materialize(left.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("first")).where("lo != hi").select("h", "first"), "open-buckets")
+    rows = materialize(left.join(_small(open_, open_.count()), "h"), "open")
     cluster = components(rows.select(F.col("first").alias("a"), F.col("node").alias("b")))
-    nodes = rows.select("node", "label").distinct().join(cluster, "node").withColumnRenamed("component", "cluster")
-    size = nodes.groupBy("cluster", "label").agg(F.count("*").alias("size"))
-    total = size.groupBy("cluster").agg(F.sum(F.when(F.col("size") < BLOCK, F.col("size")).otherwise(0)).alias("small"))
-    nodes = nodes.join(size, ["cluster", "label"]).join(total, "cluster")
+    nodes = rows.select("node", "label").distinct().join(cluster, "node").select(F.col("component").alias("g"), "node", "label")
+    nodes, wide = _narrow(materialize(nodes, "clusters"))
+    if not wide.isEmpty():
+        chosen = wide.select("node").distinct()
+        inside = rows.join(_small(chosen, wide.count()), "node", "left_semi")
+        buckets, wide = _narrow(_distinct_groups(inside.select(F.col("h").alias("g"), "node", "label")))
+        nodes = nodes.unionByName(buckets)
+        if not wide.isEmpty():
+            nodes = nodes.unionByName(_distinct_groups(_by_rare_shingles(wide, texts, ngram, threshold)))
+    return _check_groups(nodes, texts, ngram, threshold)
+
+
+def _narrow(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows ``g, node, label`` of groups that may be compared as one, and those of the others."""
+    size = groups.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg((F.sum("c") - F.max("c")).alias("others"))
+    wide = materialize(size.where(F.col("others") > NARROW).select("g"), "wide")
+    if wide.isEmpty():
+        return groups, groups.limit(0)
+    marked = materialize(_put(groups, wide.withColumn("wide", F.lit(True)), ["g"], "node"), "marked")
+    return marked.where("wide is null").drop("wide"), marked.where("wide").drop("wide")
+
+
+def _distinct_groups(groups: DataFrame) -> DataFrame:
+    """Of groups with equal sets of members only the one of the smallest ``g``; groups of one component are left out."""
+    groups = materialize(groups, "groups")
+    prints = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("c")]
+    sets = groups.groupBy("g").agg(*prints, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+    kept = materialize(sets.groupBy("x", "y", "c").agg(F.min("g").alias("g")).select("g"), "kept-groups")
+    return materialize(groups.join(_small(kept, kept.count()), "g", "left_semi"), "groups")
+
+
+def _shingles_of(ngram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part in slices(batches):
+            sets = [shingle_set(t, ngram, hashes).view(np.int64) for t in part.column(1).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["node", "shingles"])
+
+    return run
+
+
+def _by_rare_shingles(groups: DataFrame, texts: DataFrame, ngram: int, threshold: Fraction) -> DataFrame:
+    """Groups of the members of a wide group that share one of their rarest shingles there.
+
+    Of two sets whose similarity is at least t, each put in the same order, the
+    first ``n - ceil(t * n) + 1`` have a member in common; so no link is lost.
+    Shingles in at least ``BLOCK`` members come last, by their number; of those
+    there is at most one for ``BLOCK`` rows.
+    """
+    num, den = threshold.numerator, threshold.denominator
+    sets = materialize(texts.join(groups.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_shingles_of(ngram), "node long, shingles array<long>"), "sets")
+    rows = groups.join(sets, "node").select("g", "node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = materialize(rows.groupBy("g", "s").agg(F.count("*").alias("c")).where(F.col("c") >= BLOCK), "often")
+    ranked = _put(rows, often, ["g", "s"], "node").withColumn("place", F.row_number().over(Window.partitionBy("g", "node").orderBy(F.coalesce("c", F.lit(0)), "s")))
+    first = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
+    return first.select(F.xxhash64("g", "s").alias("g"), "node", "label")
+
+
+def _check_groups(nodes: DataFrame, texts: DataFrame, ngram: int, threshold: Fraction) -> DataFrame:
+    """Confirmed links between the different labels of each group of ``g, node, label``."""
     # components of a block or more have blocks of their own, so that two of these can be skipped; the others share blocks
-    big = F.col("size") >= BLOCK
-    own = F.when(big, F.col("label"))
-    count = F.ceil(F.when(big, F.col("size")).otherwise(F.col("small")) / BLOCK)
-    nodes = materialize(nodes.select("cluster", "node", "label", own.alias("own"), F.pmod(F.xxhash64("node"), count).cast("int").alias("block")), "blocks")
-    ends = nodes.select("cluster", "own", "block").distinct().select("cluster", F.struct(F.coalesce("own", F.lit(-(2**63)).cast("long")).alias("own"), "block").alias("key"))
+    big = materialize(nodes.groupBy("g", "label").agg(F.count("*").alias("size")).where(F.col("size") >= BLOCK), "big-labels")
+    sized = _put(nodes, big, ["g", "label"], "node")
+    small = materialize(sized.where("size is null").groupBy("g").agg(F.count("*").alias("small")).where(F.col("small") > BLOCK), "small-labels")
+    count = F.ceil(F.coalesce("size", "small", F.lit(1)) / BLOCK)
+    own = F.when(F.col("size").isNotNull(), F.col("label"))
+    key = F.struct(F.coalesce(own, F.lit(NO_OWNER)).alias("own"), F.pmod(F.xxhash64("node"), count).cast("int").alias("block"))
+    keyed = materialize(_put(sized, small, ["g"], "node").select("g", "node", "label", key.alias("key")), "blocks")
+    ends = keyed.select("g", "key").distinct()
     other = ends.withColumnRenamed("key", "other")
-    tasks = ends.join(other, "cluster").where("key <= other and (key.own != other.own or key.own = -9223372036854775808L)")
-    tasks = tasks.withColumn("task", F.xxhash64("cluster", "key", "other"))
-    key = F.struct(F.coalesce("own", F.lit(-(2**63)).cast("long")).alias("own"), "block")
-    keyed = nodes.select("cluster", "node", "label", key.alias("key"))
-    sides = tasks.select("cluster", "task", "key", F.lit(0).alias("side")).unionAll(tasks.where("key != other").select("cluster", "task", F.col("other").alias("key"), F.lit(1).alias("side")))
-    groups = keyed.join(sides, ["cluster", "key"]).select("task", "side", "node", "label").join(texts, "node").groupBy("task")
+    tasks = ends.join(other, "g").where((F.col("key") <= F.col("other")) & ((F.col("key.own") != F.col("other.own")) | (F.col("key.own") == NO_OWNER)))
+    tasks = tasks.withColumn("task", F.xxhash64("g", "key", "other"))
+    sides = tasks.select("g", "task", "key", F.lit(0).alias("side")).unionAll(tasks.where("key != other").select("g", "task", F.col("other").alias("key"), F.lit(1).alias("side")))
+    groups = keyed.join(sides, ["g", "key"]).select("task", "side", "node", "label").join(texts, "node").groupBy("task")
     return materialize(groups.applyInArrow(_verify_blocks(ngram, threshold), "a long, b long"), "rest")
 
 

@@ -70,6 +70,38 @@ def test_blocks_of_large_groups(spark, monkeypatch):
     check(spark, fixture_rows(), 3, Fraction(85, 100))
 
 
+def boilerplate_rows(n=90):
+    """Different texts that share much of their words, so that many collide in a band and few are alike."""
+    rng = random.Random(9)
+    shared = [f"licence{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        own = [f"own{i}x{j}" for j in range(rng.randrange(40, 60))]
+        rows.append((i, " ".join(shared + own)))
+        if i % 9 == 0:
+            rows.append((1000 + i, " ".join(shared + own[:-2] + ["tail"])))
+    return rows
+
+
+def test_wide_groups_of_different_texts(spark, monkeypatch):
+    """One cluster of colliding buckets, hardly any links: buckets, then rare shingles, take its place."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "NARROW", 6)
+    seen = []
+    inner = minhash._by_rare_shingles
+    monkeypatch.setattr(minhash, "_by_rare_shingles", lambda *a: seen.append(1) or inner(*a))
+    check(spark, boilerplate_rows(), 3, Fraction(85, 100))
+    assert seen
+
+
+def test_salted_and_shuffled_joins(spark, monkeypatch):
+    """No table may be broadcast: hot hubs, buckets and groups are salted."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "NARROW", 6)
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", -1)
+    check(spark, boilerplate_rows(40) + [(2000 + i, "the very same words again and " + "again " * (i % 3)) for i in range(40)], 3, Fraction(85, 100))
+
+
 def test_nulls_repeats_and_empty(spark):
     text = "a b c d e f g h"
     rows = [(None, text), (None, None), (5, text), (5, text), (7, text), (None, text)]
