@@ -9,8 +9,10 @@ marginals then give each token its probability, a run of probable tokens is a
 span, and a logistic regression over the document's marginals, fitted on
 training documents that the chain has not seen, gives the document's score.
 
-Chains are stretches of at most ``STRETCH`` tokens, so that a batch's chains
-run in step as arrays; a text of any length is read whole.
+A chain is a whole document, whatever its length. To run a batch's chains in
+step as arrays, they are laid out in stretches of ``STRETCH`` tokens: the product
+of a stretch's transitions carries the state across it, so that the marginals
+are those of the whole chain.
 """
 
 from __future__ import annotations
@@ -47,40 +49,77 @@ def features(word: bytes) -> list[bytes]:
     return [b"=" + word] + [b"^" + text[:n].encode("utf-8", "surrogatepass") for n in PREFIXES if len(text) >= n]
 
 
-def stretches(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For tokens laid end to end, each one's row and column in the table of chains."""
-    total = int(sizes.sum())
-    within = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    rows_of = -(-sizes // STRETCH)
-    first = np.repeat(np.cumsum(rows_of) - rows_of, sizes)
-    return first + within // STRETCH, within % STRETCH
-
+def _carried(table: np.ndarray, live: np.ndarray, head: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Product of each stretch's transitions, up to a factor: rows of ``p00, p01, p10, p11``."""
+    n = table.shape[1]
+    out = np.array([np.ones(n), np.zeros(n), np.zeros(n), np.ones(n)])
+    for t, m in enumerate(live):
+        if not m:
+            break
+        e, v = table[t, :m], out[:, :m]
+        step = np.array([v[0] * a[0, 0] + v[1] * a[1, 0], (v[0] * a[0, 1] + v[1] * a[1, 1]) * e, v[2] * a[0, 0] + v[3] * a[1, 0], (v[2] * a[0, 1] + v[3] * a[1, 1]) * e])
+        if t == 0:  # nothing comes before a chain's first token
+            step = np.where(head[:m], np.array([v[0], v[1] * e, v[2], v[3] * e]), step)
+        out[:, :m] = step / step.max(axis=0)
+    return out
 
-def forward_backward(odds: np.ndarray, length: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chains in rows: odds of state 1 at each token, forward and backward, and each chain's log partition function.
 
-    ``a[i, j]`` is the exponentiated weight of going from state i to j; odds are
-    exponentiated emissions. A chain starts in either state alike.
+def _entering(product: np.ndarray, first: np.ndarray, rows_of: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odds of the forward state before each stretch, and of the backward state at its last token."""
+    enter, leave = np.ones(width), np.ones(width)
+    order = np.argsort(-rows_of, kind="stable")
+    first, rows_of = first[order], rows_of[order]
+    f, b = np.ones((2, len(first))), np.ones((2, len(first)))
+    for k in range(1, int(rows_of[0])):
+        m = int(np.searchsorted(-rows_of, -k, "left"))  # chains of more than k stretches come first
+        p = product[:, first[:m] + k - 1]
+        f = np.array([f[0, :m] * p[0] + f[1, :m] * p[2], f[0, :m] * p[1] + f[1, :m] * p[3]])
+        f /= f.max(axis=0)
+        enter[first[:m] + k] = f[1] / np.maximum(f[0], 1e-300)
+        last = first[:m] + rows_of[:m] - k
+        p = product[:, last]
+        b = np.array([p[0] * b[0, :m] + p[1] * b[1, :m], p[2] * b[0, :m] + p[3] * b[1, :m]])
+        b /= b.max(axis=0)
+        leave[last - 1] = b[1] / np.maximum(b[0], 1e-300)
+    return enter, leave
+
+
+def forward_backward(odds: np.ndarray, sizes: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For chains laid end to end, of ``sizes`` tokens: odds of state 1 of the forward and of the backward state at each token.
+
+    ``odds`` are exponentiated emissions, ``a[i, j]`` the exponentiated weight of
+    going from state i to j. A chain starts in either state alike.
     """
-    n, width = odds.shape
-    ahead, back = np.ones((n, width)), np.ones((n, width))
-    logz = np.zeros(n)
-    for t in range(width):
-        on = length > t
-        if t == 0:
-            r, scale = odds[:, 0], np.ones(n)
-        else:
-            before = ahead[:, t - 1]
-            scale = (a[0, 0] + before * a[1, 0]) / (1 + before)
-            r = odds[:, t] * (a[0, 1] + before * a[1, 1]) / (a[0, 0] + before * a[1, 0])
-        ahead[:, t] = np.where(on, r, 1.0)
-        # partition: product of (sum over states) with the forward vector kept to sum 1
-        logz += np.where(on, np.log(scale * (1 + r)), 0.0)
-    for t in range(width - 2, -1, -1):
-        on = length > t + 1
-        later = odds[:, t + 1] * back[:, t + 1]
-        back[:, t] = np.where(on, (a[1, 0] + later * a[1, 1]) / (a[0, 0] + later * a[0, 1]), 1.0)
-    return ahead, back, logz
+    sizes = sizes[sizes > 0]
+    rows_of = -(-sizes // STRETCH)
+    first = np.cumsum(rows_of) - rows_of
+    within = np.arange(len(odds)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row, column = np.repeat(first, sizes) + within // STRETCH, within % STRETCH
+    length = np.bincount(row)
+    # stretches in order of length, so that those that still run at a step come first
+    order = np.argsort(-length, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    live = np.searchsorted(-length[order], -np.arange(STRETCH), "left")  # stretches of more than t tokens
+    table = np.ones((STRETCH, len(length)))
+    table[column, place[row]] = odds
+    head = np.zeros(len(length), bool)
+    head[place[first]] = True
+    enter = leave = np.ones(len(length))
+    if rows_of.max() > 1:
+        enter, leave = (x[order] for x in _entering(_carried(table, live, head, a)[:, place], first, rows_of, len(length)))
+    ahead, back = np.ones_like(table), np.ones_like(table)
+    ahead[0] = table[0] * np.where(head, 1.0, (a[0, 1] + enter * a[1, 1]) / (a[0, 0] + enter * a[1, 0]))
+    for t in range(1, STRETCH):
+        m = live[t]
+        before = ahead[t - 1, :m]
+        ahead[t, :m] = table[t, :m] * (a[0, 1] + before * a[1, 1]) / (a[0, 0] + before * a[1, 0])
+    back[length[order] - 1, np.arange(len(length))] = leave
+    for t in range(STRETCH - 2, -1, -1):
+        m = live[t + 1]
+        later = table[t + 1, :m] * back[t + 1, :m]
+        back[t, :m] = (a[1, 0] + later * a[1, 1]) / (a[0, 0] + later * a[0, 1])
+    return ahead[column, place[row]], back[column, place[row]]
 
 
 @dataclass
@@ -135,11 +174,8 @@ def emissions(scores: np.ndarray, sizes: np.ndarray, bias: float) -> np.ndarray:
 
 
 def chain_marginals(scores: np.ndarray, sizes: np.ndarray, bias: float, moves: np.ndarray) -> np.ndarray:
-    row, column = stretches(sizes)
-    table = np.ones((row[-1] + 1, STRETCH))
-    table[row, column] = np.exp(np.clip(emissions(scores, sizes, bias), -30, 30))
-    ahead, back, _ = forward_backward(table, np.bincount(row), np.exp(moves))
-    odds = (ahead * back)[row, column]
+    ahead, back = forward_backward(np.exp(np.clip(emissions(scores, sizes, bias), -30, 30)), sizes, np.exp(moves))
+    odds = ahead * back
     return odds / (1 + odds)
 
 
@@ -185,6 +221,14 @@ def token_labels(docs: list[list[bytes]], toxic: np.ndarray, ratio: float = 4.0,
     return of, frequent, {w for w, fs in of.items() if not marked.isdisjoint(fs)}
 
 
+def _parts(sizes: np.ndarray, tokens: int = 100_000) -> list[tuple[int, int, np.ndarray]]:
+    """Runs of whole documents of about ``tokens`` tokens: first and last token, and the documents' sizes."""
+    ends = np.cumsum(sizes)
+    cuts = np.flatnonzero(np.diff((ends - 1) // tokens)) + 1
+    groups = zip(np.split(sizes, cuts), [0, *cuts.tolist()], strict=True)
+    return [(int(ends[i] - sizes[i]), int(ends[i + len(g) - 1]), g) for g, i in groups if g.sum()]
+
+
 def fit_chain(docs: list[list[bytes]], toxic: np.ndarray, l2: float = 0.5, steps: int = 80) -> Chain:
     """Maximum likelihood of the labelled tokens, by gradient descent with Adam's step sizes."""
     of, frequent, marked = token_labels(docs, toxic)
@@ -206,13 +250,10 @@ def fit_chain(docs: list[list[bytes]], toxic: np.ndarray, l2: float = 0.5, steps
     alone = np.array([index.get(b"=" + w, -1) for w in words])
     n, v = len(names), len(words)
 
-    row, column = stretches(sizes)
-    length = np.bincount(row)
-    before = np.zeros(len(tokens), bool)
-    before[1:] = row[1:] == row[:-1]  # has a predecessor in its chain
+    parts = _parts(sizes)
     same_doc = np.ones(len(tokens), bool)
     same_doc[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
-    pos = np.flatnonzero(before)
+    pos = np.flatnonzero(same_doc)
     target = np.zeros((2, 2))
     np.add.at(target, (y[pos - 1].astype(int), y[pos].astype(int)), 1)
 
@@ -222,31 +263,32 @@ def fit_chain(docs: list[list[bytes]], toxic: np.ndarray, l2: float = 0.5, steps
     for step in range(1, steps + 1):
         own = np.bincount(owner, weights=theta[feat], minlength=v)
         pick = lambda k: np.where(alone >= 0, theta[k * n + np.maximum(alone, 0)], 0.0)
-        scores = np.stack([own, pick(1), pick(2)], axis=1)[tokens]
+        scores = np.stack([own, pick(1), pick(2)], axis=1)
         a = np.exp(theta[3 * n + 1 :].reshape(2, 2))
-        table = np.ones((len(length), STRETCH))
-        table[row, column] = np.exp(np.clip(emissions(scores, sizes, theta[3 * n]), -30, 30))
-        ahead, back, _ = forward_backward(table, length, a)
-        odds = (ahead * back)[row, column]
-        p = odds / (1 + odds)
-        # expected moves between neighbours
-        f, b, e = ahead[row, column], back[row, column], table[row, column]
-        late, early = e[pos] * b[pos], f[pos - 1]
-        total = (a[0, 0] + a[0, 1] * late) + early * (a[1, 0] + a[1, 1] * late)
-        late /= total
-        expected = np.array([[a[0, 0] * (1 / total).sum(), a[0, 1] * late.sum()], [a[1, 0] * (early / total).sum(), a[1, 1] * (early * late).sum()]])
-        del total, late, early, f, b, e
-        diff = p - y
+        expected = np.zeros((2, 2))
         grad = np.zeros_like(theta)
-        by_word = np.bincount(tokens, weights=diff, minlength=v)
+        by_word, by_left, by_right = np.zeros(v), np.zeros(v), np.zeros(v)
+        for start, end, of_part in parts:  # documents of a few tokens at a time
+            ids = tokens[start:end]
+            e = np.exp(np.clip(emissions(scores[ids], of_part, theta[3 * n]), -30, 30))
+            ahead, back = forward_backward(e, of_part, a)
+            odds = ahead * back
+            diff = odds / (1 + odds) - y[start:end]
+            linked = np.flatnonzero(same_doc[start:end])
+            # expected moves between neighbours
+            late, early = (e * back)[linked], ahead[linked - 1]
+            total = (a[0, 0] + a[0, 1] * late) + early * (a[1, 0] + a[1, 1] * late)
+            late = late / total
+            expected += [[a[0, 0] * (1 / total).sum(), a[0, 1] * late.sum()], [a[1, 0] * (early / total).sum(), a[1, 1] * (early * late).sum()]]
+            by_word += np.bincount(ids, weights=diff, minlength=v)
+            # the word before takes part in the next token's emission, and the reverse
+            by_left += np.bincount(ids[linked - 1], weights=diff[linked], minlength=v)
+            by_right += np.bincount(ids[linked], weights=diff[linked - 1], minlength=v)
         grad[:n] = np.bincount(feat, weights=by_word[owner], minlength=n)
-        linked = np.flatnonzero(same_doc)
-        for k, here in ((1, linked - 1), (2, linked)):  # the word before takes part in the next token's emission, and the reverse
-            there = linked if k == 1 else linked - 1
-            word = np.bincount(tokens[here], weights=diff[there], minlength=v)
-            known = alone >= 0
-            grad[k * n : (k + 1) * n] = np.bincount(alone[known], weights=word[known], minlength=n)
-        grad[3 * n] = diff.sum()
+        single = alone >= 0
+        for k, by in ((1, by_left), (2, by_right)):
+            grad[k * n : (k + 1) * n] = np.bincount(alone[single], weights=by[single], minlength=n)
+        grad[3 * n] = by_word.sum()
         grad[3 * n + 1 :] = (expected - target).ravel()
         grad += l2 * theta
         grad[3 * n] -= l2 * theta[3 * n]
