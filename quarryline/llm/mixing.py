@@ -2,25 +2,31 @@
 
 Documents are counted, in words, by cell (source, language, topic). Rounds of
 raking scale the cells to each marginal's targets in turn, until they agree
-with all three. A document's inclusion probability is its cell's weight over
-its cell's words, scaled so that the largest is 1; a keyed hash of the doc_id
-decides. Spark's own functions only; the cells are one small table whatever the
-number of documents.
+with all three to ``AGREE`` of all words; that is measured. A document's
+inclusion probability is its cell's weight over its cell's words, scaled so that
+the largest is 1; a keyed hash of the doc_id decides. Spark's own functions
+only; the cells are one small table whatever the number of documents.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.session import materialize
+from quarryline.session import materialize, release, scratch_scope
 
 MARGINS = ("source", "lang", "topic")
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
-ROUNDS = 12
+ROUNDS = 12  # at least
+MOST_ROUNDS = 200
 ROUNDS_A_TABLE = 4
-#: A cell table of at most so many rows may be broadcast.
+#: Largest difference of a category's total from its goal, as a share of all words.
+AGREE = 1e-6
+#: A cell table of at most so many rows may be broadcast; a larger one is copied ``SALTS`` times, so that no cell's documents meet in one task.
 BROADCAST_CELLS = 500_000
+SALTS = 16
 UNKNOWN = "unknown"
 
 
@@ -50,12 +56,23 @@ def _targets(margin: str, given: dict[str, dict[str, float]] | None) -> Column:
     return F.pow(F.col("words"), F.lit(TEMPER[margin]))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def residual(cells: DataFrame) -> float:
+    """The largest difference of a category's weight from its goal, as a share of all words; 0 without cells."""
+    gaps = [cells.groupBy(F.col(m).alias("category")).agg(F.abs(F.sum("weight") - F.first(f"goal_{m}")).alias("gap")) for m in MARGINS]
+    gap = reduce(DataFrame.unionAll, gaps).agg(F.max("gap")).first()[0]
+    return (gap or 0.0) / (cells.agg(F.sum("words")).first()[0] or 1)
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, agree: float = AGREE) -> DataFrame:
     """``cells(source, lang, topic, words)`` with a column ``weight`` raked to all marginals; weights sum to all words.
 
     ``targets`` may give ``{margin: {category: share}}``. A margin without is
     tempered: its categories' shares are in proportion to words to the power in
     ``TEMPER``. A category with words but no given share gets none.
+
+    After ``rounds`` it goes on until the marginals agree; where they don't
+    after ``MOST_ROUNDS`` (no weights meet all the given shares, as when a
+    wanted source has words in unwanted languages only), it raises ValueError.
     """
     total = cells.agg(F.sum("words").alias("total"))
     goals = cells
@@ -66,35 +83,53 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
         goal = goal.join(F.broadcast(scale)).select(margin, (F.col("raw") / F.col("all") * F.col("total")).alias(f"goal_{margin}"))
         goals = goals.join(goal, margin)
     now = materialize(goals.withColumn("weight", F.col("words").cast("double")), "cells")
-    for done in range(0, rounds, ROUNDS_A_TABLE):
-        for _ in range(min(ROUNDS_A_TABLE, rounds - done)):
+    done = 0
+    while done < rounds or (gap := residual(now)) > agree:
+        if done >= MOST_ROUNDS:
+            raise ValueError(f"the target weights can't all be met: after {done} rounds a category is off by {gap:.2g} of all words")
+        for _ in range(min(ROUNDS_A_TABLE, rounds - done) if done < rounds else ROUNDS_A_TABLE):
             for margin in MARGINS:
                 have = F.sum("weight").over(Window.partitionBy(margin))
                 now = now.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"goal_{margin}") / have).otherwise(0.0))
+            done += 1
         now = materialize(now, "raked")
     return now
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 0, rounds: int = ROUNDS) -> DataFrame:
-    """``docs(doc_id, text, source, lang)`` with ``_words``, ``_p`` (inclusion probability) and ``_kept``.
-
-    Null sources and languages are the category ``unknown``. Null or empty text
-    has no words: its cell weighs nothing, its probability is 0. Null doc_ids
-    are drawn as the id ``null``; rows of one doc_id are drawn alike. Other
-    columns pass through. Empty table: no rows.
+    """For each row of ``docs(doc_id, text, source, lang)``: the ``row`` itself, as a struct, and beside it
+    ``source, lang, topic, words, probability, kept``.
+
+    A column ``topic`` of the input, if there is one, is the topic; else its
+    surface form is. Null sources, languages and topics are the category
+    ``unknown``. Null or empty text has no words: its cell weighs nothing, its
+    probability is 0. Null doc_ids are drawn as the id ``null``; rows of one
+    doc_id are drawn alike. Very long texts are only counted. Other columns, of
+    any name, pass through in ``row``. Empty table: no rows.
     """
-    docs = docs.withColumns({"_words": n_words(F.col("text")), "_topic": topic(F.col("text")), "_source": F.coalesce("source", F.lit(UNKNOWN)), "_lang": F.coalesce("lang", F.lit(UNKNOWN))})
-    cells = docs.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_words").alias("words")).where("words > 0")
-    cells = materialize(cells, "cells")
-    raked = rake(cells, targets, rounds).select("source", "lang", "topic", (F.col("weight") / F.col("words")).alias("ratio"))
-    top = raked.agg(F.max("ratio").alias("top"))
-    rates = raked.join(F.broadcast(top)).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), (F.col("ratio") / F.col("top")).alias("_p"))
-    rates = materialize(rates, "rates")
-    small = rates.count() <= BROADCAST_CELLS
-    joined = docs.join(F.broadcast(rates) if small else rates, ["_source", "_lang", "_topic"], "left")
-    joined = joined.withColumn("_p", F.coalesce("_p", F.lit(0.0)))
-    unit = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 12), 16, 10).cast("long") / float(16**12)
-    return joined.withColumn("_kept", unit < F.col("_p"))
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN))
+    kind = known("topic") if "topic" in docs.columns else topic(F.col("text"))
+    rows = docs.select(F.struct("*").alias("row"), known("source").alias("source"), known("lang").alias("lang"), kind.alias("topic"), n_words(F.col("text")).alias("words"))
+    with scratch_scope() as made:
+        cells = materialize(rows.groupBy(*MARGINS).agg(F.sum("words").alias("words")).where("words > 0"), "cells")
+        raked = rake(cells, targets, rounds).select(*MARGINS, (F.col("weight") / F.col("words")).alias("ratio"))
+        top = raked.agg(F.max("ratio").alias("top"))
+        rates = materialize(raked.join(F.broadcast(top)).select(*MARGINS, (F.col("ratio") / F.col("top")).alias("probability")), "rates")
+    release(docs.sparkSession, made[:-1])  # all but the rates
+    if rates.count() <= BROADCAST_CELLS:
+        joined = rows.join(F.broadcast(rates), list(MARGINS), "left")
+    else:
+        copies = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(F.col("row.doc_id").cast("string"), "words"), F.lit(SALTS)).cast("int")
+        joined = rows.withColumn("salt", salt).join(copies, [*MARGINS, "salt"], "left").drop("salt")
+    joined = joined.withColumn("probability", F.coalesce("probability", F.lit(0.0)))
+    unit = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 12), 16, 10).cast("long") / float(16**12)
+    return joined.select("row", *MARGINS, "words", "probability", (unit < F.col("probability")).alias("kept"))
+
+
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` that the mix keeps, with all their columns."""
+    return mix(docs, targets, seed).where("kept").select("row.*")
 
 
 def oracle(rounds: int = ROUNDS, seed: int = 0) -> str:

@@ -25,7 +25,7 @@ def op2_pii(spark: SparkSession, sf_dir: str, key: str = "quarryline") -> DataFr
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_topic").alias("topic"), F.col("_words").alias("n_words"), F.round("_p", 9).alias("probability"), F.col("_kept").alias("kept"))
+    return out.select("row.doc_id", "topic", F.col("words").alias("n_words"), F.round("probability", 9).alias("probability"), "kept")
 
 
 def op4_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
