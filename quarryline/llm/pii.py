@@ -6,7 +6,7 @@ documents and different values different ones:
 
 * ``card``   13 to 19 digits of Luhn remainder 0: payload permuted, check digit computed anew;
 * ``iban``   remainder 1 modulo 97: digits of the account part permuted, check digits computed anew;
-* ``ssn``    ddd-dd-dddd of an issued range: nine digits permuted;
+* ``ssn``    ddd-dd-dddd of an issued range: nine digits permuted within the issued numbers;
 * ``phone``  ten digits in the form (ddd) ddd-dddd or with dots, dashes or blanks: permuted;
 * ``ip``     four numbers up to 255: permuted as one of 2**32;
 * ``date``   real days from 1900 to 2099, year first, or day and month first: the day is permuted within these years.
@@ -23,6 +23,7 @@ take turns, ``a, b = b, (a + F(key, round, b)) mod 10**len``, with SHA-256 for F
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from quarryline.llm.native import let
 
 ROUNDS = 8
+WALK = 200
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 #: One alternative a kind; where two could start at one place, the earlier one is tried first.
 PATTERNS = {
@@ -84,9 +86,18 @@ def feistel(digits: Column, key: str, tweak: str) -> Column:
 def permuted_below(number: Column, limit: int, key: str, tweak: str) -> Column:
     """A keyed permutation of 0 .. limit - 1: the digits' permutation, repeated until it falls below ``limit``."""
     width = len(str(limit - 1))
-    again = lambda x: feistel(F.lpad(x.cast("string"), width, "0"), key, tweak).cast("long")
-    walk = lambda x, _: F.when(x < limit, x).otherwise(again(x))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(200)), again(number), walk)
+    return permuted_within(F.lpad(number.cast("string"), width, "0"), lambda x: x.cast("long") < limit, key, tweak).cast("long")
+
+
+def permuted_within(digits: Column, valid: Callable[[Column], Column], key: str, tweak: str) -> Column:
+    """A keyed permutation of the valid digit strings of a length: the permutation of all, repeated until it gives a valid one.
+
+    At least a tenth of all strings must be valid; the chance that ``WALK``
+    steps find none is then below 1e-9 a value, and for the kinds here below
+    1e-45. Past that the last, invalid string stands, still one of its own.
+    """
+    walk = lambda x, _: F.when(valid(x), x).otherwise(feistel(x, key, tweak))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), feistel(digits, key, tweak), walk)
 
 
 def _into(template: Column, digits: Column) -> Column:
@@ -175,6 +186,15 @@ def _plain(m: Column, key: str, tweak: str) -> Column:
     return _into(m, feistel(_digits(m), key, tweak))
 
 
+def _issued(digits: Column) -> Column:
+    return ~digits.rlike("^(000|666|9)|^...00|0000$")
+
+
+def _ssn(m: Column, key: str) -> tuple[Column, Column]:
+    d = _digits(m)
+    return _issued(d), let(permuted_within(d, _issued, key, "ssn"), lambda x: _into(m, x))
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """``kind, value`` of one match; kind is null where it fails its validation."""
     # Java's numbered groups differ from one alternative to the next, so each kind is tested by its own shape
@@ -188,34 +208,31 @@ def pseudonym(m: Column, key: str) -> Column:
         "phone": m.rlike(r"^\(?\d{3}"),
     }
     mail = F.concat(F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 16), F.lit("@example.invalid"))
-    issued = ~m.rlike(r"^(000|666|9)|-00-|-0000$")
-    rules = {"email": (F.lit(True), mail), "iban": _iban(m, key), "card": _card(m, key), "ssn": (issued, _plain(m, key, "ssn")), "date": _date(m, key), "ip": _ip(m, key), "phone": (F.lit(True), _plain(m, key, "phone"))}
+    rules = {"email": (F.lit(True), mail), "iban": _iban(m, key), "card": _card(m, key), "ssn": _ssn(m, key), "date": _date(m, key), "ip": _ip(m, key), "phone": (F.lit(True), _plain(m, key, "phone"))}
     keep = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value"))
     made = reduce(lambda chain, k: chain.when(shape[k], F.when(rules[k][0], F.struct(F.lit(k).alias("kind"), rules[k][1].alias("value"))).otherwise(keep)), list(shape)[1:], F.when(shape["email"], F.struct(F.lit("email").alias("kind"), mail.alias("value"))))
     return made.otherwise(keep)
 
 
-def _of_kind(kind: str) -> Column:
-    return F.filter("_found", lambda x: x["kind"] == kind)
-
-
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with private data in ``text_col`` replaced, and a count ``n_<kind>`` of each kind.
 
     A narrow operation: no shuffle. Null text stays null and counts 0; empty
-    text stays empty. Other columns, null ids and repeated rows pass through;
-    input columns named as an output are replaced by it. Empty table: no rows.
+    text stays empty; very long texts are worked on whole. Other columns of any
+    name, null ids and repeated rows pass through; input columns named as a
+    count are replaced by it. Empty table: no rows.
     """
-    text = F.col("`" + text_col + "`")
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    rows = docs.withColumn("_found", F.transform(found, lambda m: pseudonym(m, key)))
-    gaps = F.split(text, ANY, -1)
+    counts = [f"n_{kind}" for kind in KINDS]
+    # the input rides along as a struct, so that no column of its own can clash with the work's
+    text = docs[text_col]
+    found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key))
+    rows = docs.select(F.struct(*([docs[c] for c in docs.columns if c not in counts and c != text_col] or [text])).alias("row"), text.alias("text"), found.alias("found"))
 
     def join(g: Column) -> Column:
-        return F.array_join(F.transform(F.arrays_zip(g.alias("g"), F.col("_found").alias("f")), lambda x: F.concat(x["g"], F.coalesce(x["f"]["value"], F.lit("")))), "")
+        return F.array_join(F.transform(F.arrays_zip(g.alias("g"), F.col("found").alias("f")), lambda x: F.concat(x["g"], F.coalesce(x["f"]["value"], F.lit("")))), "")
 
     # a text without a match is never split
-    rows = rows.withColumn(text_col, F.when(F.size("_found") > 0, let(gaps, join)).otherwise(text))
-    for kind in KINDS:
-        rows = rows.withColumn(f"n_{kind}", F.when(F.col("_found").isNull(), 0).otherwise(F.size(_of_kind(kind))))
-    return rows.drop("_found")
+    new = F.when(F.size("found") > 0, let(F.split("text", ANY, -1), join)).otherwise(F.col("text"))
+    n = lambda kind: F.when(F.col("found").isNull(), 0).otherwise(F.size(F.filter("found", lambda x: x["kind"] == kind)))
+    own = [new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in counts]
+    return rows.select(*own, *[n(kind).alias(f"n_{kind}") for kind in KINDS])
