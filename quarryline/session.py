@@ -7,12 +7,17 @@ lost executor costs a re-read and nothing else.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, list[str]] = {}
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
 
 
 def build_session(cores: str = "*", partitions: int = 8, app: str = "quarryline") -> SparkSession:
@@ -31,21 +36,42 @@ def build_session(cores: str = "*", partitions: int = 8, app: str = "quarryline"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests, one machine)."""
+    """The cluster's shared folder; a temporary one only where none is set and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarryline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the scratch folder, deleted by ``release``."""
+    """A new path in the scratch folder, deleted by ``release``, or when the application's Python ends."""
     path = f"{scratch_root(spark)}/quarryline/{tag}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = []
+        atexit.register(_release_rest, spark, app)
+    _made[app].append(path)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     return path
 
 
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Lists the scratch paths made inside, by this thread; an outer scope lists them too."""
+    outer, made = _scope.get(), []
+    token = _scope.set(made)
+    try:
+        yield made
+    finally:
+        _scope.reset(token)
+        if outer is not None:
+            outer.extend(made)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back with the same schema."""
     spark = df.sparkSession
@@ -54,11 +80,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scratch_paths(spark: SparkSession) -> list[str]:
-    """The scratch tables that this application has made and not released."""
-    return list(_made.get(spark.sparkContext.applicationId, []))
-
-
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch tables. Only for those whose readers' results have been written."""
     made = _made.get(spark.sparkContext.applicationId, [])
@@ -68,3 +89,11 @@ def release(spark: SparkSession, paths: list[str]) -> None:
             made.remove(path)
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+
+
+def _release_rest(spark: SparkSession, app: str) -> None:
+    try:
+        if spark.sparkContext.applicationId == app:
+            release(spark, list(_made.get(app, [])))
+    except Exception:  # noqa: BLE001  the application has ended before its Python
+        return
