@@ -6,15 +6,17 @@ documents hold lose all their lines except in the smallest doc_id that holds
 them.
 
 1. Each task hashes the keys of its rows, once a document, and reports the cells
-   set by one document and those set by a further one. The reports are merged
-   cell range by cell range, as a stream, into the filter of cells that at
-   least two documents have set. (Once-seen OR once-seen is once-seen; where
+   set by one document and those set by a further one, as the gaps between them,
+   a byte or two each. The reports are merged cell range by cell range, in as
+   many tasks as there are ranges, into the filter of cells that at least two
+   documents have set. (Once-seen OR once-seen is once-seen; where
    both had it, it is twice-seen.)
 2. Only keys whose cells are all twice-seen are suspects and are shuffled, as
    128-bit hashes, for exact confirmation and the choice of the first document.
 3. Lines are dropped with the confirmed keys: as a broadcast table while that
    is under ``BROADCAST_BYTES``, else by a join on doc_id of the documents that
-   have suspects.
+   have suspects. In that join keys of more than ``HOT`` rows, which there can
+   be only one of for ``HOT`` suspects, are broadcast, and the rest shuffled.
 
 The filter has at most ``MAX_CELLS`` cells whatever the input; beyond the size
 that suits this, more keys are suspects and step 2 moves more, with the same
@@ -42,6 +44,7 @@ MAX_CELLS = 1 << 30  # 128 MB as bits
 CELLS_PER_LINE = 16
 BROADCAST_BYTES = 64 << 20
 KEY_BYTES = 24
+HOT = 10_000
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -69,6 +72,20 @@ def _split(hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return raw[:, 0], raw[:, 1]
 
 
+def packed(cells: np.ndarray) -> bytes:
+    """Ascending numbers as the gaps between them, in bytes; 255 stands for a gap of 255 that goes on."""
+    more, last = np.divmod(np.diff(cells, prepend=0), 255)
+    ends = np.cumsum(more + 1) - 1
+    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 255, np.uint8)
+    out[ends] = last
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint8)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
+
+
 def _report(min_chars: int, cells: int):
     """Cells that the rows of a task set: by one document, and by more."""
 
@@ -78,9 +95,9 @@ def _report(min_chars: int, cells: int):
         segments, once, twice = [], [], []
         for at, many in zip(np.split(cell, bounds), np.split(seen, bounds), strict=True):
             segments.append(int(at[0]) // SEGMENT)
-            inner = (at % np.uint64(SEGMENT)).astype("<u4")
-            once.append(inner.tobytes())
-            twice.append(inner[many > 1].tobytes())
+            inner = (at % np.uint64(SEGMENT)).astype(np.int64)
+            once.append(packed(inner))
+            twice.append(packed(inner[many > 1]))
         yield pa.RecordBatch.from_arrays([pa.array(segments, pa.int64()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["segment", "once", "twice"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +132,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now is not None:
                     yield done()
                 now, once, twice = segment, np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
-            a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+            a, b = unpacked(a), unpacked(b)
             twice[a[once[a]]] = True
             twice[b] = True
             once[a] = True
@@ -126,7 +143,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def twice_seen(docs: DataFrame, min_chars: int, cells: int) -> np.ndarray:
     """Bits of the cells that at least two documents set; of ``cells / 8`` bytes, bounded by ``MAX_CELLS``."""
     reports = docs.mapInArrow(_report(min_chars, cells), "segment long, once binary, twice binary")
-    parts = max(1, min(cells // SEGMENT, 64))
+    parts = max(1, cells // SEGMENT)  # at most MAX_CELLS / SEGMENT
     merged = reports.repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment long, bits binary")
     bits = np.zeros(max(cells, SEGMENT) // 8, np.uint8)
     for row in merged.toLocalIterator():
@@ -216,6 +233,11 @@ def _drop_joined(min_chars: int):
     return run
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """A broadcast hint while the counted keys take at most ``BROADCAST_BYTES``; beyond that, of 26 thousand million suspects, Spark joins."""
+    return F.broadcast(keys) if keys.count() * KEY_BYTES <= BROADCAST_BYTES else keys
+
+
 def line_dedup(docs: DataFrame, min_chars: int = 10, max_cells: int = MAX_CELLS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_text, kept_sha256`` for each row of ``docs(doc_id, text)``.
 
@@ -233,7 +255,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, max_cells: int = MAX_CELLS,
     bits = spark.sparkContext.broadcast(twice_seen(docs, min_chars, cells))
     suspects = docs.mapInArrow(_suspects(min_chars, cells, bits), "low long, high long, doc_id long")
     # partial aggregation keeps two rows' worth of a key in each task, however many documents hold it
-    repeated = suspects.groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("low", "high", "first")
+    repeated = suspects.groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").select("low", "high", "first", "n")
     repeated = materialize(repeated, "repeated-lines")
     count = repeated.count()
     if count * KEY_BYTES <= broadcast_bytes:
@@ -243,7 +265,16 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, max_cells: int = MAX_CELLS,
         order = np.lexsort((high, low))
         shared = spark.sparkContext.broadcast((low[order], high[order], first[order]))
         return docs.mapInArrow(_drop_broadcast(min_chars, shared), OUT)
-    gone = suspects.join(repeated, ["low", "high"]).where("doc_id != first").groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("gone"))
+    suspects = materialize(suspects, "suspects")
+    hot = repeated.where(F.col("n") > HOT)
+    key = ["low", "high"]
+    if hot.isEmpty():
+        found = suspects.join(repeated, key)
+    else:
+        marked = suspects.join(_few(hot.select(*key, "first")), key, "left")
+        rest = marked.where("first is null").drop("first").join(repeated.where(F.col("n") <= HOT).select(*key, "first"), key)
+        found = marked.where("first is not null").unionByName(rest)
+    gone = found.where("doc_id != first").groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("gone"))
     return docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_drop_joined(min_chars), OUT)
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quarryline.llm import linededup, queries
@@ -42,6 +43,23 @@ def test_matches_brute_force(spark, setting):
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in out), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_hot_lines_are_dropped_apart(spark, monkeypatch, few):
+    monkeypatch.setattr(linededup, "HOT", 5)
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", few)
+    rows = fixture_rows()
+    out = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_bytes=0).collect()
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in out), key=str) == brute(rows)
+
+
+def test_packed_cells():
+    rng = random.Random(1)
+    for cells in ([], [0], [255], [254, 255, 256, 510, 511, 10**6], sorted(rng.sample(range(linededup.SEGMENT), 5000))):
+        data = linededup.packed(np.array(cells, np.int64))
+        assert linededup.unpacked(data).tolist() == cells
+    assert len(data) < 2 * 5000 + linededup.SEGMENT // 255
+
+
 def test_full_filter_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(linededup, "SEGMENT", 1 << 6)
     rows = fixture_rows()
