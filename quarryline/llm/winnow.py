@@ -10,15 +10,19 @@ Items of fewer words than ``window`` are one window each. Winnowing guarantees
 nothing for so short a span, so these are looked up exactly, by the hash of all
 their words at every document position.
 
-The benchmark's fingerprints are broadcast in blocks of at most
-``BLOCK_WORDS`` item words. A larger benchmark has more blocks; a worker holds
-one of them at a time and a document's hits are united over the blocks.
+A benchmark of at most ``BROADCAST_WORDS`` words and ``BROADCAST_BYTES`` is
+broadcast, and the documents are only scanned. A larger one stays in the
+cluster: fingerprints of both sides are joined by their hashes, the documents'
+after a bit mask of the benchmark's (``MASK_BITS``, whatever its size), and each
+pair of document and item so found is extended. The items' side of both joins is
+copied ``SALTS`` times, so that no frequent fingerprint or item gathers in a
+task.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import WordHashes, grams, slices
+from quarryline.session import materialize
 
-BLOCK_WORDS = 2_000_000
+BROADCAST_WORDS = 2_000_000
+BROADCAST_BYTES = 64 << 20
+MASK_BITS = 26
+SALTS = 16
 #: Bytes that separate words, as blanks; A-Z in lower case; other bytes as they are.
 _TABLE = bytes(0x20 if b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -75,11 +83,13 @@ class Block:
         join = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
         order = np.argsort(all_keys := join(keys, np.uint64), kind="stable")
         self.keys, self.owner, self.place = all_keys[order], join(owner, np.int64)[order], join(place, np.int64)[order]
-        self.mask = np.zeros(1 << 22, bool)  # most document fingerprints end here
-        self.mask[(self.keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        size = 1 << min(22, (1024 * len(self.keys)).bit_length())
+        self.low = np.uint64(size - 1)
+        self.mask = np.zeros(size, bool)  # most document fingerprints end here
+        self.mask[(self.keys & self.low).astype(np.int64)] = True
 
     def candidates(self, gram: np.ndarray) -> np.ndarray:
-        return self.mask[(gram & np.uint64((1 << 22) - 1)).astype(np.int64)]
+        return self.mask[(gram & self.low).astype(np.int64)]
 
     def hits(self, words: np.ndarray, gram: np.ndarray, at: np.ndarray, hit: np.ndarray) -> set[int]:
         """Marks hit words in ``hit`` and returns the items with windows there."""
@@ -119,30 +129,23 @@ class Block:
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.int64())), ("contaminated", pa.bool_())])
 
 
-def _match(texts: list[str | None], blocks: list, window: int, k: int, hashes: WordHashes) -> tuple[list[np.ndarray], list[set[int]]]:
-    """Hit words and found items of each text, over all blocks."""
-    docs = [hashes.of(words_of(t)) for t in texts]
-    hit = [np.zeros(len(d), bool) for d in docs]
-    found: list[set[int]] = [set() for _ in docs]
-    prints = []
-    for d in docs:
-        gram = grams(d, k)
-        prints.append((gram, winnow(gram, window - k + 1)))
-    for shared in blocks:
-        block = shared.value
-        for i, d in enumerate(docs):
-            found[i] |= {block.names[j] for j in block.hits(d, *prints[i], hit[i])}
-        if len(blocks) > 1:
-            block = shared._value = None  # the next block takes its place in memory
-            del shared._value
-    return hit, found
-
-
-def _scan(blocks: list, window: int, k: int):
+def _match(texts: list[str | None], block: Block, hashes: WordHashes) -> tuple[list[np.ndarray], list[set[int]]]:
+    """Hit words and found items of each text."""
+    hits, found = [], []
+    for text in texts:
+        words = hashes.of(words_of(text))
+        gram = grams(words, block.k)
+        hit = np.zeros(len(words), bool)
+        found.append({block.names[j] for j in block.hits(words, gram, winnow(gram, block.w), hit)})
+        hits.append(hit)
+    return hits, found
+
+
+def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in slices(batches):
-            hit, found = _match(part.column(1).to_pylist(), blocks, window, k, hashes)
+            hit, found = _match(part.column(1).to_pylist(), shared.value, hashes)
             n = [int(h.sum()) for h in hit]
             columns = [part.column(0), pa.array([len(h) for h in hit], pa.int64()), pa.array(n, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([sorted(f) for f in found], pa.list_(pa.int64())), pa.array([x > 0 for x in n])]
             yield pa.RecordBatch.from_arrays(columns, schema=OUT)
@@ -150,59 +153,144 @@ def _scan(blocks: list, window: int, k: int):
     return run
 
 
-def _blocks(rows: Iterable, limit: int) -> Iterator[list[tuple[int, list[bytes]]]]:
-    held, size = [], 0
-    for row in rows:
-        words = words_of(row.text)
-        if words and row.item_id is not None:
-            held.append((row.item_id, words))
-            size += len(words)
-            if size >= limit:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+def _clean(shared, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part in slices(batches):
+            hit, _ = _match(part.column(text_at).to_pylist(), shared.value, hashes)
+            yield part.filter(pa.array([not h.any() for h in hit], pa.bool_()))
+
+    return run
+
+
+def _small_benchmark(benchmark: DataFrame, window: int, k: int):
+    """The broadcast block of a benchmark of a proven size, else None."""
+    words = F.regexp_count("text", F.lit("[0-9A-Za-z\\x80-\\x{10FFFF}]+"))
+    size = benchmark.agg(F.sum(words).alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if (size.words or 0) > BROADCAST_WORDS or (size.bytes or 0) > BROADCAST_BYTES:
+        return None
+    items = [(r.item_id, words_of(r.text)) for r in benchmark.collect()]
+    return benchmark.sparkSession.sparkContext.broadcast(Block([x for x in items if x[1]], window, k))
 
 
-def _broadcast(benchmark: DataFrame, window: int, k: int, block_words: int) -> list:
-    sc = benchmark.sparkSession.sparkContext
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), "text").toLocalIterator()
-    return [sc.broadcast(Block(b, window, k)) for b in _blocks(items, block_words)]
+def _prints(window: int, k: int, short: list[int] | None, mask):
+    """``at, n, key`` of each text's fingerprints (n = 0) and of its runs of n words, for the lengths in ``short``.
+
+    ``short`` None: an item, which has its fingerprints or, where it is shorter
+    than the window, its one run. Only keys in ``mask`` count, if there is one.
+    """
 
+    def keys(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        if short is None and 0 < len(words) < window:
+            yield len(words), grams(words, len(words))
+            return
+        gram = grams(words, k)
+        yield 0, gram[winnow(gram, window - k + 1)]
+        for n in short or ():
+            yield n, grams(words, n)
 
-def _clean(blocks: list, window: int, k: int, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in slices(batches):
-            hit, _ = _match(part.column(text_at).to_pylist(), blocks, window, k, hashes)
-            yield part.filter(pa.array([not h.any() for h in hit], pa.bool_()))
+            for at, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for n, found in keys(hashes.of(words_of(text))):
+                    found = np.unique(found)
+                    if mask is not None:
+                        low = found & np.uint64((1 << MASK_BITS) - 1)
+                        bit = mask.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)).astype(np.int64)
+                        found = found[(bit & 1).astype(bool)]
+                    if len(found):
+                        m = len(found)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, at, np.int64)), pa.array(np.full(m, n, np.int32)), pa.array(found.view(np.int64))], ["at", "n", "key"])
+
+    return run
+
+
+def _runs(window: int, k: int):
+    """Pairs of a text and an item's: the runs of hit words."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part in slices(batches):
+            out = []
+            for text, item in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                (hit,), _ = _match([text], Block([(0, words_of(item))], window, k), hashes)
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+                out.append([{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, kind)], ["at", "item_id", "runs"])
 
     return run
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` without a hit, with all their columns; a narrow operation.
+def _joined_hits(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFrame:
+    """``at, items, n_hit`` of the rows of ``docs(at, text)``, a written table, that are hit; by joins of fingerprints."""
+    spark = docs.sparkSession
+    items = materialize(benchmark.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
+    kinds = "at long, n int, key long"
+    theirs = materialize(items.select("item", "text").mapInArrow(_prints(window, k, None, None), kinds), "item-prints")
+    lengths = sorted(r.n for r in theirs.where("n > 0").select("n").distinct().collect())  # below the window
+    low = F.col("key").bitwiseAND(F.lit((1 << MASK_BITS) - 1))
+    bits = theirs.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")).collect()  # at most 2**(MASK_BITS - 6) rows
+    mask = np.zeros(1 << (MASK_BITS - 6), np.int64)
+    mask[[r.word for r in bits]] = [r.bits for r in bits]
+    ours = docs.select("at", "text").mapInArrow(_prints(window, k, lengths, spark.sparkContext.broadcast(mask)), kinds)
+
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salt = F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int").alias("salt")
+    pairs = ours.select("*", salt).join(theirs.select(F.col("at").alias("item"), "n", "key", salts), ["n", "key", "salt"])
+    pairs = materialize(pairs.select("at", "item").distinct(), "pairs")
+    whole = pairs.select("*", salt).join(items.select("item", "item_id", F.col("text").alias("theirs"), salts), ["item", "salt"]).join(docs.select("at", "text"), "at")
+    runs = whole.select("at", "item_id", "text", "theirs").mapInArrow(_runs(window, k), "at long, item_id long, runs array<struct<start:long,end:long>>").where("size(runs) > 0")
+    both = runs.groupBy("at").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))
+    covered = F.expr("aggregate(runs, struct(0L as reach, 0L as n), (a, r) -> struct(greatest(a.reach, r.end) as reach, a.n + greatest(0L, r.end - greatest(a.reach, r.start)) as n), a -> a.n)")
+    return both.select("at", "items", covered.alias("n_hit"))
+
+
+def _items_of(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("text")).where("item_id is not null and text is not null")
 
-    Null ids, null texts and repeated rows are judged by their text alone.
+
+def _check(window: int, k: int) -> None:
+    if not 0 < k <= window:
+        raise ValueError("k must be between 1 and window")
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
+    """The rows of ``docs`` without a hit, with all their columns; with a benchmark that can be broadcast a narrow operation.
+
+    Null ids, null texts and repeated rows are judged by their text alone. Other
+    columns of any name pass through. Empty tables: no rows, or all of them.
     """
-    blocks = _broadcast(benchmark, window, k, block_words)
-    return docs.mapInArrow(_clean(blocks, window, k, docs.columns.index("text")), docs.schema)
+    _check(window, k)
+    items = _items_of(benchmark)
+    if block := _small_benchmark(items, window, k):
+        return docs.mapInArrow(_clean(block, docs.columns.index("text")), docs.schema)
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("at"), F.struct("*").alias("row"), docs["text"].alias("text")), "rows")
+    return rows.join(_joined_hits(rows, items, window, k), "at", "left_anti").select("row.*")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items, contaminated`` for each row of ``docs(doc_id, text)``.
 
     ``benchmark(item_id, text)``. A document word inside any occurrence of an
     item's window is hit. Null or empty text: no words, not contaminated. Items
     without words or with a null id match nothing; repeated items count once.
-    Repeated rows are each returned. Empty tables: no rows, or no hits.
+    Repeated rows are each returned. Nothing depends on an order, so there are no
+    ties. Empty tables: no rows, or no hits.
     """
-    if not 0 < k <= window:
-        raise ValueError("k must be between 1 and window")
-    blocks = _broadcast(benchmark, window, k, block_words)
+    _check(window, k)
+    items = _items_of(benchmark)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     kinds = "doc_id long, n_words long, n_hit long, n_items long, items array<long>, contaminated boolean"
-    return docs.mapInArrow(_scan(blocks, window, k), kinds)
+    if block := _small_benchmark(items, window, k):
+        return docs.mapInArrow(_scan(block), kinds)
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("at"), "doc_id", "text"), "rows")
+    found = _joined_hits(rows, items, window, k)
+    none = docs.sparkSession.sparkContext.broadcast(Block([], window, k))
+    counted = rows.select("at", "text").mapInArrow(_scan(none), kinds).select(F.col("doc_id").alias("at"), "n_words")
+    n, ids = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<long>"))
+    return rows.select("at", "doc_id").join(counted, "at").join(found, "at", "left").select("doc_id", "n_words", n.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("items"), (n > 0).alias("contaminated"))
 
 
 def with_digest(found: DataFrame) -> DataFrame:

@@ -54,12 +54,22 @@ def fixture():
     return docs, items
 
 
-@pytest.mark.parametrize("block_words", [winnow.BLOCK_WORDS, 20])
-def test_matches_brute_force(spark, block_words):
+@pytest.fixture(params=["broadcast", "joined"])
+def size(request, monkeypatch):
+    """With a bound of few words the benchmark counts as large and stays in the cluster."""
+    if request.param == "joined":
+        monkeypatch.setattr(winnow, "BROADCAST_WORDS", -1)
+
+
+def test_matches_brute_force(spark, size):
     docs, items = fixture()
     d = spark.createDataFrame([(i, t, "c") for i, t in docs], "doc_id long, text string, items string")
     b = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, n_hit int")
-    assert got(winnow.decontaminate(d, b, block_words=block_words)) == brute(docs, items)
+    want = brute(docs, items)
+    assert got(winnow.decontaminate(d, b)) == want
+    clean = winnow.uncontaminated(d, b)
+    assert clean.columns == d.columns
+    assert sorted((r.doc_id, r.text) for r in clean.collect() if r.doc_id is not None) == sorted((i, t) for i, t in docs if i is not None and not brute([(i, t)], items)[0][-1])
 
 
 def test_guarantee():
@@ -72,7 +82,7 @@ def test_guarantee():
         assert all(((at >= i) & (at < i + 6)).any() for i in range(n - 5))
 
 
-def test_empty(spark):
+def test_empty(spark, size):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
     assert winnow.decontaminate(none, items).count() == 0
