@@ -33,21 +33,28 @@ def has_letter(text: str | None) -> bool:
 def gram_counts(text: str, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Columns and counts of the n-grams of a whole text, ``step`` code points at a time."""
     points = np.frombuffer((" " + _SPACE.sub(" ", text.lower()) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(points) <= min(step, DIMS // 32):  # few columns: sorted; else all of them are counted through
+        return np.unique(np.concatenate(list(_columns(points, step))), return_counts=True)
     total = np.zeros(DIMS, np.int64)
     for at in range(0, len(points), step):
-        part = points[at : at + step + 2]
-        value = np.zeros(len(part), np.uint64)
-        for n in range(1, 4):
-            m = min(step, len(part) - n + 1)
-            if m <= 0:
-                break
-            value = (value[: len(part) - n + 1] + part[n - 1 :] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            value ^= value >> np.uint64(29)
-            total += np.bincount(((value[:m] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)).astype(np.int64), minlength=DIMS)
+        for columns in _columns(points[at : at + step + 2], step):
+            total += np.bincount(columns, minlength=DIMS)
     at = np.flatnonzero(total)
     return at, total[at]
 
 
+def _columns(points: np.ndarray, step: int) -> Iterator[np.ndarray]:
+    """Columns of the runs of one, two and three code points that start in the first ``step``."""
+    value = np.zeros(len(points), np.uint64)
+    for n in range(1, 4):
+        m = min(step, len(points) - n + 1)
+        if m <= 0:
+            break
+        value = (value[: len(points) - n + 1] + points[n - 1 :] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+        yield ((value[:m] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)).astype(np.int64)
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -161,7 +168,8 @@ def _predict(shared):
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score`` for each row of ``docs(doc_id, text)``; a narrow operation.
 
-    Null text or text without a letter: ``und`` with score 0. Null doc_ids and
+    Null text or text without a letter: ``und`` with score 0. Of languages of
+    equal probability the first by name is given. Null doc_ids and
     repeated rows are returned as they are. Empty table: no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x DIMS single-precision numbers
