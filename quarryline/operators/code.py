@@ -6,132 +6,20 @@ parses its own files again. A row is one file; its text must fit in memory.
 
 from __future__ import annotations
 
-import ast
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = "path string, kind string, name string, owner string, start_line int, end_line int, params int, is_async boolean, complexity int, nesting int, bases array<string>"
-HITS = "path string, rule_id string, line_no int, line_end int"
-
-_BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.match_case)
-_DEEPER = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match)
-_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-
-
-def _own(node: ast.AST) -> Iterator[ast.AST]:
-    """Nodes below a function or loop, without those of functions and classes inside."""
-    todo = list(ast.iter_child_nodes(node))
-    while todo:
-        one = todo.pop()
-        yield one
-        if not isinstance(one, (*_FUNCTIONS, ast.Lambda, ast.ClassDef)):
-            todo.extend(ast.iter_child_nodes(one))
-
-
-def _depth(node: ast.AST, level: int = 0) -> int:
-    most = level
-    for one in ast.iter_child_nodes(node):
-        if not isinstance(one, (*_FUNCTIONS, ast.ClassDef)):
-            most = max(most, _depth(one, level + isinstance(one, _DEEPER)))
-    return most
-
-
-def python_blocks(text: str) -> list[tuple]:
-    """Functions and classes of Python source, outer ones first; none where it can't be parsed."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
-    out: list[tuple] = []
-
-    def visit(node: ast.AST, owner: str) -> None:
-        for one in ast.iter_child_nodes(node):
-            inner = owner
-            if isinstance(one, (*_FUNCTIONS, ast.ClassDef)):
-                inner = f"{owner}.{one.name}" if owner else one.name
-            if isinstance(one, _FUNCTIONS):
-                a = one.args
-                params = len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + (a.vararg is not None) + (a.kwarg is not None)
-                paths = 1 + sum(len(n.values) - 1 if isinstance(n, ast.BoolOp) else isinstance(n, _BRANCHES) for n in _own(one))
-                out.append(("function", one.name, owner, one.lineno, one.end_lineno, params, isinstance(one, ast.AsyncFunctionDef), paths, _depth(one), []))
-            elif isinstance(one, ast.ClassDef):
-                out.append(("class", one.name, owner, one.lineno, one.end_lineno, 0, False, 0, 0, [ast.unparse(b) for b in one.bases]))
-            visit(one, inner)
-
-    visit(tree, "")
-    return out
-
-
-# Comments and literals of the brace languages; only their line breaks are kept.
-_NOISE = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`]*`""", re.S)
-_CLASS = re.compile(r"\b(class|interface|struct|enum|trait|impl)\s+([A-Za-z_]\w*)([^{};()]*)$")
-_TYPE_GO = re.compile(r"\btype\s+([A-Za-z_]\w*)\s+(struct|interface)\s*$")
-_FUNCTION = re.compile(r"(?:^|[\s*&~:>)])([A-Za-z_$]\w*)\s*(?:<[^<>]*>)?\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?:->\s*|:\s*)?[\w\s<>\[\],.*&:?()|]*(?:=>\s*)?$")
-_BASES = re.compile(r"(?:\bextends\b|\bimplements\b|:)\s*([^{]+)")
-_NOT_FUNCTIONS = {"if", "for", "while", "switch", "catch", "return", "else", "do", "try", "match", "loop", "select", "synchronized", "using", "lock", "foreach", "new", "when", "with", "func", "function"}
-_STEP = re.compile(r"\b(?:if|for|while|case|catch|foreach)\b|&&|\|\||\?(?![.?:])")
-
-
-def brace_blocks(text: str) -> list[tuple]:
-    """Functions and classes of a language with braces, by their heads and matching braces; an unclosed one ends with the text."""
-    bare = _NOISE.sub(lambda m: "\n" * m[0].count("\n") if m[0][0] == "/" else '""' + "\n" * m[0].count("\n"), text)
-    out: list[list] = []
-    opened: list[int | None] = []
-    line, head, head_line, round_depth = 1, 0, None, 0
-
-    def close(at: int, end: int) -> None:
-        block = out[at]
-        block[4] = end
-        if block[0] == "function":
-            block[7] = 1 + len(_STEP.findall(bare[block[10] : here]))
-
-    for here, c in enumerate(bare):
-        if c == "\n":
-            line += 1
-        elif head_line is None and not c.isspace() and c not in "{};":
-            head_line = line
-        if c in "()":
-            round_depth = max(0, round_depth + (1 if c == "(" else -1))
-        if c == "{":
-            # a receiver before a Go function's name is no parameter list
-            found, start = re.sub(r"\bfunc\s*\([^()]*\)\s*", "func ", bare[head:here].strip()), head_line or line
-            owner = ".".join(out[i][1] for i in opened if i is not None)
-            made = None
-            if m := _CLASS.search(found):
-                bases = [b.strip() for part in _BASES.findall(m[3]) for b in re.split(r",|\bimplements\b|\bextends\b", part)]
-                made = ["class", m[2], owner, start, line, 0, False, 0, 0, [re.sub(r"^(public|private|protected|virtual)\s+", "", b) for b in bases if b]]
-            elif m := _TYPE_GO.search(found):
-                made = ["class", m[1], owner, start, line, 0, False, 0, 0, []]
-            elif (m := _FUNCTION.search(found)) and m[1] not in _NOT_FUNCTIONS and not re.match(r"(?:else|return|throw)\b", found):
-                params = len([p for p in re.sub(r"<[^<>]*>|\([^()]*\)", "", m[2]).split(",") if p.strip() and p.strip() != "void"])
-                made = ["function", m[1], owner, start, line, params, bool(re.search(r"\basync\b", found)), 1, 0, []]
-            if made:
-                out.append([*made, here])
-                opened.append(len(out) - 1)
-            else:
-                opened.append(None)
-                inside = [i for i in opened if i is not None and out[i][0] == "function"]
-                if inside:
-                    level = sum(1 for i in opened[opened.index(inside[-1]) :] if i is None)
-                    out[inside[-1]][8] = max(out[inside[-1]][8], level)
-        elif c == "}" and opened:
-            at = opened.pop()
-            if at is not None:
-                close(at, line)
-        if c in "{}" or (c == ";" and not round_depth):
-            head, head_line = here + 1, None
-    here = len(bare)
-    for at in opened:
-        if at is not None:
-            close(at, line)
-    return [tuple(b[:10]) for b in out]
+from quarryline.operators import body_rules, python_rules
+from quarryline.operators.braces import brace_blocks
 
+BLOCKS = "path string, kind string, name string, owner string, start_line int, end_line int, params int, is_async boolean, complexity int, nesting int, cognitive int, bases array<string>"
+NO_BRACES = ("ruby", "lua", "r", "config", "docker")
+HITS = "path string, rule_id string, line_no int, line_end int"
 
-def _per_file(files: DataFrame, schema: str, rows_of: Callable[[str, str | None], list[tuple]]) -> DataFrame:
+def per_file(files: DataFrame, schema: str, rows_of: Callable[[str, str | None], list[tuple]]) -> DataFrame:
     """``path`` and the rows of each file's text; a null text is empty."""
     spark = files.sparkSession
     names = [f.name for f in spark.createDataFrame([], schema).schema]
@@ -151,124 +39,12 @@ def _per_file(files: DataFrame, schema: str, rows_of: Callable[[str, str | None]
 
 def blocks(files: DataFrame) -> DataFrame:
     """Functions and classes of ``path, lang, content``: Python by its own parser, other known languages by braces."""
-    return _per_file(files, BLOCKS, lambda text, lang: python_blocks(text) if lang == "python" else brace_blocks(text) if lang and lang not in ("ruby", "lua", "r") else [])
-
-
-def _name(node: ast.AST | None) -> str:
-    try:
-        return ast.unparse(node) if node is not None else ""
-    except (ValueError, RecursionError):
-        return ""
-
-
-def _broad(h: ast.ExceptHandler) -> bool:
-    return _name(h.type) in ("Exception", "BaseException")
-
-
-def _logs(node: ast.AST) -> bool:
-    return isinstance(node, ast.Expr) and isinstance(node.value, ast.Call) and re.match(r"(print|log|logger|logging|self\.log|self\.logger|self\._logger)\b", _name(node.value.func)) is not None
-
-
-def _idle(body: list) -> bool:
-    return all(isinstance(s, ast.Pass) or (isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant)) for s in body)
-
-
-def _truth(node: ast.AST) -> bool | None:
-    return bool(node.value) if isinstance(node, ast.Constant) else None
-
-
-def _leaves(loop: ast.While) -> bool:
-    """Whether a loop can end: a return, a raise, a yield, or a break of its own."""
-    def ends(nodes, own) -> bool:
-        for n in nodes:
-            if isinstance(n, (ast.Return, ast.Raise, ast.Yield, ast.YieldFrom, ast.Await)) or (own and isinstance(n, ast.Break)):
-                return True
-            if not isinstance(n, (*_FUNCTIONS, ast.ClassDef, ast.Lambda)) and ends(ast.iter_child_nodes(n), own and not isinstance(n, (ast.For, ast.While, ast.AsyncFor))):
-                return True
-        return False
-    return ends(loop.body, True)
-
-
-def _calls_itself_always(f: ast.AST) -> bool:
-    """Without a branch or a way out, a function that calls itself never ends."""
-    inside = list(_own(f))
-    called = any(isinstance(n, ast.Call) and _name(n.func) in (f.name, f"self.{f.name}") for n in inside)
-    return called and not any(isinstance(n, (*_BRANCHES, ast.BoolOp, ast.Try, ast.Raise, ast.Yield, ast.YieldFrom)) for n in inside)
-
-
-def _mutates(loop: ast.For) -> bool:
-    over = _name(loop.iter.func.value) if isinstance(loop.iter, ast.Call) and isinstance(loop.iter.func, ast.Attribute) and loop.iter.func.attr in ("keys", "values", "items") else _name(loop.iter)
-    if not over.replace(".", "").isidentifier():
-        return False
-    for n in _own(loop):
-        if isinstance(n, ast.Delete) and any(isinstance(t, ast.Subscript) and _name(t.value) == over for t in n.targets):
-            return True
-        if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and _name(n.func.value) == over and n.func.attr in ("pop", "remove", "append", "insert", "clear", "update", "add", "discard", "popitem", "extend"):
-            return True
-    return False
-
-
-def _repeated_keys(node: ast.Dict) -> bool:
-    keys = [(type(k.value), k.value) for k in node.keys if isinstance(k, ast.Constant)]
-    return len(keys) != len(set(keys))
-
-
-def _call(node: ast.AST, pattern: str) -> bool:
-    return isinstance(node, ast.Call) and re.fullmatch(pattern, _name(node.func)) is not None
-
-
-def _keyword(node: ast.Call, name: str):
-    return next((k.value for k in node.keywords if k.arg == name), None)
-
-
-_IN = isinstance
-_SHELL = r"subprocess\.(run|call|Popen|check_output|check_call)"
-_HTTP = r"requests\.(get|post|put|delete|patch|head|request)"
-
-#: What each rule flags, as a test of one node.
-PYTHON_RULES: dict[str, Callable[[ast.AST], bool]] = {
-    "EMPTY-EXCEPT": lambda n: _IN(n, ast.ExceptHandler) and _idle(n.body),
-    "BARE-EXCEPT": lambda n: _IN(n, ast.ExceptHandler) and n.type is None,
-    "BROAD-EXCEPT": lambda n: _IN(n, ast.ExceptHandler) and n.type is not None and _broad(n),
-    "LOG-ONLY-EXCEPT": lambda n: _IN(n, ast.ExceptHandler) and bool(n.body) and all(map(_logs, n.body)),
-    "PRINT-DEBUG": lambda n: _call(n, "print"),
-    "ASSERT-USED": lambda n: _IN(n, ast.Assert),
-    "ALWAYS-TRUE-FALSE": lambda n: _IN(n, (ast.If, ast.IfExp)) and _truth(n.test) is not None,
-    "EXCEPTION-NOT-RAISED": lambda n: _IN(n, ast.Expr) and _call(n.value, r"(\w+\.)*[A-Z]\w*(Error|Exception)"),
-    "MUTABLE-DEFAULT-ARG": lambda n: _IN(n, _FUNCTIONS) and any(_IN(d, (ast.List, ast.Dict, ast.Set)) or _call(d, "list|dict|set") for d in [*n.args.defaults, *n.args.kw_defaults]),
-    "SUBPROCESS-SHELL-TRUE": lambda n: _call(n, _SHELL) and _truth(_keyword(n, "shell")) is True,
-    "SELF-ASSIGNMENT": lambda n: _IN(n, ast.Assign) and len(n.targets) == 1 and _IN(n.value, (ast.Name, ast.Attribute)) and _name(n.targets[0]) == _name(n.value),
-    "EXCEPTION-LOST-CONTEXT": lambda n: _IN(n, ast.ExceptHandler) and any(_IN(r, ast.Raise) and _IN(r.exc, ast.Call) and r.cause is None for r in _own(n)),
-    "INFINITE-RECURSION-RISK": lambda n: _IN(n, _FUNCTIONS) and _calls_itself_always(n),
-    "INFINITE-LOOP-RISK": lambda n: _IN(n, ast.While) and _truth(n.test) is True and not _leaves(n),
-    "DICT-ITERATE-MUTATE": lambda n: _IN(n, ast.For) and _mutates(n),
-    "DUPLICATE-DICT-KEY": lambda n: _IN(n, ast.Dict) and _repeated_keys(n),
-    "DIVISION-BY-ZERO-RISK": lambda n: _IN(n, ast.BinOp) and _IN(n.op, (ast.Div, ast.FloorDiv, ast.Mod)) and _IN(n.right, ast.Constant) and _IN(n.right.value, (int, float)) and n.right.value == 0,
-    "UNREACHABLE-CODE": lambda n: any(_IN(s, (ast.Return, ast.Raise, ast.Break, ast.Continue)) for part in ("body", "orelse", "finalbody") if _IN(b := getattr(n, part, None), list) for s in b[:-1]),
-    "SETTER-RETURNS-VALUE": lambda n: _IN(n, _FUNCTIONS) and re.match(r"set_?[A-Z_a-z]", n.name) is not None and n.name.startswith("set_") and any(_IN(r, ast.Return) and r.value is not None and _name(r.value) not in ("None", "self") for r in _own(n)),
-    "EVAL-USAGE": lambda n: _call(n, "eval|exec"),
-    "WEAK-HASH": lambda n: _call(n, r"hashlib\.(md5|sha1)"),
-    "UNSAFE-DESERIALIZATION": lambda n: _call(n, r"pickle\.loads?|marshal\.loads?") or (_call(n, r"yaml\.load") and "Safe" not in _name(_keyword(n, "Loader"))),
-    "HTTP-NO-TIMEOUT": lambda n: _call(n, _HTTP) and _keyword(n, "timeout") is None,
-    "BUSY-WAIT": lambda n: _IN(n, ast.While) and _idle(n.body),
-    "BLOCKING-CALL-IN-ASYNC": lambda n: _IN(n, ast.AsyncFunctionDef) and any(_call(c, rf"time\.sleep|{_HTTP}|{_SHELL}") for c in _own(n)),
-}
-
-
-def python_hits(text: str) -> list[tuple]:
-    """Each rule's hits in Python source: ``rule, first line, last line``; a text that can't be parsed is one SYNTAX-ERROR."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as wrong:
-        at = getattr(wrong, "lineno", None) or 1
-        return [("SYNTAX-ERROR", at, at)]
-    found = {(rule, n.lineno, n.end_lineno) for n in ast.walk(tree) if hasattr(n, "lineno") for rule, flags in PYTHON_RULES.items() if flags(n)}
-    return sorted(found, key=lambda h: (h[1], h[0], h[2]))
+    return per_file(files, BLOCKS, lambda text, lang: python_rules.blocks(text) if lang == "python" else brace_blocks(text) if lang and lang not in NO_BRACES else [])
 
 
 def syntax_hits(files: DataFrame) -> DataFrame:
-    """``path, rule_id, line_no, line_end`` of the tree rules over Python files."""
-    return _per_file(files.where("lang = 'python'"), HITS, lambda text, _: python_hits(text))
+    """``path, rule_id, line_no, line_end`` of the rules over Python's syntax trees and over the bodies of brace languages."""
+    return per_file(files, HITS, lambda text, lang: python_rules.hits(text) if lang == "python" else body_rules.hits(text, lang) if lang and lang not in NO_BRACES else [])
 
 
 def call_sites(lines: DataFrame, functions: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ def chains(parents: DataFrame, node: str, parent: str, depth: int = 20) -> DataF
 
     ``parents`` has one row a node. Only chains that still grow are joined again.
     """
-    step = parents.where(F.col(parent).isNotNull()).select(F.col(node).alias("_n"), F.col(parent).alias("_p"))
+    step = materialize(parents.where(F.col(parent).isNotNull()).select(F.col(node).alias("_n"), F.col(parent).alias("_p")), "parents")
     front = parents.select(node, F.array(node).alias("chain"))
     done = None
     for _ in range(depth):

@@ -31,33 +31,44 @@ def first_fit(items: DataFrame, group: str, cost: str, order: list, budget: floa
     return ordered.mapInArrow(run, f"`{group}` {kinds[0]}, `{item}` {kinds[1]}, cost double")
 
 
-def merge_near(hits: DataFrame, key: str, at: str, rank: str, ordinal: str, span: int = 2) -> DataFrame:
-    """Greedy merge: a hit within ``span`` lines of a kept one of its key gives way, unless its rank is higher: then it takes that one's place.
+def merge_near(hits: DataFrame, key: str, at: str, rank: str, ordinal: str, span: int = 2, tags: str | None = None) -> DataFrame:
+    """Greedy merge: a hit within ``span`` lines of a kept one of its key gives way to the first such, unless its rank is higher: then it takes that one's place.
 
     Hits come in order of ``ordinal``; a kept hit is compared as it now stands.
-    Returns ``key, at, rank, ordinal`` of the survivors.
+    With ``tags``, an array, only hits that share a tag are the same, so that a
+    hit without tags always stays. Returns ``key, at, rank, ordinal`` of the
+    survivors. Kept hits are found by their lines, so a hit looks at the lines
+    in its reach and not at all that are kept.
     """
-    kinds = hits.select(key, at, rank, ordinal).schema
-    ordered = hits.select(key, at, rank, ordinal).repartition(key).sortWithinPartitions(key, ordinal)
+    chosen = hits.select(key, at, rank, ordinal, (F.col(tags) if tags else F.array(F.lit("same"))).cast("array<string>").alias("tags"))
+    kinds = chosen.drop("tags").schema
+    ordered = chosen.repartition(key).sortWithinPartitions(key, ordinal)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, now, kept = None, object(), []
+        schema, now, kept, lines = None, object(), [], {}
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], schema.field(i).type) for i in range(4)], schema=schema)
 
         for batch in batches:
-            schema = batch.schema
+            schema = pa.schema([batch.schema.field(i) for i in range(4)])
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[0] != now:
                     if kept:
                         yield out()
-                    now, kept = row[0], []
-                place = next((i for i, k in enumerate(kept) if abs(k[1] - row[1]) <= span), None)
+                    now, kept, lines = row[0], [], {}
+                mine = set(row[4] or ())
+                near = [i for line in range(row[1] - span, row[1] + span + 1) for i in lines.get(line, ())] if row[1] is not None else []
+                place = min((i for i in near if mine & set(kept[i][4] or ())), default=None)
                 if place is None:
+                    place = len(kept)
                     kept.append(row)
                 elif row[2] > kept[place][2]:
+                    lines[kept[place][1]].remove(place)
                     kept[place] = row
+                else:
+                    continue
+                lines.setdefault(row[1], []).append(place)
         if kept:
             yield out()
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.operators.joins import spread_join
+from quarryline.session import materialize
+
 
 def duplication_rate(lines: DataFrame, group: list[str], key: str, order: str, line: str = "line", size: int = 6) -> DataFrame:
     """Share of normalised code lines that lie in a block of ``size`` lines seen at least twice in the group.
@@ -18,10 +21,12 @@ def duplication_rate(lines: DataFrame, group: list[str], key: str, order: str, l
     seq = Window.partitionBy(key).orderBy(order)
     at = code.withColumn("at", F.row_number().over(seq)).withColumn("block", F.collect_list("b").over(seq.rowsBetween(0, size - 1)))
     totals = code.groupBy(*group).agg(F.count("*").alias("code_lines"))
-    blocks = at.where(F.size("block") == size).select(*group, key, "at", F.md5(F.array_join("block", "\n")).alias("digest"))
-    repeated = blocks.groupBy(*group, "digest").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = blocks.join(repeated, [*group, "digest"]).select(*group, key, F.explode(F.sequence("at", F.col("at") + size - 1)).alias("at")).distinct()
-    hit = marked.groupBy(*group).agg(F.count("*").alias("duplicate_lines"))
+    blocks = at.select(*group, key, "at", F.when(F.size("block") == size, F.md5(F.array_join("block", "\n"))).alias("digest"))
+    repeated = materialize(blocks.where("digest is not null").groupBy(*group, "digest").agg(F.count("*").alias("n")).where("n > 1"), "repeated-blocks")
+    marked = spread_join(blocks, repeated, [*group, "digest"], [key, "at"])
+    # a line is in a repeated block if one starts there or up to size - 1 lines before
+    near = Window.partitionBy(key).orderBy("at").rowsBetween(1 - size, 0)
+    hit = marked.withColumn("in", F.max("n").over(near)).where(F.col("in").isNotNull()).groupBy(*group).agg(F.count("*").alias("duplicate_lines"))
     out = totals.join(hit, group, "left").fillna(0, ["duplicate_lines"])
     return out.withColumn("duplication_rate", F.round(F.least(F.lit(100.0), 100.0 * F.col("duplicate_lines") / F.col("code_lines")), 1))
 

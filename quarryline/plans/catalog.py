@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quarryline.plans import core_queries, finding_queries, line_queries
+from quarryline.plans import code_queries, core_queries, finding_queries, line_queries
 
-QUERIES = {**line_queries.QUERIES, **core_queries.QUERIES, **finding_queries.QUERIES}
-ORACLES = {**line_queries.ORACLES, **core_queries.ORACLES, **finding_queries.ORACLES}
+PARTS = (line_queries, core_queries, finding_queries, code_queries)
+QUERIES = {name: make for part in PARTS for name, make in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

@@ -343,11 +343,18 @@ def budget_first_fit(t):
     return folds.first_fit(t("orders"), "o_custkey", "o_totalprice", ["o_orderpriority", "o_totalprice", "o_orderkey"], 500_000, "o_orderkey")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_LINES_TABLE}, h AS ({_HITS}), k AS (SELECT doc_id, line_no, CASE rule_id WHEN 'LICENSE' THEN 4 WHEN 'TABLE' THEN 3 WHEN 'SHOUT' THEN 2 ELSE 1 END AS rank, CASE WHEN rule_id IN ('LICENSE', 'TABLE') THEN 'text' ELSE 'form' END AS tag FROM h),
+o AS (SELECT doc_id, struct_pack(line_no := line_no, rank := rank, tag := tag) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY line_no * 10 - rank) AS n FROM k),
+r(doc_id, n, kept) AS (SELECT doc_id, n, [x] FROM o WHERE n = 1 UNION ALL
+  SELECT doc_id, n, CASE WHEN i IS NULL THEN list_append(kept, x) WHEN x.rank > kept[i].rank THEN list_concat(list_concat(kept[:i - 1], [x]), kept[i + 1:]) ELSE kept END
+  FROM (SELECT o.doc_id, o.n, kept, x, list_filter(range(1, len(kept) + 1), lambda j: abs(kept[j].line_no - x.line_no) <= 2 AND kept[j].tag = x.tag)[1] AS i FROM r JOIN o ON o.doc_id = r.doc_id AND o.n = r.n + 1)),
+f AS (SELECT doc_id, unnest(arg_max(kept, n)) AS x FROM r GROUP BY 1)
+SELECT doc_id, x.line_no::INT AS line_no, x.rank::INT AS rank, (x.line_no * 10 - x.rank)::INT AS ordinal FROM f""")
 def overlap_dedupe(t):
     hits = rules.match_lines(lines_of(t), RULES)
     rank = risk.lookup({"LICENSE": 4, "TABLE": 3, "SHOUT": 2}, F.col("rule_id"), 1)
-    return folds.merge_near(hits.select("doc_id", "line_no", rank.alias("rank"), (F.col("line_no") * 10 - rank).alias("ordinal")), "doc_id", "line_no", "rank", "ordinal")
+    tag = F.array(F.when(F.col("rule_id").isin("LICENSE", "TABLE"), "text").otherwise("form"))
+    return folds.merge_near(hits.select("doc_id", "line_no", rank.alias("rank"), (F.col("line_no") * 10 - rank).alias("ordinal"), tag.alias("tags")), "doc_id", "line_no", "rank", "ordinal", tags="tags")
 
 
 @query("""WITH s AS (SELECT conv_id, turn, role, 10 * CASE role WHEN 'user' THEN 3 WHEN 'assistant' THEN 2 ELSE 1 END + least(10, greatest(1, length(text) // 50)) AS score FROM conversations)

@@ -1,6 +1,6 @@
 import pytest
 
-from quarryline.operators import code, graph
+from quarryline.operators import code, graph, python_rules
 from quarryline.operators.lines import explode_lines
 
 PY = '''import os
@@ -102,12 +102,8 @@ TWINS = {
 @pytest.mark.parametrize("rule", TWINS)
 def test_rule_twins(rule):
     bad, good = TWINS[rule]
-    assert rule in {h[0] for h in code.python_hits(bad)}
-    assert rule not in {h[0] for h in code.python_hits(good)}
-
-
-def test_every_rule_has_twins():
-    assert set(TWINS) == {*code.PYTHON_RULES, "SYNTAX-ERROR"}
+    assert rule in {h[0] for h in python_rules.hits(bad)}
+    assert rule not in {h[0] for h in python_rules.hits(good)}
 
 
 def test_hits_as_rows(spark):

@@ -1,41 +1,47 @@
-from quarryline.operators import line_rules
-
-# rule, language, a line that it flags, one that it does not
-CASES = [
-    ("DEAD-CODE", "go", "// TODO: remove this", "// TODO: write this"),
-    ("EMPTY-EXCEPT", "java", "} catch (IOException e) { }", "} catch (IOException e) { f(); }"),
-    ("PRINT-DEBUG", "java", 'System.out.println("x");', 'out.write("x");'),
-    ("ASSERT-USED", "rust", "assert!(x);", "assert_eq(x);"),
-    ("BROAD-EXCEPT", "java", "} catch (Exception e) {", "} catch (IOException e) {"),
-    ("BARE-EXCEPT", "cpp", "catch (...) {", "catch (int e) {"),
-    ("STUB-IN-PROD", "python", "raise NotImplementedError('x')", "raise ValueError('x')"),
-    ("MONEY-FLOAT-PRECISION", "go", "totalPrice float64", "totalPrice decimal"),
-    ("BIGDECIMAL-DOUBLE-CTOR", "java", "new BigDecimal(0.1)", 'new BigDecimal("0.1")'),
-    ("STATIC-SIMPLEDATEFORMAT", "java", "private static final SimpleDateFormat F = x;", "SimpleDateFormat f = x;"),
-    ("MISSING-CHARSET", "java", "s.getBytes()", "s.getBytes(UTF_8)"),
-    ("EVAL-USAGE", "javascript", "eval(x)", "evaluate(x)"),
-    ("WEAK-HASH", "javascript", "createHash('md5')", "createHash('sha256')"),
-    ("INSECURE-RANDOM", "javascript", "Math.random()", "crypto.getRandomValues(a)"),
-    ("WEAK-CIPHER", "java", 'Cipher.getInstance("AES/ECB/PKCS5Padding")', 'Cipher.getInstance("AES/GCM/NoPadding")'),
-    ("INSECURE-TLS-VERIFICATION", "go", "InsecureSkipVerify: true", "InsecureSkipVerify: false"),
-    ("DEBUG-MODE-ENABLED", "config", "debug = true", "debug = false"),
-    ("CORS-WILDCARD", "config", "allowed_origins: '*'", "allowed_origins: 'a.example'"),
-    ("SENSITIVE-LOG-OUTPUT", "java", "log.info(user.password)", "log.info(user.name)"),
-    ("HARDCODED-PASSWORD", "ruby", 'db_password = "x9!kfoo8"', 'db_password = "changeme"'),
-]
-
-
-def test_twins(spark):
-    assert {c[0] for c in CASES} == {*line_rules.LINE_RULES, "HARDCODED-PASSWORD"}
-    lines = spark.createDataFrame([(f"{rule}/{kind}", lang, 1, text) for rule, lang, *pair in CASES for kind, text in zip(("bad", "good"), pair, strict=True)], "path string, lang string, line_no int, line string")
-    got = {(r.path, r.rule_id) for r in line_rules.line_hits(lines.union(lines)).collect()}
-    for rule, *_ in CASES:
-        assert (f"{rule}/bad", rule) in got, rule
-        assert (f"{rule}/good", rule) not in got, rule
-    assert line_rules.line_hits(lines.union(lines)).count() == len(got)
+from quarryline.operators import code, line_rules
+from quarryline.operators.lines import explode_lines
+from quarryline.operators.rule_catalog import RULES, rule_table
+from quarryline.plans.code_fixtures import FIXTURES
+
+
+def hits_of(spark, rows):
+    files = spark.createDataFrame(rows, "path string, lang string, content string")
+    found = line_rules.line_hits(explode_lines(files, ["path", "lang"], "content")).unionByName(code.syntax_hits(files))
+    out = {}
+    for r in found.distinct().collect():
+        out.setdefault(r.path, set()).add((r.rule_id, r.line_no))
+    return out
+
+
+def test_flagged_and_clean(spark):
+    got = hits_of(spark, [(f"{i}{kind}", lang, text) for i, (_, lang, bad, _, good) in enumerate(FIXTURES) for kind, text in (("bad", bad), ("good", good))])
+    for i, (rule, lang, bad, line, good) in enumerate(FIXTURES):
+        assert [h for h in got.get(f"{i}bad", ()) if h[0] == rule] == [(rule, line)], (rule, lang, bad)
+        assert not [h for h in got.get(f"{i}good", ()) if h[0] == rule], (rule, lang, good)
+
+
+def test_every_rule_of_a_text_has_a_fixture():
+    elsewhere = {"cross_function", "business_process", "oo_design", "dependency", "complexity", "git"}
+    nowhere = {"MISSING-RESOURCE-LIMIT", "FEATURE-ENVY"}  # registered names that nothing emits
+    project = {"LOW-PROJECT-COVERAGE", "LOW-FILE-COVERAGE", "LOW-CHANGE-COVERAGE", "ENV-FILE-TRACKED", "DOCKERFILE-ROOT-USER"}
+    wanted = {r.rule_id for r in RULES.values() if r.engine not in elsewhere} - nowhere - project
+    assert wanted == {f[0] for f in FIXTURES}
 
 
 def test_edges(spark):
-    lines = spark.createDataFrame([("a", None, 1, "eval(x)"), ("b", "javascript", 1, None), ("c", "javascript", 1, "// eval(x)"), ("d", "python", 1, "print(x)")], "path string, lang string, line_no int, line string")
-    assert line_rules.line_hits(lines).count() == 0
-    assert line_rules.rule_catalog(spark).count() == len(CASES)
+    lines = [("a", None, 1, "eval(x)"), ("b", "javascript", 1, None), ("c", "javascript", 1, "// eval(x)"), ("d", "unknown", 1, "print(x)"), ("e", "lua", 1, "-- print(x)"), ("f", "cpp", 1, "  *p = rand();")]
+    got = {(r.path, r.rule_id) for r in line_rules.line_hits(spark.createDataFrame(lines, "path string, lang string, line_no int, line string")).collect()}
+    assert got == {("f", "INSECURE-RANDOM")}
+    assert rule_table(spark).count() == len(RULES) and line_rules.line_rule_table(spark).where("severity is null").count() == 0
+
+
+def test_deep_and_broken_texts(spark):
+    deep = "x = " + " + ".join(["a"] * 2_500) + "\nprint(x)\n"
+    nested = "x = " + "(" * 5_000 + ")" * 5_000
+    blocks = "if a:\n" + "".join("    " * i + "if a:\n" for i in range(1, 90)) + "    " * 90 + "print(1)\n"
+    braces = "class A { void f() " + "{ if (x) " * 3_000 + "}" * 3_000 + "}"
+    rows = [("deep.py", "python", deep), ("nested.py", "python", nested), ("blocks.py", "python", "def f(a):\n" + "\n".join("    " + x for x in blocks.split("\n"))), ("A.java", "java", braces), ("none.py", "python", None), ("empty.go", "go", ""), ("open.java", "java", "class A { void f() {"), ("\0.py", "python", "a\0b")]
+    got = hits_of(spark, rows)
+    assert ("PRINT-DEBUG", 2) in got["deep.py"] and ("SYNTAX-ERROR", 1) in got["nested.py"]
+    files = spark.createDataFrame(rows, "path string, lang string, content string")
+    assert {r.path for r in code.blocks(files).where("kind = 'function'").collect()} >= {"A.java", "open.java"}
