@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Ends of lines: those of Python's ``splitlines``.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
 
 def split_lines(text: Column) -> Column:
-    """Array of lines; one trailing newline ends the last line and starts none; empty or null text has no line."""
-    body = F.regexp_replace(text, r"\n\z", "")
-    return F.when(F.length(text) > 0, F.split(body, "\n", -1)).otherwise(F.array().cast("array<string>"))
+    """Array of lines; an end of line at the end of the text starts none; empty or null text has no line."""
+    body = F.regexp_replace(text, rf"(?:{LINE_END})\z", "")
+    return F.when(F.length(text) > 0, F.split(body, LINE_END, -1)).otherwise(F.array().cast("array<string>"))
+
+
+def around(text: Column, at: Column, reach: int = 200) -> Column:
+    """The characters within ``reach`` of a place, which counts from 1."""
+    first = F.greatest(at - reach, F.lit(1))
+    return F.substring(text, first, at + reach - first)

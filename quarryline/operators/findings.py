@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,11 +152,12 @@ def chains(parents: DataFrame, node: str, parent: str, depth: int = 20) -> DataF
     return done.unionByName(front)
 
 
-def resolve_calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Targets of distinct free calls (``path, class, callee``) among ``path, class, name, qualified``: the columns of ``sites``, ``target, confidence``.
+def resolve_calls(sites: DataFrame, symbols: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """Targets of distinct calls (``path, class, callee``) among ``path, class, name, qualified``: the columns of ``sites``, ``target, confidence``.
 
-    The first that holds: same file 0.95, same class 0.9, the only one of its
-    name 0.6, else each of the first three by name 0.5.
+    The first that holds: same file 0.95; imported (``imports``: ``path, name,
+    target_path``) or same class 0.9; the only one of its name 0.6; else each of
+    the first three by name 0.5.
     """
     ids = sites.distinct().withColumn("_site", F.xxhash64(*sites.columns))
     known = symbols.select(F.col("name").alias("callee"), F.col("path").alias("_path"), F.col("class").alias("_class"), "qualified")
@@ -164,11 +167,113 @@ def resolve_calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     # by path and by class apart: a name alone would pair every call with every symbol of that name
     by = lambda column, level: ids.join(known.select("callee", F.col(f"_{column}").alias(column), "qualified"), ["callee", column]).select(*ids.columns, F.lit(level).alias("confidence"), "qualified")
     own = by("path", 0.95).unionByName(by("class", 0.9))
+    if imports is not None:
+        brought = imports.select("path", F.col("name").alias("callee"), F.col("target_path").alias("_path")).distinct()
+        own = own.unionByName(ids.join(brought, ["path", "callee"]).join(known.select("callee", "_path", "qualified"), ["callee", "_path"]).select(*ids.columns, F.lit(0.9).alias("confidence"), "qualified"))
     own = own.groupBy(*ids.columns).agg(F.min(F.struct((-F.col("confidence")).alias("c"), "qualified")).alias("b")).select(*ids.columns, F.col("b.qualified").alias("target"), (-F.col("b.c")).alias("confidence"))
     rest = ids.join(own.select("_site"), "_site", "left_anti").join(first, "callee").select(*ids.columns, F.col("qualified").alias("target"), F.when(F.col("_n") == 1, 0.6).otherwise(0.5).alias("confidence"))
     return own.unionByName(rest).drop("_site")
 
 
+def lookup_symbols(wanted: DataFrame, symbols: DataFrame, top: int = 3) -> DataFrame:
+    """For each ``path, name`` wanted the first ``top`` symbols (``path, name, qualified, ordinal``) of that name: ``path, name, place, qualified``.
+
+    Those of the same file come first, then those of the same folder, then the
+    others, each in order. Of each name only the first ``top`` of all, those of
+    the file and those of the folder are looked at.
+    """
+    folder = lambda c: F.regexp_replace(c, r"[^/]*$", "")
+    ids = wanted.select("path", "name").distinct().withColumn("folder", folder(F.col("path")))
+    known = symbols.select("name", F.col("path").alias("_path"), folder(F.col("path")).alias("_folder"), "qualified", "ordinal")
+    near = [
+        ids.join(known.select("name", F.col("_path").alias("path"), "qualified", "ordinal"), ["name", "path"]).select("path", "name", F.lit(0).alias("rank"), "qualified", "ordinal"),
+        ids.join(top_by(known.select("name", "_folder", "qualified", "ordinal").distinct(), ["name", "_folder"], ["ordinal", "qualified"], top).select("name", F.col("_folder").alias("folder"), "qualified", "ordinal"), ["name", "folder"]).select("path", "name", F.lit(1).alias("rank"), "qualified", "ordinal"),
+        ids.join(top_by(known.select("name", "qualified", "ordinal").distinct(), ["name"], ["ordinal", "qualified"], top), "name").select("path", "name", F.lit(2).alias("rank"), "qualified", "ordinal"),
+    ]
+    every = reduce(DataFrame.unionByName, near).groupBy("path", "name", "qualified", "ordinal").agg(F.min("rank").alias("rank"))
+    return top_by(every, ["path", "name"], ["rank", "ordinal", "qualified"], top).select("path", "name", "place", "qualified")
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """``path, module, target``: the file (``path, package``) that an import ``path, lang, module`` names; others are external.
+
+    Python: the module, or what it is imported from; a leading dot is the
+    importer's own package. Java: the class in its package. Go: a folder that the
+    import's path ends with. Imports are turned into the keys that would match,
+    so these are equality joins; the longest key wins.
+    """
+    parts = F.split("module", r"[./]")
+    own = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"[^/]*$", ""), "^(?:src|lib|source)/", ""), "/", ".")
+    named = F.when(F.col("module").startswith("."), F.concat(own, F.regexp_replace("module", r"^\.+", ""))).otherwise(F.col("module"))
+    python = F.array(named, F.regexp_replace(named, r"\.[^.]*$", ""))
+    go = F.transform(F.sequence(F.lit(1), F.size(F.split("module", "/"))), lambda i: F.array_join(F.slice(F.split("module", "/"), i, F.size(F.split("module", "/"))), "/"))
+    keys = F.when(F.col("lang") == "go", go).when(F.col("lang") == "java", F.array("module")).otherwise(python)
+    stem = F.regexp_extract("path", r"([^/]*)\.[^./]+$", 1)
+    known = files.select(F.when(F.col("path").endswith(".java"), F.concat_ws(".", "package", stem)).otherwise(F.col("package")).alias("key"), F.col("path").alias("target")).where("key <> ''")
+    found = imports.where(F.size(parts) > 0).select("path", "module", F.explode(F.array_distinct(keys)).alias("key")).join(known, "key").where("path <> target")
+    longest = F.row_number().over(Window.partitionBy("path", "module").orderBy(F.desc(F.length("key")), "target"))
+    return found.withColumn("n", longest).where("n = 1").select("path", "module", "target")
+
+
+def in_modules(findings: DataFrame, modules: DataFrame, members: DataFrame) -> DataFrame:
+    """Findings with each ``module`` (``module``, a folder; ``.`` is the root) that they belong to: by its files (``module, path``) or below its folder.
+
+    A path is exploded to the folders above it, so this is an equality join.
+    """
+    clean = F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
+    parts = F.split(clean, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    folders = F.when(F.size(parts) == 1, F.array(F.lit("."), clean)).otherwise(above)
+    below = findings.withColumn("module", F.explode(folders)).join(modules.select("module").distinct(), "module", "left_semi")
+    listed = findings.join(members.select("module", "path").distinct(), "path")
+    return below.select(*findings.columns, "module").unionByName(listed.select(*findings.columns, "module")).distinct()
+
+
+def module_rollup(files: DataFrame, functions: DataFrame, findings: DataFrame, metrics: DataFrame) -> DataFrame:
+    """One row a module: files, lines, code lines, functions, mean complexity, coverage, churn, commonest language, findings, score.
+
+    ``files``: module, path, lang, loc, sloc; ``functions``: module, complexity;
+    ``findings``: module and what a score needs; ``metrics``: module, name, value
+    of files. A measure that a module has no value of is null; without findings
+    the score is 100. Of equally common languages the first by name counts.
+    """
+    sizes = files.groupBy("module").agg(F.count("*").alias("files"), F.sum("loc").alias("loc"), F.sum("sloc").alias("sloc"))
+    common = files.where("lang is not null").groupBy("module", "lang").agg(F.count("*").alias("n")).groupBy("module").agg(F.min(F.struct((-F.col("n")).alias("n"), "lang"))["lang"].alias("language"))
+    inside = functions.groupBy("module").agg(F.count("*").alias("functions"), F.round(F.avg("complexity"), 1).alias("mean_complexity"))
+    value = lambda name, how, out: F.round(how(F.when(F.col("name") == name, F.col("value"))), 1).alias(out)
+    measured = metrics.groupBy("module").agg(value("line_coverage", F.avg, "coverage"), value("churn_score", F.sum, "churn"), value("duplication_rate", F.avg, "duplication"))
+    points = score(findings, ["module"])
+    out = sizes.join(common, "module", "left").join(inside, "module", "left").join(measured, "module", "left").join(points, "module", "left")
+    out = out.fillna(0, ["functions", "findings", "blocking"]).fillna(0.0, ["mean_complexity"]).fillna(100.0, ["score"])
+    return out.select("module", "files", "loc", "sloc", "functions", "mean_complexity", "coverage", "churn", "duplication", "language", "findings", "score", risk_level(F.col("score")).alias("risk"))
+
+
+def detected(files: DataFrame, hints: DataFrame) -> DataFrame:
+    """``kind, name, score``: what the files speak for, by ``hints`` (``kind, name, file, pattern, weight``).
+
+    A hint names a file, or gives an expression that a text has to have, or both;
+    each hint counts once, however many files meet it. Hints are a short table.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = files.select(name.alias("_name"), F.col("content").alias("_text"))
+    meets = (F.col("file").isNull() | (F.col("file") == F.col("_name"))) & (F.col("pattern").isNull() | F.expr("_text rlike pattern"))
+    met = rows.join(F.broadcast(hints), meets).select(*hints.columns).distinct()
+    return met.groupBy("kind", "name").agg(F.sum("weight").alias("score"))
+
+
+def in_engine_order(parts: dict[str, DataFrame], order: list[str]) -> DataFrame:
+    """All engines' findings with ``engine`` and its place; an engine that is not in the order comes last."""
+    place = {e: i for i, e in enumerate(order)}
+    return reduce(DataFrame.unionByName, [df.withColumn("engine", F.lit(e)).withColumn("engine_place", F.lit(place.get(e, len(order)))) for e, df in parts.items()])
+
+
+def capped(findings: DataFrame, caps: dict[str, int], order: list) -> DataFrame:
+    """At most so many findings of each rule that has a cap, the first in order; all of the others."""
+    limit = lookup(caps, F.col("rule_id"), None)
+    limited = findings.where(limit.isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy("rule_id").orderBy(*order)))
+    return limited.where(F.col("_n") <= limit).drop("_n").unionByName(findings.where(limit.isNull()))
+
+
 def json_of(answer: Column) -> Column:
     """The JSON text in a model's answer: a fenced block, else from the first to the last brace, else the answer."""
     fenced = F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*?)```", 1)

@@ -22,11 +22,17 @@ def unsuppressed(lines: DataFrame, key: str, hit: Column, marker: Column) -> Dat
     return lines.withColumn("_above", F.coalesce(above, F.lit(False))).where(hit & ~marker & ~F.col("_above")).drop("_above")
 
 
+# Literals that stand for a secret, and words too weak to be one.
+PLACEHOLDERS = ["changeme", "password", "secret", "your_secret_here", "your_api_key_here", "xxx", "todo", "fixme", "placeholder", "your_password_here", "replace_me", "none", "null", "undefined"]
+WEAK_WORDS = ["admin", "administrator", "root", "localhost", "guest", "user", "test", "demo", "default", "qwerty", "letmein", "welcome", "12345", "123456", "123456789", "111111", "000000", "123321", "654321"]
+
+
 def plausible_secret(value: Column) -> Column:
-    """Not a placeholder: no template sign at the start, no weak word, and not short and of one kind of character."""
-    weak = F.lower(value).isin("password", "changeme", "example", "placeholder", "secret", "dummy", "none", "null", "test", "xxx")
-    simple = (F.length(value) < 8) & (value.rlike("^[0-9]+$") | value.rlike("^[A-Za-z]+$"))
-    return ~(value.rlike(r"^[$%{<]") | weak | simple)
+    """No placeholder, reference to a variable or weak word, and not under eight characters of digits or small letters alone; quotes do not count, an empty value is none."""
+    bare = F.trim(F.regexp_replace(F.trim(value), "^[\"'`]+|[\"'`]+$", ""))
+    low = F.lower(bare)
+    simple = (F.length(low) < 8) & low.rlike("^(?:[0-9]+|[a-z]+)$")
+    return ~((bare == "") | low.isin(PLACEHOLDERS) | bare.rlike("^[$%]") | low.isin(WEAK_WORDS) | simple)
 
 
 def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

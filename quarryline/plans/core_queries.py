@@ -57,8 +57,8 @@ SECRET = r"(password|secret|token|api_key)[ ]*[:=][ ]*[\"']?([A-Za-z0-9_./+-]{8,
 
 
 @query(f"""WITH {SQL_LINES_TABLE}, h AS (SELECT doc_id, line_no, regexp_extract(line, '(password|secret|token|api_key)[ ]*[:=][ ]*["'']?([A-Za-z0-9_./+-]{{8,}})', 2) AS value FROM l),
-v AS (SELECT * FROM h WHERE value <> '' AND NOT (regexp_matches(value, '^[$%{{<]') OR lower(value) IN ('password','changeme','example','placeholder','secret','dummy','none','null','test','xxx')
-  OR (length(value) < 8 AND (regexp_matches(value, '^[0-9]+$') OR regexp_matches(value, '^[A-Za-z]+$')))))
+v AS (SELECT * FROM h WHERE value <> '' AND NOT (regexp_matches(value, '^[$%]') OR lower(value) IN ('changeme','password','secret','your_secret_here','your_api_key_here','xxx','todo','fixme','placeholder','your_password_here','replace_me','none','null','undefined',
+  'admin','administrator','root','localhost','guest','user','test','demo','default','qwerty','letmein','welcome','12345','123456','123456789','111111','000000','123321','654321') OR (length(value) < 8 AND regexp_matches(lower(value), '^([0-9]+|[a-z]+)$'))))
 SELECT doc_id, value, min(line_no)::INT AS line_no FROM v GROUP BY ALL""")
 def secret_line_hits(t):
     hits = lines_of(t).select("doc_id", "line_no", F.regexp_extract("line", SECRET, 2).alias("value")).where("value <> ''")

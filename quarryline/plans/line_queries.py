@@ -13,7 +13,8 @@ def line_metrics_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Lines of a text as the operators split them.
-SQL_LINES = "CASE WHEN length(text) > 0 THEN string_split(regexp_replace(text, '\\n\\z', ''), chr(10)) ELSE [] END"
+_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+SQL_LINES = f"CASE WHEN length(text) > 0 THEN string_split_regex(regexp_replace(text, '(?:{_END})\\z', ''), '{_END}') ELSE [] END"
 
 QUERIES = {"line_metrics_by_lang": line_metrics_by_lang}
 ORACLES = {

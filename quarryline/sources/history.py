@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,29 @@ def changed_lines(spark: SparkSession, path: str) -> DataFrame:
     hunks = files.select(F.trim(F.split("value", "\n")[0]).alias("path"), F.explode(F.arrays_zip(all_of(1).alias("start"), all_of(2).alias("n"))).alias("h"))
     spans = hunks.select("path", F.col("h.start").cast("int").alias("start"), F.when(F.col("h.n") == "", 1).otherwise(F.expr("try_cast(h.n as int)")).alias("n")).where("n > 0")
     return spans.select("path", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("line_no")).distinct()
+
+
+def changed_names(spark: SparkSession, path: str) -> DataFrame:
+    """``path, status`` of a listing of names with their status: added, copied, modified and renamed files, the last two under their new name."""
+    rows = spark.read.text(path).select(F.split("value", "\t").alias("p")).where(F.size("p") >= 2)
+    status = F.substring(F.col("p")[0], 1, 1)
+    return rows.select(F.replace(F.element_at("p", -1), F.lit("\\"), F.lit("/")).alias("path"), status.alias("status")).where(F.col("status").isin("A", "C", "M", "R")).distinct()
+
+
+def diff_base(wanted: str | None, first_since: Callable[[str], str | None], verify: Callable[[str], bool]) -> str:
+    """The commit to compare with: the last but one by default; before a day the parent of its first commit; else a name that must exist."""
+    if not wanted:
+        return "HEAD~1"
+    if re.match(r"\d{4}-\d{2}-\d{2}", wanted):
+        first = first_since(wanted)
+        return f"{first}~1" if first else "HEAD"
+    if not verify(wanted):
+        raise ValueError(f"no such commit: {wanted}")
+    return wanted
+
+
+def incremental(findings: DataFrame, changed: DataFrame) -> DataFrame:
+    """Findings (``path, line_no``) on lines that have changed (``path, line_no``), and those of changed files without a line."""
+    lines = findings.join(changed.select("path", "line_no").distinct(), ["path", "line_no"], "left_semi").select(findings.columns)
+    whole = findings.where("line_no is null").join(changed.select("path").distinct(), "path", "left_semi").select(findings.columns)
+    return lines.unionByName(whole)
