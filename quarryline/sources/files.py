@@ -143,11 +143,28 @@ def decoded(content: Column, errors: str = "ignore") -> Column:
     return F.replace(F.replace(F.make_valid_utf8(genuine), F.lit("\ufffd"), F.lit("")), mark, F.lit("\ufffd"))
 
 
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def ignore_rules(spark: SparkSession, root: str, name: str = ".gitignore") -> list[str]:
-    """The rules of the ignore file in a folder, in order; none without one. Such a file is short, so it is read whole."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", name).load(root)
-    rows = files.select(decoded(F.col("content")).alias("t")).limit(1).collect()
-    return [r.strip() for r in rows[0].t.splitlines() if r.strip() and r.strip()[0] != "#"] if rows else []
+    """The rules of the ignore file in a folder, in order; none without one. Spark's readers pass over hidden files, so it is opened by itself."""
+    store, at = _store(spark, f"{root.rstrip('/')}/{name}")
+    if not store.exists(at):
+        return []
+    stream = store.open(at)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return [r.strip() for r in text.splitlines() if r.strip() and r.strip()[0] != "#"]
+
+
+def _roots(spark: SparkSession, root: str) -> list[str]:
+    """The folder, and the hidden folders of build services in it, which Spark's readers would pass over."""
+    inside = [f"{root.rstrip('/')}/{name}" for name in KEPT_HIDDEN]
+    return [root, *[p for p in inside if (at := _store(spark, p))[0].exists(at[1])]]
 
 
 def _relative(root: str) -> Column:
@@ -159,9 +176,11 @@ def _relative(root: str) -> Column:
 def listing(spark: SparkSession, root: str, exclude: list[str] = (), ignore_rules: list[str] = (), only: list[str] = (), changed: DataFrame | None = None) -> DataFrame:
     """``path, lang, address, length`` of the files that ``scan`` would read; only names are looked at.
 
+    Files whose own name begins with a dot are not listed, nor hidden folders but those of build services.
+
     ``changed`` (``path``) replaces the whole tree by the files that have changed.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_roots(spark, root))
     rows = files.select(F.col("path").alias("address"), _relative(root).alias("path"), "length").withColumn("lang", language(F.col("path")))
     keep = rows.where(~skipped(F.col("path")) & ~generated_name(F.col("path")) & ~glob(F.col("path"), list(exclude)) & ~ignored_by_file(F.col("path"), list(ignore_rules)))
     if only:
@@ -192,7 +211,7 @@ def scan(spark: SparkSession, root: str, exclude: list[str] = (), ignore_rules:
     if len(few) <= ADDRESSES:
         files = reader.load([re.sub(r"([\\\[\]{}*?])", r"\\\1", a) for a in few])
     else:
-        files = reader.option("recursiveFileLookup", True).load(root)
+        files = reader.option("recursiveFileLookup", True).load(_roots(spark, root))
     files = files.select(F.col("path").alias("address"), "content").join(kept, "address")
     return files.where(~is_binary(F.col("content"))).select("path", "lang", decoded(F.col("content"), errors).alias("content")).where(~is_generated(F.col("content")))
 
