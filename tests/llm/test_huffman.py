@@ -97,3 +97,15 @@ def test_query_on_its_table(spark, sf_dir):
         want.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(tuple(r) for r in queries.op7_huffman(spark, sf_dir).collect()) == want
+
+
+def test_rows_without_an_id_are_spread(spark, tmp_path):
+    texts = [f"{i} words of a text {i * 7919 % 1000}" for i in range(400)]
+    path = str(tmp_path / "none")
+    huffman.write_ids(spark.createDataFrame([(None, t) for t in texts] + [(1, "x")], "doc_id long, text string"), path, queries.word_tokenizer())
+    out = huffman.read_ids(spark, path, with_ids=True).collect()
+    assert sorted(tuple(r.ids) for r in out) == sorted(tuple(x) for x in plain(queries.word_tokenizer(), [*texts, "x"]))
+    rows = sorted(out, key=lambda r: r.start)
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:i]) for i in range(len(rows))] and rows[-1].doc_id == 1
+    sizes = [r["count"] for r in spark.read.parquet(f"{path}/blocks").selectExpr("shard", "size(doc_ids) as n").groupBy("shard").sum("n").withColumnRenamed("sum(n)", "count").collect()]
+    assert len(sizes) > 3 and max(sizes) < 200
