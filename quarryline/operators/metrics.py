@@ -13,17 +13,19 @@ def duplication_rate(lines: DataFrame, group: list[str], key: str, order: str, l
     """Share of normalised code lines that lie in a block of ``size`` lines seen at least twice in the group.
 
     Blank lines and lines that start with ``#`` or ``//`` do not count; white
-    space is collapsed. Blocks do not cross a ``key``. Blocks are compared by a
-    128-bit digest; a group's rate is at most 100, rounded to one place.
+    space is collapsed. Blocks do not cross a ``key``. Blocks are compared by two
+    64-bit hashes; a group's rate is at most 100, rounded to one place.
     """
     bare = F.regexp_replace(F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", ""), r"[ \t\r]+", " ")
     code = lines.select(*group, key, order, bare.alias("b")).where("b <> '' and not startswith(b, '#') and not startswith(b, '//')")
     seq = Window.partitionBy(key).orderBy(order)
-    at = code.withColumn("at", F.row_number().over(seq)).withColumn("block", F.collect_list("b").over(seq.rowsBetween(0, size - 1)))
-    totals = code.groupBy(*group).agg(F.count("*").alias("code_lines"))
-    blocks = at.select(*group, key, "at", F.when(F.size("block") == size, F.md5(F.array_join("block", "\n"))).alias("digest"))
-    repeated = materialize(blocks.where("digest is not null").groupBy(*group, "digest").agg(F.count("*").alias("n")).where("n > 1"), "repeated-blocks")
-    marked = spread_join(blocks, repeated, [*group, "digest"], [key, "at"])
+    rest = [F.lead("b", i).over(seq) for i in range(1, size)]
+    whole = (rest[-1] if rest else F.col("b")).isNotNull()
+    digests = [F.when(whole, F.xxhash64(*mark, "b", *rest)).alias(name) for name, mark in (("d1", []), ("d2", [F.lit(1)]))]
+    blocks = materialize(code.select(*group, key, F.row_number().over(seq).alias("at"), *digests), "blocks")
+    totals = blocks.groupBy(*group).agg(F.count("*").alias("code_lines"))
+    repeated = materialize(blocks.where("d1 is not null").groupBy(*group, "d1", "d2").agg(F.count("*").alias("n")).where("n > 1"), "repeated-blocks")
+    marked = spread_join(blocks, repeated, [*group, "d1", "d2"], [key, "at"])
     # a line is in a repeated block if one starts there or up to size - 1 lines before
     near = Window.partitionBy(key).orderBy("at").rowsBetween(1 - size, 0)
     hit = marked.withColumn("in", F.max("n").over(near)).where(F.col("in").isNotNull()).groupBy(*group).agg(F.count("*").alias("duplicate_lines"))
