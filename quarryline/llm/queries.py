@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import huffman, langid, linededup, minhash, mixing, pii, secrets, sketch, toxicity, winnow
+from quarryline.llm import divergence, huffman, langid, linededup, minhash, mixing, pii, repair, secrets, simhash, sketch, toxicity, winnow
 from quarryline.llm.common import crc32_mod, id_text
 from quarryline.session import scratch_path
 from quarryline.sources.tables import table
@@ -71,5 +71,20 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.with_digest(found)
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_pii": op2_pii, "op3_mixing": op3_mixing, "op4_sketch": op4_sketch, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_huffman": op7_huffman, "op8_secrets": op8_secrets, "op9_line_dedup": op9_line_dedup, "op10_winnow": op10_winnow}
-ORACLES: dict[str, str] = {"op1_minhash": minhash.ORACLE, "op10_winnow": winnow.ORACLE, "op3_mixing": mixing.oracle(), "op9_line_dedup": linededup.ORACLE}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents"), ngram=3).select("doc_id", "fingerprint", "component_id")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    summary, turns = repair.repair(rows, rows["lives"])
+    sums = repair.digests(repair.applied(turns, summary)).withColumnRenamed("conv_id", "digest_id")
+    return summary.join(sums, summary["conv_id"].eqNullSafe(sums["digest_id"])).drop("digest_id")
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_pii": op2_pii, "op3_mixing": op3_mixing, "op4_sketch": op4_sketch, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_huffman": op7_huffman, "op8_secrets": op8_secrets, "op9_line_dedup": op9_line_dedup, "op10_winnow": op10_winnow, "op11_divergence": op11_divergence, "op12_simhash": op12_simhash, "op13_repair": op13_repair}
+ORACLES: dict[str, str] = {"op1_minhash": minhash.ORACLE, "op10_winnow": winnow.ORACLE, "op3_mixing": mixing.oracle(), "op9_line_dedup": linededup.ORACLE, "op11_divergence": divergence.ORACLE, "op13_repair": repair.ORACLE}
