@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.operators.intervals import smallest_enclosing
 from quarryline.session import materialize
 
 
@@ -121,9 +122,8 @@ def impact(edges: DataFrame, minimum: float = 0.5) -> DataFrame:
 
 
 def enclosing_interval(points: DataFrame, intervals: DataFrame, key: str, at: str, point_id: str) -> DataFrame:
-    """For each point the smallest interval ``[lo, hi]`` of its key around it, the earlier on ties; an equality join with a range filter."""
-    both = points.join(intervals, key).where((F.col(at) >= F.col("lo")) & (F.col(at) <= F.col("hi")))
-    return both.groupBy(point_id).agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("span"), "lo", "hi")).alias("i")).select(point_id, "i.lo", "i.hi", "i.span")
+    """For each point the smallest interval ``[lo, hi]`` of its key around it, the earlier on ties, by an index of intervals."""
+    return smallest_enclosing(points, intervals, [key], at, point_id)
 
 
 def processes(edges: DataFrame, entries: DataFrame, depth: int = 8, smallest: int = 3) -> DataFrame:
