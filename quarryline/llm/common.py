@@ -20,6 +20,12 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
 
+def map_rows(docs: DataFrame, run) -> DataFrame:
+    """``mapInArrow`` with ``docs``'s own columns, which may have any name: numbered on the way in, named again on the way out."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def tidy() -> None:
     """Give back to the system what earlier tasks of a reused worker have freed."""
     import ctypes

@@ -146,13 +146,17 @@ def fit(rows: list[tuple[str, str]], seed: int = 0) -> Model:
     return model
 
 
-def train(docs: DataFrame, per_lang: int = 1000, seed: int = 0) -> Model:
+def train(docs: DataFrame, per_lang: int = 1000, seed: int = 0, most_langs: int = 256) -> Model:
     """A model from ``docs(doc_id, text, lang)``, of at most about ``per_lang`` rows a language.
 
-    Rows with a null text, lang or doc_id teach nothing.
+    Rows with a null text, lang or doc_id teach nothing. Only the ``most_langs``
+    languages of most rows are learned, and ``sampling.MOST_ROWS`` rows in all,
+    which bounds sample and weights where the column holds anything. Of a
+    doc_id's rows in one language the smallest text teaches.
     """
     rows = docs.where("doc_id is not null and text is not null and lang is not null")
-    return fit(collected(rows, bounded_sample(rows.select("doc_id", "lang").distinct(), "lang", per_lang, seed), "lang"), seed)
+    named = rows.groupBy("doc_id", "lang").count().drop("count")
+    return fit(collected(rows.select("doc_id", "text"), bounded_sample(named, "lang", per_lang, seed, most_langs), "lang"), seed)
 
 
 def _predict(shared):

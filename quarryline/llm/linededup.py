@@ -146,9 +146,10 @@ def twice_seen(docs: DataFrame, min_chars: int, cells: int) -> np.ndarray:
     parts = max(1, cells // SEGMENT)  # at most MAX_CELLS / SEGMENT
     merged = reports.repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment long, bits binary")
     bits = np.zeros(max(cells, SEGMENT) // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        at = row.segment * SEGMENT // 8
-        bits[at : at + SEGMENT // 8] = np.frombuffer(row.bits, np.uint8)
+    for part in merged.toArrow().to_batches():  # one job; as many bytes as the filter has
+        for segment, found in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+            at = segment * SEGMENT // 8
+            bits[at : at + SEGMENT // 8] = np.frombuffer(found.as_buffer(), np.uint8)
     return bits
 
 

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.common import ASCII_LOWER, WordHashes, grams, mix, slices
 from quarryline.llm.components import components
+from quarryline.llm.native import quoted
 from quarryline.session import materialize, release, scratch_scope
 
 BLOCK = 128
@@ -376,12 +377,13 @@ def deduplicated(docs: DataFrame, ngram: int = 5, threshold: Fraction = Fraction
     found = near_dedup(pairs, ngram, threshold)
     gone = materialize(found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "decided")
     dropped, repeated = gone.where("not kept").select("doc_id"), gone.where("kept and rows > 1").select("doc_id")
-    kept = docs.join(_small(dropped, dropped.count()), "doc_id", "left_anti").select(docs.columns)
+    names = quoted(docs.columns)
+    kept = docs.join(_small(dropped, dropped.count()), "doc_id", "left_anti").select(names)
     if repeated.isEmpty():
         return kept
     side = _small(repeated, repeated.count())
     once = kept.join(side, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(side, "doc_id", "left_anti").unionAll(once).select(docs.columns)
+    return kept.join(side, "doc_id", "left_anti").select(names).unionAll(once.select(names))
 
 
 #: DuckDB SQL of the query's columns: equal sets once, pairs by common shingles, then the closure of the links.

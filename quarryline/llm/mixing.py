@@ -2,7 +2,11 @@
 
 Documents are counted, in words, by cell (source, language, topic). Rounds of
 raking scale the cells to each marginal's targets in turn, until they agree
-with all three to ``AGREE`` of all words; that is measured. A document's
+with all three to ``AGREE`` of all words; that is measured. Where no weights
+can agree with all (sources of one language each, whose targets and their
+languages' contradict), rounds that scale to all marginals at once, by the
+geometric mean of the three factors, go to the closest fit instead, and the
+measured ``residual`` says how far off it is. A document's
 inclusion probability is its cell's weight over its cell's words, scaled so that
 the largest is 1; a keyed hash of the doc_id decides. Spark's own functions
 only; the cells are one small table whatever the number of documents.
@@ -22,6 +26,8 @@ TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 ROUNDS = 12  # at least
 MOST_ROUNDS = 200
 ROUNDS_A_TABLE = 4
+#: Raking has stalled when a table of rounds leaves more than this part of the largest difference.
+STALLED = 0.9
 #: Largest difference of a category's total from its goal, as a share of all words.
 AGREE = 1e-6
 #: A cell table of at most so many rows may be broadcast; a larger one is copied ``SALTS`` times, so that no cell's documents meet in one task.
@@ -56,9 +62,9 @@ def _targets(margin: str, given: dict[str, dict[str, float]] | None) -> Column:
     return F.pow(F.col("words"), F.lit(TEMPER[margin]))
 
 
-def residual(cells: DataFrame) -> float:
+def residual(cells: DataFrame, margins: tuple[str, ...] | list[str] = MARGINS) -> float:
     """The largest difference of a category's weight from its goal, as a share of all words; 0 without cells."""
-    gaps = [cells.groupBy(F.col(m).alias("category")).agg(F.abs(F.sum("weight") - F.first(f"goal_{m}")).alias("gap")) for m in MARGINS]
+    gaps = [cells.groupBy(F.col(m).alias("category")).agg(F.abs(F.sum("weight") - F.first(f"goal_{m}")).alias("gap")) for m in margins]
     gap = reduce(DataFrame.unionAll, gaps).agg(F.max("gap")).first()[0]
     return (gap or 0.0) / (cells.agg(F.sum("words")).first()[0] or 1)
 
@@ -70,35 +76,75 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     tempered: its categories' shares are in proportion to words to the power in
     ``TEMPER``. A category with words but no given share gets none.
 
-    After ``rounds`` it goes on until the marginals agree; where they don't
-    after ``MOST_ROUNDS`` (no weights meet all the given shares, as when a
-    wanted source has words in unwanted languages only), it raises ValueError.
+    After ``rounds`` it goes on until the marginals agree, or until that stalls
+    because no weights meet all the goals. It raises ValueError where given
+    shares are the reason (as when a wanted source has words in unwanted
+    languages only). Tempered goals give way: the closest fit is returned, with
+    its ``residual`` (as in the function of that name) as a column. A given
+    margin that names no category present asks for nothing that there is: it is
+    left out, and the residual is 1.
     """
+    empty = [m for m in targets or {} if m in MARGINS and not _present(cells, m, targets[m])]
+    held = [m for m in MARGINS if m not in empty]
     total = cells.agg(F.sum("words").alias("total"))
     goals = cells
-    for margin in MARGINS:
+    for margin in held:
         goal = cells.groupBy(margin).agg(F.sum("words").alias("words"))
         goal = goal.select(margin, _targets(margin, targets).alias("raw"))
         scale = total.crossJoin(goal.agg(F.sum("raw").alias("all")))  # one row by one row
         goal = goal.join(F.broadcast(scale)).select(margin, (F.col("raw") / F.col("all") * F.col("total")).alias(f"goal_{margin}"))
         goals = goals.join(goal, margin)
     now = materialize(goals.withColumn("weight", F.col("words").cast("double")), "cells")
-    done = 0
-    while done < rounds or (gap := residual(now)) > agree:
-        if done >= MOST_ROUNDS:
-            raise ValueError(f"the target weights can't all be met: after {done} rounds a category is off by {gap:.2g} of all words")
+    done, gap, best, together = 0, 1.0, 2.0, False
+    while held and (done < rounds or gap > agree) and done < MOST_ROUNDS:
         for _ in range(min(ROUNDS_A_TABLE, rounds - done) if done < rounds else ROUNDS_A_TABLE):
-            for margin in MARGINS:
-                have = F.sum("weight").over(Window.partitionBy(margin))
-                now = now.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"goal_{margin}") / have).otherwise(0.0))
+            now = _compromise(now, held) if together else reduce(_scaled, held, now)
             done += 1
         now = materialize(now, "raked")
-    return now
+        if together:  # its rounds do not keep the sum
+            sums = now.agg(F.sum("words").alias("words"), F.sum("weight").alias("weight")).first()
+            now = now.withColumn("weight", F.col("weight") * F.lit(sums["words"] / sums["weight"]))
+        if done >= rounds:
+            gap = residual(now, held)
+            if together and gap > 0.99 * best:  # as close as it gets
+                break
+            if gap > agree and gap > STALLED * best:
+                if targets and len(empty) < len(targets):
+                    raise ValueError(f"the target weights can't all be met: after {done} rounds a category is off by {gap:.2g} of all words")
+                together = True
+            best = min(best, gap)
+    return now.withColumn("residual", F.lit(1.0 if empty else gap))
+
+
+def _factor(margin: str) -> Column:
+    have = F.sum("weight").over(Window.partitionBy(margin))
+    return F.when(have > 0, F.col(f"goal_{margin}") / have).otherwise(0.0)
+
+
+def _scaled(cells: DataFrame, margin: str) -> DataFrame:
+    return cells.withColumn("weight", F.col("weight") * _factor(margin))
+
+
+def _compromise(cells: DataFrame, margins: list[str]) -> DataFrame:
+    """One round to all marginals at once: it descends the sum of the marginals' divergences from their goals, whether or not all can be met."""
+    for m in margins:
+        cells = cells.withColumn(f"factor_{m}", _factor(m))
+    mean = F.pow(reduce(lambda a, b: a * b, [F.col(f"factor_{m}") for m in margins]), F.lit(1.0 / len(margins)))
+    return cells.withColumn("weight", F.col("weight") * mean).drop(*[f"factor_{m}" for m in margins])
+
+
+def _present(cells: DataFrame, margin: str, shares: dict[str, float]) -> bool:
+    wanted = [k for k, v in shares.items() if v > 0]
+    return bool(wanted) and not cells.where(F.col(margin).isin(wanted)).isEmpty()
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 0, rounds: int = ROUNDS) -> DataFrame:
     """For each row of ``docs(doc_id, text, source, lang)``: the ``row`` itself, as a struct, and beside it
-    ``source, lang, topic, words, probability, kept``.
+    ``source, lang, topic, words, probability, residual, kept``; ``residual`` is
+    the largest difference of a category's weight from its goal, as a share of
+    all words: under ``AGREE`` where all goals are met, more where they
+    contradict each other and the closest fit is taken; null for rows without
+    words.
 
     A column ``topic`` of the input, if there is one, is the topic; else its
     surface form is. Null sources, languages and topics are the category
@@ -112,9 +158,9 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, see
     rows = docs.select(F.struct("*").alias("row"), known("source").alias("source"), known("lang").alias("lang"), kind.alias("topic"), n_words(F.col("text")).alias("words"))
     with scratch_scope() as made:
         cells = materialize(rows.groupBy(*MARGINS).agg(F.sum("words").alias("words")).where("words > 0"), "cells")
-        raked = rake(cells, targets, rounds).select(*MARGINS, (F.col("weight") / F.col("words")).alias("ratio"))
+        raked = rake(cells, targets, rounds).select(*MARGINS, "residual", (F.col("weight") / F.col("words")).alias("ratio"))
         top = raked.agg(F.max("ratio").alias("top"))
-        rates = materialize(raked.join(F.broadcast(top)).select(*MARGINS, (F.col("ratio") / F.col("top")).alias("probability")), "rates")
+        rates = materialize(raked.join(F.broadcast(top)).select(*MARGINS, "residual", F.when(F.col("top") > 0, F.col("ratio") / F.col("top")).otherwise(0.0).alias("probability")), "rates")
     release(docs.sparkSession, made[:-1])  # all but the rates
     if rates.count() <= BROADCAST_CELLS:
         joined = rows.join(F.broadcast(rates), list(MARGINS), "left")
@@ -124,7 +170,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, see
         joined = rows.withColumn("salt", salt).join(copies, [*MARGINS, "salt"], "left").drop("salt")
     joined = joined.withColumn("probability", F.coalesce("probability", F.lit(0.0)))
     unit = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 12), 16, 10).cast("long") / float(16**12)
-    return joined.select("row", *MARGINS, "words", "probability", (unit < F.col("probability")).alias("kept"))
+    return joined.select("row", *MARGINS, "words", "probability", "residual", (unit < F.col("probability")).alias("kept"))
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 0) -> DataFrame:

@@ -20,3 +20,8 @@ BLANKS = r"[ \t\n\x0B\f\r]+"
 def words(text: Column) -> Column:
     """Array of the runs of anything but blanks, in lower case; empty for null."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BLANKS, -1), lambda w: w != "")
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names as expressions, whatever characters they hold."""
+    return [f"`{n.replace('`', '``')}`" for n in names]

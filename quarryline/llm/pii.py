@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.native import let
+from quarryline.llm.native import let, quoted
 
 ROUNDS = 8
 WALK = 200
@@ -224,9 +224,10 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """
     counts = [f"n_{kind}" for kind in KINDS]
     # the input rides along as a struct, so that no column of its own can clash with the work's
-    text = docs[text_col]
+    cell = lambda c: docs[quoted([c])[0]]
+    text = cell(text_col)
     found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key))
-    rows = docs.select(F.struct(*([docs[c] for c in docs.columns if c not in counts and c != text_col] or [text])).alias("row"), text.alias("text"), found.alias("found"))
+    rows = docs.select(F.struct(*([cell(c) for c in docs.columns if c not in counts and c != text_col] or [text])).alias("row"), text.alias("text"), found.alias("found"))
 
     def join(g: Column) -> Column:
         return F.array_join(F.transform(F.arrays_zip(g.alias("g"), F.col("found").alias("f")), lambda x: F.concat(x["g"], F.coalesce(x["f"]["value"], F.lit("")))), "")
@@ -234,5 +235,5 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     # a text without a match is never split
     new = F.when(F.size("found") > 0, let(F.split("text", ANY, -1), join)).otherwise(F.col("text"))
     n = lambda kind: F.when(F.col("found").isNull(), 0).otherwise(F.size(F.filter("found", lambda x: x["kind"] == kind)))
-    own = [new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in counts]
+    own = [new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in counts]
     return rows.select(*own, *[n(kind).alias(f"n_{kind}") for kind in KINDS])

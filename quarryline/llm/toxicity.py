@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import crc32_mod, slices
+from quarryline.llm.common import crc32_mod, map_rows, slices
 from quarryline.llm.sampling import bounded_sample, collected
 from quarryline.llm.winnow import words_of
 
@@ -333,6 +333,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, out_fold: int | No
 
     At most about ``toxic_rows`` and ``other_rows`` are used, none of them with
     crc32(doc_id) mod ``folds`` = ``out_fold``. Null ids and labels teach nothing.
+    A doc_id with several labels is toxic if one of them says so; one with
+    several texts teaches the smallest. Very long texts are taken whole; empty
+    tables give a chain that scores 0.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), (labels["toxic"] != 0).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     if out_fold is not None:
@@ -401,4 +404,4 @@ def reject(docs: DataFrame, chain: Chain, threshold: float = REJECT) -> DataFram
     Null ids, null texts and repeated rows are judged by their text alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    return docs.mapInArrow(_keep(shared, docs.columns.index("text"), threshold), docs.schema)
+    return map_rows(docs, _keep(shared, docs.columns.index("text"), threshold))

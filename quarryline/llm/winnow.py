@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import WordHashes, grams, slices
+from quarryline.llm.common import WordHashes, grams, map_rows, slices
 from quarryline.session import materialize
 
 BROADCAST_WORDS = 2_000_000
@@ -143,9 +143,9 @@ def _match(texts: list[str | None], block: Block, hashes: WordHashes) -> tuple[l
 
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, block = WordHashes(), shared.value  # read before the rows, also by a task without any
         for part in slices(batches):
-            hit, found = _match(part.column(1).to_pylist(), shared.value, hashes)
+            hit, found = _match(part.column(1).to_pylist(), block, hashes)
             n = [int(h.sum()) for h in hit]
             columns = [part.column(0), pa.array([len(h) for h in hit], pa.int64()), pa.array(n, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([sorted(f) for f in found], pa.list_(pa.int64())), pa.array([x > 0 for x in n])]
             yield pa.RecordBatch.from_arrays(columns, schema=OUT)
@@ -155,9 +155,9 @@ def _scan(shared):
 
 def _clean(shared, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, block = WordHashes(), shared.value
         for part in slices(batches):
-            hit, _ = _match(part.column(text_at).to_pylist(), shared.value, hashes)
+            hit, _ = _match(part.column(text_at).to_pylist(), block, hashes)
             yield part.filter(pa.array([not h.any() for h in hit], pa.bool_()))
 
     return run
@@ -265,7 +265,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: i
     _check(window, k)
     items = _items_of(benchmark)
     if block := _small_benchmark(items, window, k):
-        return docs.mapInArrow(_clean(block, docs.columns.index("text")), docs.schema)
+        return map_rows(docs, _clean(block, docs.columns.index("text")))
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("at"), F.struct("*").alias("row"), docs["text"].alias("text")), "rows")
     return rows.join(_joined_hits(rows, items, window, k), "at", "left_anti").select("row.*")
 

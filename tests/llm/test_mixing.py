@@ -100,3 +100,35 @@ def test_query_matches_sql(spark, sf_dir):
     want = con.sql(queries.ORACLES["op3_mixing"]).project("doc_id, topic, n_words, probability, kept").fetchall()
     got = [tuple(r) for r in queries.op3_mixing(spark, sf_dir).select("doc_id", "topic", "n_words", "probability", "kept").collect()]
     assert sorted(got) == sorted(want)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+def test_sources_of_one_language_each(spark):
+    """Tempered goals of source and language contradict: the closest fit, with its residual, and no failure."""
+    rows = [(i, "word " * (80 if i % 3 else 70), lang, source) for i, (lang, source) in enumerate([("en", "A")] * 200 + [("de", "B")] * 100)]
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(out) == 300 and any(r["kept"] for r in out)
+    (off,) = {r["residual"] for r in out}
+    mass = {s: sum(r["words"] * r["probability"] for r in out if r["source"] == s) for s in "AB"}
+    have = {s: sum(r["words"] for r in out if r["source"] == s) for s in "AB"}
+    share = mass["A"] / sum(mass.values())
+    goal = lambda power: have["A"] ** power / sum(h**power for h in have.values())
+    # with one free number the closest fit is the geometric mean of both goals
+    assert abs(share - goal((mixing.TEMPER["source"] + mixing.TEMPER["lang"]) / 2)) < 1e-4
+    assert abs(off - max(abs(share - goal(p)) for p in (mixing.TEMPER["source"], mixing.TEMPER["lang"]))) < 1e-4
+
+
+def test_targets_without_a_category(spark):
+    df = docs(spark, 300)
+    out = mixing.mix(df, targets={"lang": {"xx": 1.0}}).collect()
+    assert {r["residual"] for r in out if r["words"]} == {1.0} and any(r["kept"] for r in out)
+    some = mixing.mix(df, targets={"source": {"hot": 0.5, "nowhere": 0.5}}).collect()
+    assert all(r["probability"] == 0 for r in some if r["source"] != "hot")
+
+
+def test_dotted_and_empty_input(spark):
+    rows = [(i, "some words", "en", "a", 1) for i in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA + ", n int").withColumnRenamed("n", "a.b`c")
+    assert mixing.mixed(df).columns == df.columns and mixing.mixed(df).count() == 5
