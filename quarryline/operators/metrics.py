@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.functions.text import split_lines
 from quarryline.operators.joins import spread_join
 from quarryline.session import materialize
 
@@ -33,14 +34,44 @@ def duplication_rate(lines: DataFrame, group: list[str], key: str, order: str, l
     return out.withColumn("duplication_rate", F.round(F.least(F.lit(100.0), 100.0 * F.col("duplicate_lines") / F.col("code_lines")), 1))
 
 
-def ownership(history: DataFrame, item: str, author: str, amount: str) -> DataFrame:
+def code_lines(text: Column) -> Column:
+    """Array of a text's normalised code lines, as ``duplication_rate`` counts them."""
+    bare = F.transform(split_lines(F.regexp_replace(text, r"[ \t]+", " ")), lambda line: F.trim(line))
+    return F.filter(bare, lambda b: (b != "") & ~b.startswith("#") & ~b.startswith("//"))
+
+
+def text_duplication(texts: DataFrame, group: list[str], key: str, text: str = "text", size: int = 6) -> DataFrame:
+    """``duplication_rate`` of whole texts: blocks are hashed within their text, so that only hashes and places are moved, never lines.
+
+    A row is a text; ``key`` names it. Blocks are compared by two 64-bit hashes.
+    """
+    lines = F.col("lines")
+    blocks = F.when(F.size(lines) >= size, F.sequence(F.lit(1), F.size(lines) - size + 1)).otherwise(F.array().cast("array<int>"))
+    hashed = F.transform(blocks, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(lines, i, F.lit(size))).alias("d1"), F.xxhash64(F.lit(1), F.slice(lines, i, F.lit(size))).alias("d2")))
+    rows = texts.select(*group, key, code_lines(F.col(text)).alias("lines")).select(*group, key, F.size("lines").alias("n"), hashed.alias("blocks"))
+    rows = materialize(rows, "text-blocks")
+    totals = rows.groupBy(*group).agg(F.sum("n").cast("long").alias("code_lines"))
+    each = rows.select(*group, key, F.explode("blocks").alias("b")).select(*group, key, "b.*")
+    repeated = materialize(each.groupBy(*group, "d1", "d2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-blocks")
+    hits = spread_join(each, repeated, [*group, "d1", "d2"], [key, "at"], "inner")
+    # a repeated block adds its lines up to where the next one of its text begins
+    ahead = F.lead("at").over(Window.partitionBy(*group, key).orderBy("at"))
+    added = F.least(F.lit(size), F.coalesce(ahead - F.col("at"), F.lit(size)))
+    hit = hits.select(*group, added.alias("added")).groupBy(*group).agg(F.sum("added").alias("duplicate_lines"))
+    out = totals.join(hit, group, "left").fillna(0, ["duplicate_lines"])
+    return out.withColumn("duplication_rate", F.round(F.least(F.lit(100.0), 100.0 * F.col("duplicate_lines") / F.col("code_lines")), 1))
+
+
+def ownership(history: DataFrame, item: str, author: str, amount: str, commit: str | None = None) -> DataFrame:
     """Per item: changed amount, commits, authors, and the top author with their share of commits, rounded to three places.
 
+    With ``commit`` an item's rows of one commit count once; without, each row is
+    one. Authors may be text; of equal commits the smaller author is the top one.
     Two levels of aggregation; a hot item is pre-aggregated by author first.
     """
-    by_author = history.groupBy(item, author).agg(F.count("*").alias("n"), F.sum(amount).alias("amount"))
-    # ties: the smaller author
-    top = F.max_by(author, F.struct("n", (-F.col(author)).alias("tie")))
+    rows = history if commit is None else history.groupBy(item, author, commit).agg(F.sum(amount).alias(amount))
+    by_author = rows.groupBy(item, author).agg(F.count("*").alias("n"), F.sum(amount).alias("amount"))
+    top = F.min(F.struct((-F.col("n")).alias("less"), F.col(author).alias("author")))["author"]
     return by_author.groupBy(item).agg(F.round(F.sum("amount"), 2).alias("changed"), F.sum("n").alias("commits"), F.count("*").alias("authors"), top.alias("top_author"), F.round(F.max("n") / F.sum("n"), 3).alias("top_share"))
 
 

@@ -81,26 +81,32 @@ def _first(cases: list[tuple[Column, float]], other: float) -> Column:
 
 def place_factors(path: Column, text: Column, rule: Column, suggested: Column) -> dict[str, Column]:
     """Factors of a finding by its path, its words (title, cause, impact, tags), its rule and whether a test is suggested."""
-    category, parts, words = F.col("category"), path_parts(path), F.lower(F.coalesce(text, F.lit("")))
-    project = F.lower(F.trim(path)) == "project"
-    core, entry = _words(folder_tokens(parts), CORE_WORDS), _words(path_tokens(parts), ENTRY_WORDS)
-    grave = category.isin("security", "defect")
-    blocks = F.coalesce(F.col("blocks"), F.lit(False))
+    parts, words = path_parts(path), F.lower(F.coalesce(text, F.lit("")))
     known = lambda c: F.coalesce(c, F.lit(False))
-    r, p, s, d, c = REACHABILITY, PROBABILITY, SCOPE, DETECTABILITY, COST
     said = lambda which: words.rlike("|".join(which))
-    return {
-        "reachability": _first([(blocks, r["blocks"]), ((category == "security") & (entry | said(ENTRY_WORDS)), r["security entry"]), (grave, r["security or defect"]), (known(project), r["project"]), (entry, r["entry"]), (category == "testing", r["testing"])], r["else"]),
-        "probability": _first([(known(rule.isin(HISTORY_RULES)), p["history rule"]), (said(HISTORY_WORDS), p["history word"]), (grave, p["security or defect"]), (category == "testing", p["testing"])], p["else"]),
-        "scope": _first([(known(project), s["project"]), (core, s["core"]), (F.size(parts) <= 1, s["one part"])], s["else"]),
-        "detectability": _first([(category == "testing", d["testing"]), (category == "security", d["security"]), (~known(suggested), d["no suggestion"]), (F.col("confidence") == "low", d["low confidence"])], d["else"]),
-        "cost": _first([(blocks | (category == "security"), c["blocks or security"]), (core, c["core"]), (category.isin("maintainability", "defect"), c["maintainability or defect"])], c["else"]),
-    }
+    return _factors(
+        project=known(F.lower(F.trim(path)) == "project"), core=_words(folder_tokens(parts), CORE_WORDS), entry=_words(path_tokens(parts), ENTRY_WORDS), alone=F.size(parts) <= 1,
+        entry_said=said(ENTRY_WORDS), history_said=said(HISTORY_WORDS), history_rule=known(rule.isin(HISTORY_RULES)), suggested=known(suggested),
+    )
 
 
 def plain_factors() -> dict[str, Column]:
-    """Factors of findings without a path or text: inside some folder, with nothing suggested."""
-    return place_factors(F.lit("a/b"), F.lit(""), F.lit(""), F.lit(False))
+    """Factors of findings without a path or text: inside some folder, with nothing suggested. Nothing of a path is evaluated."""
+    no = F.lit(False)
+    return _factors(project=no, core=no, entry=no, alone=no, entry_said=no, history_said=no, history_rule=no, suggested=no)
+
+
+def _factors(*, project: Column, core: Column, entry: Column, alone: Column, entry_said: Column, history_said: Column, history_rule: Column, suggested: Column) -> dict[str, Column]:
+    category, blocks = F.col("category"), F.coalesce(F.col("blocks"), F.lit(False))
+    grave = category.isin("security", "defect")
+    r, p, s, d, c = REACHABILITY, PROBABILITY, SCOPE, DETECTABILITY, COST
+    return {
+        "reachability": _first([(blocks, r["blocks"]), ((category == "security") & (entry | entry_said), r["security entry"]), (grave, r["security or defect"]), (project, r["project"]), (entry, r["entry"]), (category == "testing", r["testing"])], r["else"]),
+        "probability": _first([(history_rule, p["history rule"]), (history_said, p["history word"]), (grave, p["security or defect"]), (category == "testing", p["testing"])], p["else"]),
+        "scope": _first([(project, s["project"]), (core, s["core"]), (alone, s["one part"])], s["else"]),
+        "detectability": _first([(category == "testing", d["testing"]), (category == "security", d["security"]), (~suggested, d["no suggestion"]), (F.col("confidence") == "low", d["low confidence"])], d["else"]),
+        "cost": _first([(blocks | (category == "security"), c["blocks or security"]), (core, c["core"]), (category.isin("maintainability", "defect"), c["maintainability or defect"])], c["else"]),
+    }
 
 
 def deduction(factors: dict[str, Column] | None = None) -> Column:
@@ -152,13 +158,10 @@ def cluster_of(rule: Column, category: Column) -> Column:
 def clusters(findings: DataFrame, cluster: str, module: str, smallest: int = 2, shown: int = 5) -> DataFrame:
     """Groups of at least ``smallest`` findings: size, worst severity, number of modules and the first few by name."""
     rank = lookup(SEVERITY_ORDER, F.col("severity"), 99)
-    modules = findings.select(cluster, module).distinct().groupBy(cluster).agg(F.count(module).alias("modules"), _first_names(module, shown).alias("first_modules"))
+    modules = findings.select(cluster, module).distinct().groupBy(cluster).agg(F.count(module).alias("modules"))
     sizes = findings.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count("*").alias("size"), F.min_by("severity", rank).alias("worst")).where(F.col("size") >= smallest)
-    return sizes.join(modules, cluster)
-
-
-def _first_names(column: str, shown: int) -> Column:
-    return F.array_join(F.slice(F.array_sort(F.collect_set(column)), 1, shown), ",")
+    first = first_members(findings, cluster, module, shown).withColumnRenamed(f"first_{module}", "first_modules")
+    return sizes.join(modules, cluster).join(first, cluster)
 
 
 def first_members(findings: DataFrame, cluster: str, column: str, shown: int) -> DataFrame:

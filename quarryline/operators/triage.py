@@ -23,7 +23,9 @@ SECURITY_WORDS = ["password", "passwd", "pwd", "secret", "token", "session", "au
 OTHER_WORDS = ["checksum", "etag", "cache", "fingerprint", "integrity", "digest", "sample", "shuffle", "jitter", "backoff", "pick"]
 CONTEXT_RULES = ["WEAK-HASH", "INSECURE-RANDOM"]
 LOWER = {"critical": "high", "high": "medium", "medium": "low", "low": "info"}
-MARK = r"(?i)(?:#|//)\s*(?:noqa|audit:\s*ignore)\b:?\s*([A-Z0-9_,\s-]*)"
+#: What a comment begins with to take findings back, as words in lower case.
+MARKS = [["noqa"], ["audit:", "ignore"]]
+COMMENT_SIGNS = "#|//"
 
 
 def is_test_file(path: Column) -> Column:
@@ -45,20 +47,48 @@ def counts_here(rule: Column, path: Column) -> Column:
     return ~(rule.isin(exempt) & is_test_file(path))
 
 
-def suppressions(lines: DataFrame, mark: str = MARK) -> DataFrame:
+def taken_back(line: Column, marks: list[list[str]] = MARKS, signs: str = COMMENT_SIGNS) -> Column:
+    """The rule ids, in upper case, that a comment of the line takes back; ``*`` alone for a mark without ids; null without a mark.
+
+    A line is cut at its comment signs. A comment is a mark if its first words
+    are (an empty mark is any comment); ids are the words after it, parted by
+    blanks or commas, up to the first that is none, of which the part counts that
+    could be one. A colon may stand between.
+    """
+
+    def ids(comment: Column) -> Column:
+        words = F.filter(F.split(F.regexp_replace(F.lower(comment), ":", ": "), r"[\s,]+"), lambda w: w != "")
+        found = F.lit(None).cast("array<string>")
+        for mark in marks:
+            for spelled in (mark, [*mark[:-1], mark[-1] + ":"]) if mark else ([],):
+                after = F.slice(words, len(spelled) + 1, F.size(words) + 1)
+                opens = F.slice(words, 1, len(spelled)) == F.array(*map(F.lit, spelled)) if spelled else F.lit(True)
+                found = F.coalesce(found, F.when(opens, after))
+        return found
+
+    def known(words: Column) -> Column:
+        end = F.array_position(F.transform(words, lambda w: w.rlike(r"^[a-z0-9_-]+$")), F.lit(False))
+        own = F.when(end > 0, F.slice(words, F.lit(1), end.cast("int"))).otherwise(words)
+        own = F.filter(F.transform(own, lambda w: F.upper(F.regexp_extract(w, r"^[a-z0-9_-]*", 0))), lambda w: w != "")
+        return F.when(F.size(own) > 0, own).otherwise(F.array(F.lit("*")))
+
+    comments = F.split(line, signs)
+    marked = F.array_compact(F.transform(F.slice(comments, F.lit(2), F.size(comments)), ids))
+    return F.when(F.size(marked) > 0, known(marked[0]))
+
+
+def suppressions(lines: DataFrame, marks: list[list[str]] = MARKS, signs: str = COMMENT_SIGNS) -> DataFrame:
     """``path, line_no, rule_id``: what a marker takes back on its own line and the one below; a marker without ids: ``*``."""
-    ids = F.filter(F.split(F.upper(F.trim(F.regexp_extract("line", mark, 1))), r"[,\s]+"), lambda x: x != "")
-    marked = lines.where(F.col("line").rlike(mark)).select("path", "line_no", F.explode(F.when(F.size(ids) == 0, F.array(F.lit("*"))).otherwise(ids)).alias("rule_id"))
+    marked = lines.where(F.col("line").rlike(signs)).select("path", "line_no", F.explode(taken_back(F.col("line"), marks, signs)).alias("rule_id"))
     return marked.select("path", F.explode(F.array("line_no", F.col("line_no") + 1)).alias("line_no"), "rule_id").distinct()
 
 
-def not_suppressed(hits: DataFrame, lines: DataFrame, mark: str = MARK) -> DataFrame:
+def not_suppressed(hits: DataFrame, lines: DataFrame, marks: list[list[str]] = MARKS, signs: str = COMMENT_SIGNS) -> DataFrame:
     """The hits ``path, rule_id, line_no`` that no marker on their line or the one above takes back; ids compare in upper case."""
-    marks = suppressions(lines, mark)
-    every = marks.where("rule_id = '*'").select("path", "line_no")
-    named = marks.select("path", "line_no", F.col("rule_id").alias("upper_id"))
-    kept = hits.withColumn("upper_id", F.upper("rule_id")).join(every, ["path", "line_no"], "left_anti")
-    return kept.join(named, ["path", "line_no", "upper_id"], "left_anti").select(hits.columns)
+    back = suppressions(lines, marks, signs).groupBy("path", "line_no").agg(F.collect_set("rule_id").alias("taken"))  # a line's few ids
+    both = hits.join(back, ["path", "line_no"], "left")
+    gone = F.array_contains("taken", "*") | F.array_contains("taken", F.upper("rule_id"))
+    return both.where(~F.coalesce(gone, F.lit(False))).select(hits.columns)
 
 
 def security_context(name: Column) -> Column:

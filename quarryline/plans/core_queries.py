@@ -50,7 +50,7 @@ m AS (SELECT DISTINCT source, doc_id, unnest(range(pos, pos + 6)) AS pos FROM k
 SELECT source, code_lines, coalesce(d, 0) AS duplicate_lines, round(least(100.0, 100.0 * coalesce(d, 0) / code_lines), 1) AS duplication_rate
 FROM (SELECT source, count(*) AS code_lines FROM n GROUP BY 1) LEFT JOIN (SELECT source, count(*) AS d FROM m GROUP BY 1) USING (source)""")
 def duplication_rate_by_source(t):
-    return metrics.duplication_rate(lines_of(t), ["source"], "doc_id", "line_no")
+    return metrics.text_duplication(t("documents"), ["source"], "doc_id")
 
 
 SECRET = r"(password|secret|token|api_key)[ ]*[:=][ ]*[\"']?([A-Za-z0-9_./+-]{8,})"

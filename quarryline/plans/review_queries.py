@@ -182,7 +182,7 @@ def critic_filter(t):
     """Three explorers that say the same, and a critic that refuses each third line."""
     rows = rows_of(t).select("path", "line_no")
     votes = rows.distinct().select("path", "line_no", F.when(F.col("line_no") % 3 == 0, '{"verdict": "false"}').when(F.col("line_no") % 3 == 1, '{"verdict": "true"}').otherwise("no idea").alias("answer"))
-    return review.critic_keeps(rows.unionByName(rows).unionByName(rows), votes, ["path", "line_no"])
+    return review.critic_keeps(rows.unionByName(rows).unionByName(rows), votes, ["path", "line_no"], ["path"])
 
 
 @query("""WITH f AS (SELECT l_orderkey % 5 AS node, l_partkey AS origin, min(l_linenumber) AS depth, bool_or(l_quantity > 49) AS sensitive FROM lineitem WHERE l_partkey < 40 GROUP BY 1, 2)
@@ -193,8 +193,8 @@ def best_process(t):
     return review.best_process(found, flows)
 
 
-_TREE = [("src/app/dao/user.py", "python"), ("lib/x/__init__.py", "python"), ("tool.py", "python"), ("src/main/java/com/app/dao/UserDao.java", "java"), ("Main.java", "java"), ("pkg/dao/user.go", "go"), ("main.go", "go"), ("src/web/view.ts", "typescript")]
-_PACKAGES = ["app.dao.user", "x", "tool", "com.app.dao", "Main", "pkg/dao", "", "web.view"]
+_TREE = [("src/app/dao/user.py", "python"), ("lib/x/__init__.py", "python"), ("tool.py", "python"), ("src/main/java/org/shop/cart/Basket.java", "java"), ("Main.java", "java"), ("pkg/dao/user.go", "go"), ("main.go", "go"), ("src/web/view.ts", "typescript")]
+_PACKAGES = ["app.dao.user", "x", "tool", "org.shop.cart", "Main", "pkg/dao", "", "web.view"]
 
 
 @query(f"SELECT path, package, count(*) AS n FROM part JOIN {values([(i, p, x) for i, ((p, _), x) in enumerate(zip(_TREE, _PACKAGES, strict=True))])} e(i, path, package) ON p_partkey % {len(_TREE)} = i GROUP BY 1, 2")

@@ -12,6 +12,5 @@ def test_matches_sql(spark, name):
     assert got == want
 
 
-def test_every_query_runs(spark):
-    for name in set(catalog.QUERIES) - set(catalog.ORACLES):
-        assert catalog.QUERIES[name](spark, SMALL).count() >= 0
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
