@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.operators import scan
 from quarryline.operators.findings import json_of, nearest_match, verdict_of
 from quarryline.operators.risk import lookup
 
@@ -236,13 +237,9 @@ def remembered(wanted: DataFrame, cache: DataFrame, key: str, made: str, now: Co
 def paced(requests: DataFrame, limiter: str, at: str, per_second: float) -> DataFrame:
     """Requests with ``start``, in seconds: a bucket of one token that refills at a rate lets each go no sooner than it comes and ``1 / per_second`` after the one before.
 
-    With a(j) the arrivals in order, the i-th starts at the largest of
-    a(j) + (i - j) / rate over j <= i, so a running maximum gives all starts.
+    One limiter's requests are scanned in ranges, so that they need no one task.
     """
-    order = Window.partitionBy(limiter).orderBy(at)
-    numbered = requests.withColumn("_i", F.row_number().over(order))
-    lag = F.max(F.col(at) - F.col("_i") / per_second).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.withColumn("start", F.round(lag + F.col("_i") / per_second, 6)).drop("_i")
+    return scan.paced(requests, [limiter], [at], at, per_second)
 
 
 def best_process(found: DataFrame, flows: DataFrame) -> DataFrame:

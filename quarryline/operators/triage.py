@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.operators.intervals import smallest_enclosing
 from quarryline.operators.risk import lookup
 from quarryline.session import materialize
 
@@ -99,9 +100,11 @@ def security_context(name: Column) -> Column:
 
 def in_context(hits: DataFrame, blocks: DataFrame) -> DataFrame:
     """Hits of weak hashes and random numbers only where the innermost function around them may be about security; all other hits."""
-    spans = blocks.where("kind = 'function'").select("path", "name", "start_line", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
-    inner = spans.groupBy("path", "line_no").agg(F.max_by("name", "start_line").alias("function"))
-    found = hits.join(inner, ["path", "line_no"], "left")
+    spans = blocks.where("kind = 'function'").select("path", "name", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
+    asked = hits.where(F.col("rule_id").isin(CONTEXT_RULES)).select("path", "line_no").distinct()
+    asked = materialize(asked.withColumn("_place", F.struct("path", "line_no")), "asked")
+    inner = smallest_enclosing(asked, spans, ["path"], "line_no", "_place", carry=("name",))
+    found = hits.join(inner.select("_place.path", "_place.line_no", F.col("name").alias("function")), ["path", "line_no"], "left")
     return found.where(~F.col("rule_id").isin(CONTEXT_RULES) | security_context(F.col("function"))).select(hits.columns)
 
 
