@@ -13,7 +13,7 @@ import ast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.operators import python_rules
+from quarryline.operators import fixpoint, python_rules, types
 from quarryline.operators.braces import brace_spans, without_comments
 from quarryline.operators.code import NO_BRACES, per_file
 from quarryline.operators.findings import resolve_calls
@@ -112,11 +112,39 @@ def calls(found: DataFrame) -> DataFrame:
     return each.select("node", "path", F.nullif("class", F.lit("")).alias("class"), "line_no", "line", "c.receiver", "c.callee").where(~F.col("callee").isin(NOT_CALLED)).distinct()
 
 
-def call_edges(found: DataFrame, sites: DataFrame | None = None) -> DataFrame:
-    """``caller, callee, line_no, line, confidence`` between functions; a call of oneself is left out."""
+def receiver_types(found: DataFrame, sites: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """``scope, name, type``: the classes (``path::owner``) of names in functions and of fields; a class's own name is a name of its type.
+
+    ``fields(path, class, name, type)`` are declared fields besides those that functions set.
+    """
+    classes = found.where("owner <> ''").select("path", F.element_at(F.split("owner", "[.]"), -1).alias("simple"), _class().alias("class"))
+    declared, assigned = types.declarations(found)
+    if fields is not None:
+        declared = declared.unionByName(fields.select("path", F.concat("path", F.lit("::"), "class").alias("scope"), "name", "type"))
+    static = sites.where(F.col("receiver").rlike("^[A-Z]")).select("path", F.col("node").alias("scope"), F.col("receiver").alias("name"), F.col("receiver").alias("type")).distinct()
+    return types.name_types(types.class_ids(declared.unionByName(static), classes).select("scope", "name", "type"), assigned)
+
+
+def _class():
+    return F.when(F.col("owner") != "", F.concat("path", F.lit("::"), "owner"))
+
+
+def call_edges(found: DataFrame, sites: DataFrame | None = None, parents: DataFrame | None = None, fields: DataFrame | None = None, imports: DataFrame | None = None) -> DataFrame:
+    """``caller, callee, line_no, line, confidence`` between functions; a call of oneself is left out.
+
+    Calls on a receiver go by its type (``types.resolve_methods``), others by
+    name. ``parents(class, parent)`` and ``imports(path, type)`` name classes as
+    ``path::owner``; ``fields`` as in ``receiver_types``.
+    """
     sites = calls(found) if sites is None else sites
-    symbols = found.select("path", F.nullif("owner", F.lit("")).alias("class"), "name", F.col("node").alias("qualified"))
-    edges = resolve_calls(sites.select("path", "class", "callee", "node", "line_no", "line"), symbols)
+    sites = materialize(sites.withColumn("class", F.when(F.col("class").isNotNull(), F.concat("path", F.lit("::"), "class"))), "sites")
+    symbols = materialize(found.select("path", _class().alias("class"), "name", F.col("node").alias("qualified"), F.col("owner") == "").toDF("path", "class", "name", "qualified", "free"), "symbols")
+    free = resolve_calls(sites.where("receiver is null or receiver = ''").select("path", "class", "callee", "node", "line_no", "line"), symbols.drop("free"))
+    methods = symbols.where("not free").select("class", "name", "qualified")
+    if parents is None:
+        parents = found.sparkSession.createDataFrame([], "class string, parent string")
+    held = types.resolve_methods(sites.select("node", "path", "class", "receiver", "callee", "line_no", "line"), methods, parents, receiver_types(found, sites, fields), imports)
+    edges = free.select("node", "target", "line_no", "line", "confidence").unionByName(held.select("node", "target", "line_no", "line", "confidence"))
     return edges.select(F.col("node").alias("caller"), F.col("target").alias("callee"), "line_no", "line", "confidence").where("caller <> callee")
 
 
@@ -134,20 +162,53 @@ def within_hops(edges: DataFrame, starts: DataFrame, hops: int, forward: bool =
     return found
 
 
-def propagated(summary: DataFrame, edges: DataFrame, passes: int = 6) -> DataFrame:
-    """The summaries with ``null_result`` (own, or passed on from a callee in at most ``passes`` rounds) and ``throw_result`` (own, or a direct callee's that nothing here catches)."""
-    sure = edges.where("confidence >= 0.5")
-    passed_on = sure.where(F.col("line").rlike(r"^\s*return\b")).select(F.col("callee").alias("node"), F.col("caller").alias("next")).distinct()
-    null = front = summary.where("may_null").select("node")
-    for _ in range(passes):
-        front = materialize(front.join(passed_on, "node").select(F.col("next").alias("node")).distinct().join(null, "node", "left_anti"), "null")
-        if front.isEmpty():
-            break
-        null = null.unionByName(front)
+#: Types that a function throws and that its handlers name; a handler of these takes all.
+THROWN, CAUGHT, ALL_CAUGHT = r"\b(?:raise|throw(?:\s+new)?)\s+([A-Za-z_][\w.]*)", r"(?:\bexcept\s+\(?|\bcatch\s*\(\s*(?:final\s+)?)([\w., |]+)", ["Exception", "BaseException", "Throwable"]
+
+
+def facts(summary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``seeds`` and ``stops`` (``node, fact, value``) of the functions: exceptions by type, null results, untrusted input, held resources."""
+    last = lambda x: F.element_at(F.split(F.trim(x), "[.]"), -1)
+    thrown = F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(THROWN), F.lit(1)), last))
+    named = F.when(F.size(thrown) > 0, thrown).when(F.col("throws"), F.array(F.lit("?"))).otherwise(F.array().cast("array<string>"))
+    caught = F.flatten(F.transform(F.regexp_extract_all("body", F.lit(CAUGHT), F.lit(1)), lambda x: F.split(x, r"\s*[,|]\s*|\s+as\s+|\s+")))
+    caught = F.array_distinct(F.filter(F.transform(caught, last), lambda x: x != ""))
+    one = lambda flag, name: F.when(flag, F.struct(F.lit(name).alias("fact"), F.lit("yes").alias("value")))
+    whole = lambda flag, name: F.when(flag, F.struct(F.lit(name).alias("fact"), F.lit(None).cast("string").alias("value")))
+    typed = lambda values: F.transform(values, lambda v: F.struct(F.lit("throws").alias("fact"), v.alias("value")))
+    held = F.col("acquires") & ~F.col("releases") & ~F.col("ensured")
+    own = F.concat(typed(named), F.array_compact(F.array(one(F.col("may_null"), "null"), one(F.col("source") & ~F.col("sanitizes"), "taint"), one(held, "held"))))
+    every = F.col("swallows") | F.arrays_overlap(caught, F.array(*map(F.lit, ALL_CAUGHT)))
+    kept = F.concat(typed(caught), F.array_compact(F.array(whole(every, "throws"), whole(F.col("sanitizes"), "taint"), whole(F.col("releases") | F.col("ensured"), "held"))))
+    flat = lambda array: summary.select("node", F.explode(array).alias("f")).select("node", "f.fact", "f.value")
+    return flat(own), flat(kept)
+
+
+def propagated(summary: DataFrame, edges: DataFrame, passes: int | None = None) -> DataFrame:
+    """The summaries with what comes over calls, until nothing is new (or ``passes`` rounds).
+
+    ``null_result``: own, or of a callee whose result is returned.
+    ``throw_result``: own throws, or a direct callee's where nothing here catches;
+    ``escapes``: the types that may leave the function, its own and those of all
+    callees below it less what is caught on the way, in order. ``taint_result``:
+    untrusted input that comes in results, past no sanitizer; ``held_result``: a
+    resource opened here or below that nothing on the way releases.
+    """
+    sure = materialize(edges.where("confidence >= 0.5").select("caller", "callee", "line"), "sure")
+    returned, taken = F.col("line").rlike(r"^\s*return\b"), F.col("line").rlike(r"=[^=]")
+    carried = F.array_compact(F.array(F.lit("throws"), F.lit("held"), F.when(returned, F.lit("null")), F.when(returned | taken, F.lit("taint"))))
+    seeds, stops = facts(summary)
+    moved = materialize(fixpoint.moved(seeds, sure.select("caller", "callee", F.explode(carried).alias("fact")), stops, passes), "moved")
+    has = lambda fact: F.coalesce(F.max((F.col("fact") == fact).cast("int")), F.lit(0)) == 1
+    types_out = F.array_sort(F.collect_set(F.when(F.col("fact") == "throws", F.col("value"))))
+    come = moved.groupBy("node").agg(has("null").alias("null_result"), types_out.alias("escapes"), has("taint").alias("taint_result"), has("held").alias("held_result"))
     thrown = sure.join(summary.where("throws").select(F.col("node").alias("callee")), "callee", "left_semi").select(F.col("caller").alias("node")).distinct().withColumn("callee_throws", F.lit(True))
-    out = summary.join(null.distinct().withColumn("null_result", F.lit(True)), "node", "left").join(thrown, "node", "left")
-    throw = F.col("throws") | (F.coalesce("callee_throws", F.lit(False)) & ~F.col("catches"))
-    return out.withColumn("null_result", F.coalesce("null_result", F.lit(False))).withColumn("throw_result", throw).drop("callee_throws")
+    no = F.lit(False)
+    out = summary.join(come, "node", "left").join(thrown, "node", "left")
+    throw = F.col("throws") | (F.coalesce("callee_throws", no) & ~F.col("catches"))
+    for flag in ("null_result", "taint_result", "held_result"):
+        out = out.withColumn(flag, F.coalesce(flag, no))
+    return out.withColumn("escapes", F.coalesce("escapes", F.array().cast("array<string>"))).withColumn("throw_result", throw).drop("callee_throws")
 
 
 def _flagged(summary: DataFrame, node: str, *flags: str, where: str | None = None) -> DataFrame:

@@ -135,21 +135,33 @@ _COPIED = r"(?m)(?<![\w.])((?:self\.|this\.)?[a-z_]\w*)\s*:?=\s*((?:self\.|this\
 
 
 def declarations(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``declared(scope, name, type)`` and ``assigned(scope, name, from_scope, from_name)`` read off the texts of ``found(node, owner, body)``.
+    """``declared(path, scope, name, type)`` and ``assigned(scope, name, from_scope, from_name)`` read off the texts of ``found(node, path, owner, body)``.
 
     Parameters and variables with a type beside them, variables that a
     constructor makes, and plain copies. ``self.x`` and ``this.x`` are names of
-    the class (``owner``), all others of the function.
+    the class (``path::owner``), all others of the function.
     """
+    found = found.select("node", "path", F.concat("path", F.lit("::"), "owner").alias("owner"), "body")
     group = lambda pattern, i: F.regexp_extract_all("body", F.lit(pattern), F.lit(i))
-    each = lambda **cols: found.select("node", "owner", F.explode(F.arrays_zip(*[c.alias(n) for n, c in cols.items()])).alias("d")).select("node", "owner", "d.*")
+    each = lambda **cols: found.select("node", "path", "owner", F.explode(F.arrays_zip(*[c.alias(n) for n, c in cols.items()])).alias("d")).select("node", "path", "owner", "d.*")
     typed = each(a=group(_DECLARED, 1), b=group(_DECLARED, 2), c=group(_DECLARED, 3), d=group(_DECLARED, 4))
-    typed = typed.select("node", "owner", F.when(F.col("a") != "", F.col("a")).otherwise(F.col("d")).alias("name"), F.when(F.col("a") != "", F.col("b")).otherwise(F.col("c")).alias("type"))
+    typed = typed.select("node", "path", "owner", F.when(F.col("a") != "", F.col("a")).otherwise(F.col("d")).alias("name"), F.when(F.col("a") != "", F.col("b")).otherwise(F.col("c")).alias("type"))
     made = each(name=group(_MADE, 1), type=group(_MADE, 2))
     of_class = lambda c: F.col(c).rlike(r"^(?:self|this)\.")
     scope = lambda c: F.when(of_class(c), F.col("owner")).otherwise(F.col("node"))
     bare = lambda c: F.regexp_replace(c, r"^(?:self|this)\.", "")
-    declared = typed.unionByName(made).select(scope("name").alias("scope"), bare("name").alias("name"), "type").distinct()
+    declared = typed.unionByName(made).select("path", scope("name").alias("scope"), bare("name").alias("name"), "type").distinct()
     copied = each(name=group(_COPIED, 1), other=group(_COPIED, 2))
     assigned = copied.select(scope("name").alias("scope"), bare("name").alias("name"), scope("other").alias("from_scope"), bare("other").alias("from_name")).distinct()
     return declared, assigned
+
+
+def class_ids(named: DataFrame, classes: DataFrame, most: int = 2) -> DataFrame:
+    """The rows of ``named(path, type, ...)`` with ``type`` as the ``class`` of ``classes(path, simple, class)`` that it names: those of its own file, else the first ``most`` of all; others are left out."""
+    known = classes.select(F.col("path").alias("at"), F.col("simple").alias("type"), "class").distinct()
+    first = known.withColumn("_place", F.row_number().over(Window.partitionBy("type").orderBy("class"))).where(F.col("_place") <= most)
+    wanted = named.select("path", "type").distinct()
+    own = wanted.join(known.withColumnRenamed("at", "path"), ["path", "type"])
+    rest = wanted.join(own, ["path", "type"], "left_anti").join(first, "type").select("path", "type", "class")
+    ids = materialize(own.select("path", "type", "class").unionByName(rest), "class-ids")
+    return spread_join(named, ids, ["path", "type"], named.columns, "inner").drop("type").withColumnRenamed("class", "type")

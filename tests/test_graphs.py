@@ -175,27 +175,43 @@ class OrderService extends Base {
 def test_receivers_of_a_program(spark):
     files = spark.createDataFrame([("a.java", "java", JAVA)], "path string, lang string, content string")
     found = summaries.functions(files)
-    declared, assigned = types.declarations(found)
-    fields = spark.createDataFrame([("Base", "audit", "AuditLog"), ("OrderService", "dao", "OrderDao")], "scope string, name string, type string")
-    known = types.name_types(declared.unionByName(fields), assigned)
-    pairs = {tuple(r) for r in known.collect()}
-    assert {("OrderService", "quick", "FastDao"), ("a.java::OrderService.OrderService", "held", "FastDao")} <= pairs
-    methods = found.where("owner <> ''").select(F.col("owner").alias("class"), "name", F.concat_ws(".", "owner", "name").alias("qualified"))
-    parents = spark.createDataFrame([("FastDao", "OrderDao"), ("OrderService", "Base")], "class string, parent string")
-    imports = spark.createDataFrame([("a.java", "AuditLog")], "path string, type string")
-    got = {(r["receiver"], r["callee"]): set() for r in types.resolve_methods(summaries.calls(found), methods, parents, known, imports).collect()}
-    for r in types.resolve_methods(summaries.calls(found), methods, parents, known, imports).collect():
-        got[r["receiver"], r["callee"]].add((r["target"], r["confidence"]))
-    assert got["held", "find"] == {("OrderDao.find", 0.75)}  # the parameter's type, through an assignment, and its parent's method
-    assert got["held", "save"] == {("FastDao.save", 0.75)}
-    assert got["dao", "find"] == {("OrderDao.find", 0.8)} and got["dao", "save"] == {("OrderDao.save", 0.8)}
-    assert got["quick", "save"] == {("FastDao.save", 0.8)}
-    assert got["audit", "write"] == {("AuditLog.write", 0.85)}  # an inherited field of an imported type
-    assert got["this", "close"] == {("Base.close", 0.85)}
-    assert got["super", "save"] == {("OrderDao.save", 0.85)}
-    assert got["OrderDao", "find"] == {("OrderDao.find", 0.75)}
-    assert got["other", "save"] == {("FastDao.save", 0.5), ("OrderDao.save", 0.5)}
-    assert ("rows", "map") not in got
+    fields = spark.createDataFrame([("a.java", "Base", "audit", "AuditLog"), ("a.java", "OrderService", "dao", "OrderDao")], "path string, class string, name string, type string")
+    sites = summaries.calls(found)
+    pairs = {tuple(r) for r in summaries.receiver_types(found, sites, fields).collect()}
+    assert {("a.java::OrderService", "quick", "a.java::FastDao"), ("a.java::OrderService.OrderService", "held", "a.java::FastDao")} <= pairs
+    parents = spark.createDataFrame([("a.java::FastDao", "a.java::OrderDao"), ("a.java::OrderService", "a.java::Base")], "class string, parent string")
+    imports = spark.createDataFrame([("a.java", "a.java::AuditLog")], "path string, type string")
+    got = defaultdict(set)
+    for r in summaries.call_edges(found, sites, parents, fields, imports).collect():
+        got[r["line"].strip()].add((r["callee"].removeprefix("a.java::"), r["confidence"]))
+    assert got["held.find(1);"] == {("OrderDao.find", 0.75)}  # the parameter's type, through an assignment, and its parent's method
+    assert got["held.save(2);"] == {("FastDao.save", 0.75)}
+    assert got["dao.find(id);"] == {("OrderDao.find", 0.8)} and got["this.dao.save(id);"] == {("OrderDao.save", 0.8)}
+    assert got["quick.save(id);"] == {("FastDao.save", 0.8)}
+    assert got["audit.write(id);"] == {("AuditLog.write", 0.85)}  # an inherited field of an imported type
+    assert got["this.close();"] == {("Base.close", 0.85)}
+    assert got["super.save(id);"] == {("OrderDao.save", 0.85)}
+    assert got["OrderDao.find(id);"] == {("OrderDao.find", 0.75)}
+    assert got["other.save(id);"] == {("FastDao.save", 0.5), ("OrderDao.save", 0.5)}
+    assert not got["rows.map(id);"]
+
+
+CHAIN = "def f0(x):\n    return f1(x)\n\n" + "".join(
+    f"def f{i}(x):\n" + ("    try:\n        return f4(x)\n    except ValueError as e:\n        return e\n\n" if i == 3 else f"    return f{i + 1}(x)\n\n") for i in range(1, 6)
+) + "def f6(x):\n    if x:\n        raise ValueError(x)\n    if x > 1:\n        raise errors.KeyError(x)\n    return None\n\ndef g(x):\n    y = clean(x)\n    return y\n\ndef clean(x):\n    return escape(read(x))\n\ndef read(x):\n    return input(x)\n\ndef raw(x):\n    z = read(x)\n    return z\n\ndef opener(p):\n    return open(p)\n\ndef user(p):\n    h = opener(p)\n    return h\n\ndef closer(p):\n    h = user(p)\n    h.close()\n\ndef main(p):\n    closer(p)\n"
+
+
+def test_what_escapes_six_calls(spark):
+    files = spark.createDataFrame([("c.py", "python", CHAIN)], "path string, lang string, content string")
+    found = summaries.functions(files)
+    out = summaries.propagated(summaries.summaries(found), summaries.call_edges(found))
+    got = {r["name"]: r for r in out.collect()}
+    both = ["KeyError", "ValueError"]
+    assert [got[f"f{i}"]["escapes"] for i in range(7)] == [["KeyError"]] * 4 + [both] * 3  # f3 catches one of them
+    assert all(got[f"f{i}"]["null_result"] for i in range(7)) and not got["g"]["null_result"]
+    assert {n for n, r in got.items() if r["taint_result"]} == {"read", "raw"}
+    assert {n for n, r in got.items() if r["held_result"]} == {"opener", "user"}
+    assert got["f5"]["throw_result"] and not got["f4"]["throw_result"]  # that one is of direct callees
 
 
 def test_a_hot_receiver(spark):
