@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from quarryline.plans.code_queries import values
 from quarryline.plans.score_queries import SQL_PAGES, pages_as_findings
 from quarryline.session import scratch_path
 from quarryline.sinks import reports
-from quarryline.sources import coverage, files, history
+from quarryline.sources import coverage, files, history, tree
 from quarryline.sources import findings as elsewhere
 from quarryline.sources.tables import table
 from quarryline.streaming import watch
@@ -238,3 +240,51 @@ def changed_file_findings(t):
     rows = t("part").select("p_partkey", path.alias("path"))
     changed = rows.sparkSession.createDataFrame([("src/a.py",), ("src/c.py",)], "path string")
     return findings.in_changed_files(rows, changed).groupBy("path").agg(F.count("*").alias("n"))
+
+
+# Documents as files of one tree: by source in a folder, some of which are skipped, and by language and length under a name.
+_FOLDERS = ["src", "src/core", "lib", "node_modules/left", "app/.hidden", ".github/tools", "app/node_modules", "pkg2", "api", "docs"]
+_ENDINGS = {"en": "py", "de": "go", "fr": "java", "es": "png"}
+SQL_TREE = f"""tr AS (SELECT CASE (length(source) + doc_id) % {len(_FOLDERS)} {" ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(_FOLDERS))} END AS folder,
+  'doc' || doc_id || CASE WHEN n_chars % 7 = 0 THEN '_pb2' ELSE '' END || CASE lang {" ".join(f"WHEN '{k}' THEN '.{v}'" for k, v in _ENDINGS.items())} ELSE '.x' END AS name, coalesce(text, '') AS text FROM documents)"""
+
+
+def _written_tree(t) -> tuple:
+    """Writes the documents as files, in the cluster, below a new scratch folder; gives the session and the folder."""
+    docs = t("documents")
+    spark = docs.sparkSession
+    root = scratch_path(spark, "tree")
+    place = (F.length("source") + F.col("doc_id")) % len(_FOLDERS)
+    folder = F.element_at(F.array(*map(F.lit, _FOLDERS)), place.cast("int") + 1)
+    ending = F.coalesce(F.create_map(*[F.lit(x) for k, v in _ENDINGS.items() for x in (k, "." + v)])[F.col("lang")], F.lit(".x"))
+    name = F.concat(folder, F.lit("/doc"), F.col("doc_id").cast("string"), F.when(F.col("n_chars") % 7 == 0, "_pb2").otherwise(""), ending)
+    rows = docs.select(name.alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    local = root.removeprefix("file://").removeprefix("file:")
+
+    def write(batches):
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = os.path.join(local, path)
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(at, "wb") as f:
+                    f.write(text.encode())
+            yield batch.slice(0, 0)
+
+    rows.mapInArrow(write, "path string, text string").write.format("noop").mode("overwrite").save()
+    return spark, root
+
+
+@query(f"WITH {SQL_TREE} SELECT folder || '/' || name AS path, 'python' AS lang, strlen(text) AS bytes, sha256(text) AS digest FROM tr WHERE folder IN ('src', 'src/core', 'lib', '.github/tools', 'pkg2', 'api') AND name LIKE '%.py' AND name NOT LIKE '%_pb2.py' UNION ALL SELECT folder || '/' || name, 'go', strlen(text), sha256(text) FROM tr WHERE folder IN ('src', 'src/core', 'lib', '.github/tools', 'pkg2', 'api') AND name LIKE '%.go'")
+def tree_scan(t):
+    """The documents as a file tree, read again by the source for trees: skipped folders stay closed, two languages are asked for."""
+    spark, root = _written_tree(t)
+    rows = tree.scan(spark, root, only=["python", "go"])
+    return rows.select("path", "lang", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("digest"))
+
+
+@query(f"WITH {SQL_TREE} SELECT folder || '/' || name AS path, strlen(text) AS size FROM tr WHERE folder IN ('src', 'src/core') AND name LIKE '%.java' AND strlen(text) BETWEEN 200 AND 4999")
+def tree_names(t):
+    """Names and sizes of files of one language below a folder, within bounds of size; no file is opened."""
+    spark, root = _written_tree(t)
+    rows = tree.tree(spark, root, content=False)
+    return rows.where(F.col("path").startswith("src/") & (F.col("lang") == "java") & (F.col("size") >= 200) & (F.col("size") < 5000)).select("path", "size")

@@ -226,21 +226,22 @@ def scan(spark: SparkSession, root: str, exclude: list[str] = (), ignore_rules:
 
     Skipped folders, excluded paths, binary and generated files are left out;
     ``only`` names languages to keep, ``changed`` (``path``) the files that
-    have changed. Names are listed first and only kept files are opened: a tree
-    of at most ``ADDRESSES`` kept files is read by its addresses, a larger one as
-    a whole with the same names joined.
+    have changed. Names are listed first and only kept files are opened, by their
+    addresses, ``ADDRESSES`` a reader; like Spark's own file index the addresses
+    pass the driver. For a mounted tree ``tree.scan`` lists in the cluster.
     """
     kept = listing(spark, root, exclude, ignore_rules, only, changed)
-    few = [r.address for r in kept.select("address").limit(ADDRESSES + 1).collect()]
-    reader = spark.read.format("binaryFile")
-    if not few:
+    found = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r.address) for r in kept.select("address").toLocalIterator()]
+    if not found:
         return spark.createDataFrame([], "path string, lang string, content string")
-    if len(few) <= ADDRESSES:
-        files = reader.load([re.sub(r"([\\\[\]{}*?])", r"\\\1", a) for a in few])
-    else:
-        files = reader.option("recursiveFileLookup", True).load(_roots(spark, root))
-    files = files.select(F.col("path").alias("address"), "content").join(kept, "address")
-    return files.where(~is_binary(F.col("content"))).select("path", "lang", decoded(F.col("content"), errors).alias("content")).where(~is_generated(F.col("content")))
+    parts = [spark.read.format("binaryFile").load(found[at : at + ADDRESSES]) for at in range(0, len(found), ADDRESSES)]
+    rows = reduce(DataFrame.unionAll, parts).select(_relative(root).alias("path"), "content")
+    return texts(rows.withColumn("lang", language(F.col("path"))), errors)
+
+
+def texts(rows: DataFrame, errors: str = "ignore") -> DataFrame:
+    """``path, lang, content`` of ``path, lang, content`` as bytes, without binary and generated files."""
+    return rows.where(~is_binary(F.col("content"))).select("path", "lang", decoded(F.col("content"), errors).alias("content")).where(~is_generated(F.col("content")))
 
 
 def file_counts(files: DataFrame) -> DataFrame:
