@@ -12,10 +12,11 @@ from quarryline.plans.code_queries import values
 from quarryline.plans.score_queries import SQL_PAGES, pages_as_findings
 from quarryline.session import scratch_path
 from quarryline.sinks import reports
+from quarryline.sinks.bucket_cache import BucketCache
 from quarryline.sources import coverage, files, history, tree
 from quarryline.sources import findings as elsewhere
 from quarryline.sources.tables import table
-from quarryline.streaming import watch
+from quarryline.streaming import states, watch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,14 +44,14 @@ def put(spark: SparkSession, path: str, content: bytes) -> None:
     out.close()
 
 
-_HISTORY = """c AS (SELECT user_id % 20 AS author, event_id % 300 AS commit, event_type AS path, trunc(value)::BIGINT AS added, user_id % 7 AS deleted FROM events WHERE event_id < 3000),
+_HISTORY = """c AS (SELECT user_id % 20 AS author, event_id % 300 AS commit, event_type AS path, trunc(value)::BIGINT AS added, user_id % 7 AS deleted FROM events),
 o AS (SELECT path, author, commit, sum(added + deleted) AS n FROM c GROUP BY ALL), a AS (SELECT path, author, count(*) AS commits, sum(n) AS n FROM o GROUP BY 1, 2)"""
 
 
 @query(f"""WITH {_HISTORY} SELECT path, sum(n)::BIGINT AS changed, sum(commits)::BIGINT AS commits, count(*) AS authors, arg_min(author || '@x', (-commits, author || '@x')) AS top_author, round(max(commits) / sum(commits), 3) AS top_share FROM a GROUP BY 1""")
 def change_log_rows(t):
     """Events as the rows of a log of changes, ten of a commit; kinds of events are the files."""
-    events = t("events").where("event_id < 3000")
+    events = t("events")
     spark, path = events.sparkSession, scratch_path(events.sparkSession, "log")
     head = F.concat(F.lit("@@"), (F.col("event_id") % 300).cast("string"), F.lit("|"), (F.col("user_id") % 20).cast("string"), F.lit("@x|"), (F.col("event_id") * 60).cast("string"))
     row = F.concat_ws("\t", F.col("value").cast("long").cast("string"), (F.col("user_id") % 7).cast("string"), "event_type")
@@ -102,20 +103,44 @@ def coverage_reports(t):
     return latest.select("path", "covered_lines", "total_lines", F.size("missing").alias("missing"))
 
 
-@query(f"WITH {_REPORTS} SELECT round(100.0 * sum(total - least(missing, total)) / sum(total), 1) AS lines, NULL::DOUBLE AS branches, round(100.0 * sum((missing < total)::INT) / count(*), 1) AS functions FROM d WHERE r = 0")
+@query(f"WITH {_REPORTS} SELECT round(100.0 * sum(total - least(missing, total)) / sum(total), 1) AS lines, NULL::DOUBLE AS branches, round(100.0 * sum((missing < total)::INT) / count(*), 1) AS functions FROM d")
 def xml_coverage(t):
-    """One region's suppliers as the classes of one XML report with a root, as the reader wants it."""
-    rows = t("supplier").join(t("nation").where("n_regionkey = 0"), F.col("s_nationkey") == F.col("n_nationkey"))
+    """Each region's suppliers as the classes of an XML report of its own, with a root as the reader wants it."""
+    rows = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "xml")
     total, missing = (F.col("s_suppkey") % 9 + 1).cast("int"), F.least((F.col("s_suppkey") % 4).cast("int"), (F.col("s_suppkey") % 9 + 1).cast("int"))
-    first = rows.groupBy((F.col("s_suppkey") % 40).alias("f")).agg(F.min_by(F.struct(total.alias("total"), missing.alias("missing")), "s_suppkey").alias("v"))
+    first = rows.groupBy("n_regionkey", (F.col("s_suppkey") % 40).alias("f")).agg(F.min_by(F.struct(total.alias("total"), missing.alias("missing")), "s_suppkey").alias("v"))
     line = lambda i: F.concat(F.lit('<line number="'), i.cast("string"), F.lit('" hits="'), F.when(i <= F.col("v.total") - F.col("v.missing"), "2").otherwise("0"), F.lit('"/>'))
     lines = F.array_join(F.transform(F.sequence(F.lit(1), F.col("v.total")), line), "")
     rate = F.when(F.col("v.missing") < F.col("v.total"), "0.5").otherwise("0")
     text = F.concat(F.lit('<class filename="f'), F.col("f").cast("string"), F.lit('"><methods><method name="m" line-rate="'), rate, F.lit('"/></methods><lines>'), lines, F.lit("</lines></class>"))
     report = F.concat(F.lit("<coverage><packages><package><classes>"), F.array_join(F.collect_list(text), ""), F.lit("</classes></package></packages></coverage>"))
-    first.agg(report.alias("value")).write.text(path)  # at most 40 classes
-    return coverage.totals(coverage.xml_reports(spark, path))
+    first.groupBy("n_regionkey").agg(report.alias("value")).write.partitionBy("n_regionkey").text(path)  # at most 40 classes a report
+    return coverage.totals(coverage.xml_reports(spark, f"{path}/*/*.txt"))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_custkey * 10 AS p, c_custkey % 5 + 1 AS n, c_nationkey FROM customer), k AS (SELECT c_custkey, unnest(range(p - 2, p + 2)) AS line, true AS hit FROM c UNION ALL SELECT c_custkey, unnest(range(p + 1, p + 1 + c_nationkey % 4)), false FROM c),
+h AS (SELECT c_custkey, line, bool_or(hit) AS hit FROM k GROUP BY 1, 2), d AS (SELECT c_custkey, unnest(range(p, p + n)) AS line FROM c WHERE c_custkey % 6 > 0)
+SELECT sum(hit::INT)::BIGINT AS covered, count(*) AS total, round(100.0 * sum(hit::INT) / count(*), 1) AS percent FROM d JOIN h USING (c_custkey, line)""")
+def changed_line_coverage(t):
+    """Of the lines that a change of customers' files touches, how many a report knows as executed."""
+    rows = t("customer")
+    at, path = (F.col("c_custkey") * 10).cast("int"), F.concat(F.lit("src/c"), F.col("c_custkey").cast("string"), F.lit(".py"))
+    missed = F.slice(F.sequence(at + 1, at + 3), F.lit(1), (F.col("c_nationkey") % 4).cast("int"))
+    report = rows.select(path.alias("path"), F.sequence(at - 2, at + 1).alias("executed"), missed.alias("missing"))
+    changed = rows.where("c_custkey % 6 > 0").select(path.alias("path"), F.explode(F.sequence(at, at + (F.col("c_custkey") % 5).cast("int"))).alias("line_no"))
+    return coverage.changed_coverage(report, changed)
+
+
+@query("SELECT event_type || ':' || user_id AS key, max(event_id) AS made, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def bucketed_cache(t):
+    """Events as entries of a cache by kind and user: all of them, then those of the dearest anew, of which only the buckets are written."""
+    rows = t("events").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("made"), "value")
+    spark = rows.sparkSession
+    cache = BucketCache(spark, scratch_path(spark, "bucket-cache"), rows.schema, "key", "made")
+    cache.update(rows)
+    cache.update(rows.orderBy(F.desc("value"), "made").limit(5))
+    return cache.read()
 
 
 @query("""WITH k AS (SELECT DISTINCT o_orderpriority || '::' || o_custkey || '::' || o_orderkey % 50 || '::' || o_orderkey % 50 AS s FROM orders WHERE o_orderkey % 3 > 0)
@@ -288,3 +313,19 @@ def tree_names(t):
     spark, root = _written_tree(t)
     rows = tree.tree(spark, root, content=False)
     return rows.where(F.col("path").startswith("src/") & (F.col("lang") == "java") & (F.col("size") >= 200) & (F.col("size") < 5000)).select("path", "size")
+
+
+@query("""WITH s AS (SELECT event_type || '/' || user_id AS path, (value::BIGINT // 8)::VARCHAR AS digest, ts, event_id FROM events),
+p AS (SELECT *, lag(digest) OVER w AS was, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY path ORDER BY ts, digest))
+SELECT path, CASE n WHEN 1 THEN 'added' ELSE 'changed' END AS state, digest, ts AS at FROM p WHERE n = 1 OR digest <> was""")
+def file_states(t):
+    """Events as sights of files by kind and user, as a stream with state: each file once as added, then whenever its digest changes."""
+    events = t("events")
+    spark = events.sparkSession
+    folder = scratch_path(spark, "sights")
+    digest = F.floor(F.round("value") / 8).cast("string")
+    rows = events.select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("path"), digest.alias("digest"), F.col("ts").cast("timestamp").alias("at"))
+    rows.write.parquet(f"{folder}/in")
+    sights = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    states.run(states.file_states(sights, expire_seconds=10**8), f"{folder}/out", f"{folder}/state")
+    return spark.read.schema(states.OUT).parquet(f"{folder}/out")
