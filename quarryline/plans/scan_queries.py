@@ -1,11 +1,11 @@
-"""Ordered scans over one log, each with its DuckDB SQL. All events are one log, which no key divides."""
+"""Ordered scans over one log, which no key divides, and lines within a budget, each with its DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.operators import scan
+from quarryline.operators import evidence, scan
 from quarryline.sources.tables import table
 
 QUERIES: dict = {}
@@ -51,3 +51,22 @@ def paced_log(t):
     """All events as requests of one limiter, at most one in 200 seconds; how long each waits."""
     rows = _log(t).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0)
     return scan.paced(rows, ["log"], ["ts", "event_id"], "at", 0.005).select("event_id", F.round(F.col("start") - F.col("at"), 2).alias("wait"))
+
+
+@query("""WITH h AS (SELECT o_orderkey AS hit, o_custkey, o_orderdate FROM orders WHERE o_orderpriority = '1-URGENT'),
+l AS (SELECT hit, 0 AS kind, lpad(l_linenumber::VARCHAR, 3, '0') || ':' || l_partkey || ':' || l_suppkey || ':' || l_quantity::BIGINT || ':' || round(l_extendedprice * 100)::BIGINT AS pos, p_name AS line FROM h JOIN lineitem ON l_orderkey = hit JOIN part ON p_partkey = l_partkey
+  UNION SELECT hit, 1, lpad(o.o_orderkey::VARCHAR, 9, '0'), o.o_orderpriority FROM h JOIN orders o ON o.o_custkey = h.o_custkey AND o.o_orderkey <> hit
+  UNION SELECT hit, 2, c_name, c_name FROM h JOIN customer ON c_custkey = h.o_custkey),
+k AS (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY hit, kind ORDER BY pos ROWS UNBOUNDED PRECEDING) AS s FROM l),
+f AS (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY hit ORDER BY kind, pos ROWS UNBOUNDED PRECEDING) AS a FROM k WHERE s <= CASE kind WHEN 0 THEN 48 ELSE 24 END)
+SELECT hit, kind, count(*) AS lines, sum(strlen(line) + 1)::BIGINT AS bytes, min(line) AS first_line FROM f WHERE a <= 80 GROUP BY 1, 2""")
+def packed_lines(t):
+    """Urgent orders as findings: their parts, their customers' other orders and the customer as three kinds of lines in 80 bytes."""
+    hits = t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("hit"), F.col("o_custkey").alias("who"))
+    text = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
+    lines = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("hit"), F.concat_ws(":", text("l_linenumber", 3), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"), F.round(F.col("l_extendedprice") * 100).cast("long")).alias("at"), F.col("p_name").alias("line"))
+    own = hits.join(lines, "hit").select("hit", F.lit(0).alias("kind"), "at", "line")
+    others = hits.join(t("orders").select(F.col("o_custkey").alias("who"), "o_orderkey", "o_orderpriority"), "who").where("o_orderkey <> hit").select("hit", F.lit(1).alias("kind"), text("o_orderkey", 9).alias("at"), F.col("o_orderpriority").alias("line"))
+    names = hits.join(t("customer").select(F.col("c_custkey").alias("who"), "c_name"), "who").select("hit", F.lit(2).alias("kind"), F.col("c_name").alias("at"), F.col("c_name").alias("line"))
+    fits = evidence.packed(own.unionByName(others).unionByName(names).distinct(), "hit", 80, {0: 0.6, 1: 0.3, 2: 0.3})
+    return fits.groupBy("hit", "kind").agg(F.count("*").alias("lines"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.min("line").alias("first_line"))
