@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.operators.cycles import strong_components
 from quarryline.operators.intervals import smallest_enclosing
 from quarryline.session import materialize
 
@@ -82,18 +83,15 @@ def simple_paths(edges: DataFrame, source, depth: int, sink=None, most: int | No
     return named if most is None else named.orderBy(F.desc("confidence"), "hops", "path").limit(most)
 
 
-def _core(step: DataFrame, rounds: int = 3) -> DataFrame:
-    """The edges left after ``rounds`` of taking away those of nodes that nothing enters or leaves; all cycles are among them."""
-    for _ in range(rounds):
-        out = step.select(F.col("caller").alias("callee")).distinct()
-        into = step.select(F.col("callee").alias("caller")).distinct()
-        step = materialize(step.join(out, "callee", "left_semi").join(into, "caller", "left_semi").select("caller", "callee"), "core")
-    return step
-
-
 def in_cycle(edges: DataFrame, depth: int) -> DataFrame:
-    """Nodes that lie on a cycle of at most ``depth`` edges, with the length of the shortest; self-edges do not count."""
-    step = _core(_steps(edges))
+    """Nodes that lie on a cycle of at most ``depth`` edges, with the length of the shortest; self-edges do not count.
+
+    Only nodes of a component of mutual reach are walked from, within it. For
+    membership alone, of any length, ``cycles.strong_components`` needs no pairs.
+    """
+    strong = materialize(strong_components(edges), "strong")
+    step = _steps(edges).join(strong.select(F.col("node").alias("caller"), "component"), "caller").join(strong.select(F.col("node").alias("callee"), F.col("component").alias("other")), "callee")
+    step = materialize(step.where(F.col("component") == F.col("other")).select("caller", "callee"), "inner")
     near = reach(step, depth - 1)
     closing = near.join(step, (near.node == step.caller) & (near.origin == step.callee))
     return closing.groupBy(F.col("origin").alias("node")).agg((F.min("hops") + 1).alias("cycle_length"))

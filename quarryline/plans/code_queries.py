@@ -59,16 +59,29 @@ def lines_in(files: DataFrame) -> DataFrame:
 
 
 _TEXTS = [(f"{i}.{kind}", lang, text) for i, (_, lang, bad, _, good) in enumerate(FIXTURES) for kind, text in (("flagged", bad), ("clean", good))]
-_EXPECTED = values([(2 * i, f"{i}.flagged", rule, line) for i, (rule, _, _, line, _) in enumerate(FIXTURES)])
+# What else the texts have besides the rule that each is about: text, whether it is the clean one, rule, line.
+_BESIDES = [
+    (29, True, "POSSIBLE-NONE-DEREF", 3),
+    (35, True, "POSSIBLE-NONE-DEREF", 3),
+    (57, False, "EXCEPTION-SWALLOWED-NO-LOG", 4),
+    (72, True, "RECURSION-NO-BOUNDARY-GUARD", 4),
+    (120, False, "DIVISION-BY-ZERO-RISK", 3),
+    (197, False, "RESOURCE-LEAK", 2),
+    (201, False, "EMPTY-LOOP-BODY", 2),
+    (203, True, "EXCEPTION-SWALLOWED-NO-LOG", 4),
+    (203, False, "EXCEPTION-SWALLOWED-NO-LOG", 4),
+    (204, True, "BATCH-FAILURE-SWALLOWED", 2),
+    (204, False, "BATCH-FAILURE-SWALLOWED", 2),
+    (220, True, "ASSERT-USED", 3),
+]
+_EXPECTED = values([(2 * i, f"{i}.flagged", rule, line) for i, (rule, _, _, line, _) in enumerate(FIXTURES)] + [(2 * i + clean, f"{i}.{'clean' if clean else 'flagged'}", rule, line) for i, clean, rule, line in _BESIDES])
 
 
 @query(f"SELECT p_partkey || '/' || name AS path, rule_id, line::INT AS line_no FROM part JOIN {_EXPECTED} e(n, name, rule_id, line) ON p_partkey % {len(_TEXTS)} = e.n")
 def code_rule_hits(t):
-    """Hits of the rule that each text is about; the texts marked clean have none."""
+    """Hits of all rules in texts that each have one, and in their clean counterparts."""
     files = files_of(t, _TEXTS, "part", "p_partkey")
-    found = line_rules.line_hits(lines_in(files)).unionByName(code.syntax_hits(files)).select("path", "rule_id", "line_no").distinct()
-    about = F.element_at(F.array(*[F.lit(f[0]) for f in FIXTURES]), F.regexp_extract("path", r"/(\d+)\.", 1).cast("int") + 1)
-    return found.where(F.col("rule_id") == about)
+    return line_rules.line_hits(lines_in(files)).unionByName(code.syntax_hits(files)).select("path", "rule_id", "line_no").distinct()
 
 
 def _program(t):
@@ -91,34 +104,80 @@ def business_flow_rules(t):
     return summaries.process_hits(flows, summaries.process_facts(flows, summary), summary, edges, found)
 
 
+# Function: may be null, has a null result, throws, throws or calls what does, releases, is entered by, types that escape, untrusted result, held result.
 _FLAGS = [
-    ("app.py::find_user", True, True, False, False, False, None),
-    ("app.py::load_user", False, True, False, False, False, None),
-    ("app.py::parse", False, False, True, True, False, None),
-    ("app.py::read_all", False, False, False, True, True, None),
-    ("app.py::hold", False, False, False, True, True, None),
-    ("app.py::check", False, False, False, False, False, "http"),
-    ("app.py::strict", False, False, True, True, False, None),
-    ("app.py::Shop.charge", False, False, False, False, False, None),
-    ("app.py::Shop.create_order", False, False, False, False, False, "http"),
+    ("app.py::find_user", True, True, False, False, False, None, "", False, False),
+    ("app.py::load_user", False, True, False, False, False, None, "", False, False),
+    ("app.py::greet", False, False, False, False, False, None, "", False, False),
+    ("app.py::greet_checked", False, False, False, False, False, None, "", False, False),
+    ("app.py::open_log", False, False, False, False, False, None, "", False, True),
+    ("app.py::use_log", False, False, False, False, False, None, "", False, False),
+    ("app.py::parse", False, False, True, True, False, None, "ValueError", False, False),
+    ("app.py::read_all", False, False, False, True, True, None, "ValueError", False, False),
+    ("app.py::guarded", False, False, False, True, False, None, "ValueError", False, False),
+    ("app.py::search", False, False, False, False, False, None, "", True, False),
+    ("app.py::run_search", False, False, False, False, False, None, "", False, False),
+    ("app.py::query_rows", False, False, False, False, False, None, "", False, False),
+    ("app.py::search_safely", False, False, False, False, False, None, "", False, False),
+    ("app.py::check", False, False, False, False, False, "http", "TypeError", False, False),
+    ("app.py::step_one", False, False, False, True, False, None, "TypeError", False, False),
+    ("app.py::strict", False, False, True, True, False, None, "TypeError", False, False),
+    ("app.py::hold", False, False, False, True, True, None, "ValueError", False, False),
+    ("app.py::Shop.create_order", False, False, False, False, False, "http", "", False, False),
+    ("app.py::Shop.keep", False, False, False, False, False, None, "", False, False),
+    ("app.py::Shop.keep_lines", False, False, False, False, False, None, "", False, False),
+    ("app.py::Shop.notify", False, False, False, False, False, None, "", False, False),
+    ("app.py::Shop.charge", False, False, False, False, False, None, "", False, False),
+    ("app.py::Shop.after", False, False, False, False, False, None, "", False, False),
+    ("app.py::Shop.last", False, False, False, False, False, None, "", False, False),
+    ("app.py::show", False, False, False, False, False, None, "", False, False),
+    ("svc.go::store", False, False, False, False, False, None, "", False, False),
+    ("svc.go::write", False, False, False, False, False, None, "", False, False),
+    ("svc.go::Run", False, False, False, False, False, None, "", False, False),
+    ("svc.go::RunChecked", False, False, False, False, False, None, "", False, False),
 ]
+_FLAG_NAMES = ["may_null", "null_result", "throws", "throw_result", "releases", "entry", "escapes", "taint_result", "held_result"]
+_FLAG_SQL = ", ".join(n if n in ("entry", "escapes") else f"{n}::BOOLEAN AS {n}" for n in _FLAG_NAMES)
 
 
-@query(f"SELECT n_nationkey || '/' || node AS node, may_null::BOOLEAN AS may_null, null_result::BOOLEAN AS null_result, throws::BOOLEAN AS throws, throw_result::BOOLEAN AS throw_result, releases::BOOLEAN AS releases, entry FROM nation, {values([tuple(int(x) if isinstance(x, bool) else x for x in r) for r in _FLAGS])} e(node, may_null, null_result, throws, throw_result, releases, entry)")
+@query(f"SELECT n_nationkey || '/' || node AS node, {_FLAG_SQL} FROM nation, {values([tuple(int(x) if isinstance(x, bool) else x for x in r) for r in _FLAGS])} e(node, {', '.join(_FLAG_NAMES)})")
 def function_summaries(t):
-    """Own and propagated flags of some of the functions."""
+    """Own and propagated facts of all functions of a small program, one a nation."""
     _, _, summary = _program(t)
-    return summary.where(F.substring_index("node", "/", -1).isin([r[0] for r in _FLAGS])).select("node", "may_null", "null_result", "throws", "throw_result", "releases", "entry")
-
-
-_CALLS = [("app.py::greet", "app.py::load_user", 10, 0.95), ("app.py::Shop.notify", "app.py::Shop.charge", 89, 0.95), ("app.py::Shop.charge", "app.py::show", 94, 0.95), ("app.py::Shop.charge", "app.py::Shop.after", 96, 0.95), ("svc.go::Run", "svc.go::store", 12, 0.95)]
+    return summary.withColumn("escapes", F.array_join("escapes", ",")).select("node", *_FLAG_NAMES)
+
+
+_CALLS = [
+    ("app.py::Shop.after", "app.py::Shop.last", 99, 0.95),
+    ("app.py::Shop.charge", "app.py::show", 94, 0.95),
+    ("app.py::Shop.charge", "app.py::Shop.after", 96, 0.95),
+    ("app.py::Shop.create_order", "app.py::Shop.keep", 73, 0.95),
+    ("app.py::Shop.create_order", "app.py::Shop.keep_lines", 74, 0.95),
+    ("app.py::Shop.create_order", "app.py::Shop.notify", 75, 0.95),
+    ("app.py::Shop.notify", "app.py::Shop.charge", 89, 0.95),
+    ("app.py::check", "app.py::step_one", 57, 0.95),
+    ("app.py::greet", "app.py::load_user", 10, 0.95),
+    ("app.py::greet_checked", "app.py::load_user", 14, 0.95),
+    ("app.py::guarded", "app.py::parse", 39, 0.95),
+    ("app.py::hold", "app.py::parse", 67, 0.95),
+    ("app.py::load_user", "app.py::find_user", 7, 0.95),
+    ("app.py::open_log", "app.py::use_log", 21, 0.95),
+    ("app.py::read_all", "app.py::parse", 33, 0.95),
+    ("app.py::run_search", "app.py::query_rows", 46, 0.95),
+    ("app.py::search", "app.py::run_search", 43, 0.95),
+    ("app.py::search_safely", "app.py::run_search", 53, 0.95),
+    ("app.py::step_one", "app.py::strict", 60, 0.95),
+    ("svc.go::Run", "svc.go::store", 12, 0.95),
+    ("svc.go::RunChecked", "svc.go::store", 16, 0.95),
+    ("svc.go::store", "svc.go::write", 4, 0.95),
+]
 
 
 @query(f"SELECT n_nationkey || '/' || caller AS caller, n_nationkey || '/' || callee AS callee, line::INT AS line_no, confidence::DOUBLE AS confidence FROM nation, {values(_CALLS)} e(caller, callee, line, confidence)")
 def call_edges(t):
-    """Calls that some of the functions make, with their targets."""
+    """All calls between the functions of a small program, one a nation."""
     _, edges, _ = _program(t)
-    return edges.where(F.substring_index("caller", "/", -1).isin([r[0] for r in _CALLS])).select("caller", "callee", "line_no", "confidence")
+    return edges.select("caller", "callee", "line_no", "confidence")
 
 
 @query("SELECT n_nationkey || '/app.py::Shop.create_order' AS origin, 'http' AS entry, 8::BIGINT AS functions, 4 AS max_depth, 2::BIGINT AS writes, 3::BIGINT AS remote_calls, 1::BIGINT AS raced FROM nation UNION ALL SELECT n_nationkey || '/app.py::check', 'http', 3, 2, 0, 0, 0 FROM nation")
