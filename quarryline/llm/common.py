@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS = 256
@@ -26,6 +28,20 @@ def map_rows(docs: DataFrame, run) -> DataFrame:
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
+def share(spark: SparkSession, value):
+    """A function that gives ``value`` in a task, from a broadcast.
+
+    Broadcasts pickle classes by name, and executors may not have this package;
+    so the value travels as bytes that carry its classes.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        return pickle.loads(held.value)  # noqa: S301  our own bytes
+
+    return get
+
+
 def tidy() -> None:
     """Give back to the system what earlier tasks of a reused worker have freed."""
     import ctypes

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import crc32_mod, slices
+from quarryline.llm.common import crc32_mod, share, slices
 from quarryline.llm.sampling import bounded_sample, collected
 
 DIMS = 1 << 16
@@ -161,7 +161,7 @@ def train(docs: DataFrame, per_lang: int = 1000, seed: int = 0, most_langs: int
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         for part in slices(batches):
             out = [model.predict(t) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     equal probability the first by name is given. Null doc_ids and
     repeated rows are returned as they are. Empty table: no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x DIMS single-precision numbers
+    shared = share(docs.sparkSession, model)  # languages x DIMS single-precision numbers
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
 
 

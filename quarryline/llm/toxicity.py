@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import crc32_mod, map_rows, slices
+from quarryline.llm.common import crc32_mod, map_rows, share, slices
 from quarryline.llm.sampling import bounded_sample, collected
 from quarryline.llm.winnow import words_of
 
@@ -362,7 +362,7 @@ def _score(shared, with_spans: bool):
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(shared.value)
+        tagger = Tagger(shared())
         for part in slices(batches):
             texts = part.column(1).to_pylist()
             ps = tagger.marginals([tokens_of(t) for t in texts])
@@ -382,14 +382,14 @@ def score(docs: DataFrame, chain: Chain, with_spans: bool = True) -> DataFrame:
     Null or empty text has no tokens and gets the score of such a text. Null
     doc_ids and repeated rows are returned as they are. Empty table: no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(chain)  # weights of features of the bounded sample
+    shared = share(docs.sparkSession, chain)  # weights of features of the bounded sample
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(_score(shared, with_spans), OUT if with_spans else "doc_id long, score double")
 
 
 def _keep(shared, text_at: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(shared.value)
+        tagger = Tagger(shared())
         for part in slices(batches):
             ps = tagger.marginals([tokens_of(t) for t in part.column(text_at).to_pylist()])
             score = 1 / (1 + np.exp(-np.clip(np.array([document_features(p) for p in ps]) @ tagger.chain.document, -30, 30)))
@@ -403,5 +403,5 @@ def reject(docs: DataFrame, chain: Chain, threshold: float = REJECT) -> DataFram
 
     Null ids, null texts and repeated rows are judged by their text alone.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    shared = share(docs.sparkSession, chain)
     return map_rows(docs, _keep(shared, docs.columns.index("text"), threshold))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import WordHashes, grams, map_rows, slices
+from quarryline.llm.common import WordHashes, grams, map_rows, share, slices
 from quarryline.session import materialize
 
 BROADCAST_WORDS = 2_000_000
@@ -143,7 +143,7 @@ def _match(texts: list[str | None], block: Block, hashes: WordHashes) -> tuple[l
 
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, block = WordHashes(), shared.value  # read before the rows, also by a task without any
+        hashes, block = WordHashes(), shared()
         for part in slices(batches):
             hit, found = _match(part.column(1).to_pylist(), block, hashes)
             n = [int(h.sum()) for h in hit]
@@ -155,7 +155,7 @@ def _scan(shared):
 
 def _clean(shared, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, block = WordHashes(), shared.value
+        hashes, block = WordHashes(), shared()
         for part in slices(batches):
             hit, _ = _match(part.column(text_at).to_pylist(), block, hashes)
             yield part.filter(pa.array([not h.any() for h in hit], pa.bool_()))
@@ -170,7 +170,7 @@ def _small_benchmark(benchmark: DataFrame, window: int, k: int):
     if (size.words or 0) > BROADCAST_WORDS or (size.bytes or 0) > BROADCAST_BYTES:
         return None
     items = [(r.item_id, words_of(r.text)) for r in benchmark.collect()]
-    return benchmark.sparkSession.sparkContext.broadcast(Block([x for x in items if x[1]], window, k))
+    return share(benchmark.sparkSession, Block([x for x in items if x[1]], window, k))
 
 
 def _prints(window: int, k: int, short: list[int] | None, mask):
@@ -287,7 +287,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
         return docs.mapInArrow(_scan(block), kinds)
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("at"), "doc_id", "text"), "rows")
     found = _joined_hits(rows, items, window, k)
-    none = docs.sparkSession.sparkContext.broadcast(Block([], window, k))
+    none = share(docs.sparkSession, Block([], window, k))
     counted = rows.select("at", "text").mapInArrow(_scan(none), kinds).select(F.col("doc_id").alias("at"), "n_words")
     n, ids = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<long>"))
     return rows.select("at", "doc_id").join(counted, "at").join(found, "at", "left").select("doc_id", "n_words", n.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("items"), (n > 0).alias("contaminated"))
