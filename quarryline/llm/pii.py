@@ -14,7 +14,10 @@ documents and different values different ones:
 Addresses of electronic mail have no fixed format; their local part and host
 become a keyed hash under the reserved domain ``example.invalid``.
 
-Digits, separators and lengths stay; text around a match is untouched. A number
+Digits, separators and lengths stay, but for addresses of four parts: these are
+permuted as numbers and written without leading zeros, so that their parts may
+grow or shrink and `010.1.2.3` shares `10.1.2.3`'s pseudonym. The key stands in the
+plan and so in Spark's UI and event log. Text around a match is untouched. A number
 that fails its validation is no private datum and stays.
 
 The network is unbalanced as in published format-preserving schemes: the halves
