@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from quarryline.operators import body_rules, python_rules
 from quarryline.operators.braces import brace_blocks
+from quarryline.operators.findings import resolve_imports
+from quarryline.sources.files import package_of
 
 BLOCKS = "path string, kind string, name string, owner string, start_line int, end_line int, params int, is_async boolean, complexity int, nesting int, cognitive int, bases array<string>"
 NO_BRACES = ("ruby", "lua", "r", "config", "docker")
@@ -73,6 +75,25 @@ def module_edges(lines: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(known, "path").join(inside, "target", "left_semi").where("module <> target").select(F.col("module").alias("source"), "target").distinct()
 
 
+def imported(lines: DataFrame) -> DataFrame:
+    """``path, lang, module`` of the distinct imports in ``path, lang, line`` of Python, Java and Go.
+
+    Go: an import by itself, or a quoted path alone on its line, as in a block of imports.
+    """
+    take = lambda pattern: F.nullif(F.regexp_extract("line", pattern, 1), F.lit(""))
+    python = F.coalesce(take(r"^\s*from\s+([\w.]+)\s+import\b"), take(r"^\s*import\s+([\w.]+)"))
+    java = take(r"^\s*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;")
+    go = F.coalesce(take(r'^\s*import\s+(?:[\w.]+\s+)?"([^"]+)"'), take(r'^\s*(?:[\w.]+\s+)?"([\w./-]+)"\s*$'))
+    module = F.when(F.col("lang") == "python", python).when(F.col("lang") == "java", java).when(F.col("lang") == "go", go)
+    return lines.select("path", "lang", module.alias("module")).where("module is not null").distinct()
+
+
+def file_edges(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """``source, target``: the distinct imports of Python, Java and Go between files (``known``: ``path, lang``); others are external."""
+    packages = known.select("path", package_of(F.col("path"), F.col("lang")).alias("package"))
+    return resolve_imports(imported(lines), packages).select(F.col("path").alias("source"), "target").distinct()
+
+
 def maintainability(loc: Column, complexity: Column) -> Column:
     """171 - 5.2 ln(8 loc) - 0.23 complexity - 16.2 ln(loc) within 0..100, for at least one line."""
     lines = F.greatest(loc, F.lit(1))

@@ -51,6 +51,49 @@ def is_test_path(path: Column) -> Column:
     return p.rlike(r"(^|/)(tests|__tests__)/") | p.isin("test", "tests") | p.rlike(r"(^|/)(test_[^/]*|[^/]*_test\.py|[^/]*\.(spec|test)\.[^/]*)$")
 
 
+def is_test_name(path: Column) -> Column:
+    """The predicate of test findings: below ``tests``, or a name that begins with ``test_``, ends with ``_test.py`` or has ``.spec.`` or ``.test.`` in it; null is not."""
+    p = F.lower(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")))
+    folders, name = F.split(p, "/"), F.element_at(F.split(p, "/"), -1)
+    below = F.array_contains(F.slice(folders, F.lit(1), F.size(folders) - 1), "tests")
+    return below | name.startswith("test_") | name.endswith("_test.py") | F.contains(name, F.lit(".spec.")) | F.contains(name, F.lit(".test."))
+
+
+# Weaknesses of the public list, and classes of the public top ten of 2021, that rules stand for.
+WEAKNESSES = {
+    "SQL-INJECTION-RISK": ["CWE-89"], "COMMAND-INJECTION-RISK": ["CWE-78"], "PATH-TRAVERSAL-RISK": ["CWE-22"], "SSRF-RISK": ["CWE-918"], "EVAL-USAGE": ["CWE-95"], "UNSAFE-DESERIALIZATION": ["CWE-502"],
+    "HARDCODED-PASSWORD": ["CWE-798"], "CONFIG-HARDCODED-SECRET": ["CWE-798"], "WEAK-HASH": ["CWE-327"], "WEAK-CIPHER": ["CWE-327"], "INSECURE-RANDOM": ["CWE-330"], "INSECURE-TLS-VERIFICATION": ["CWE-295"],
+    "SENSITIVE-LOG-OUTPUT": ["CWE-532"], "DEBUG-MODE-ENABLED": ["CWE-489"], "CORS-WILDCARD": ["CWE-942"], "DOCKERFILE-ROOT-USER": ["CWE-250"], "ENV-FILE-TRACKED": ["CWE-538"], "REDOS-RISK": ["CWE-1333"],
+    "RESOURCE-LEAK": ["CWE-772", "CWE-404"], "POSSIBLE-NONE-DEREF": ["CWE-476"], "DIVISION-BY-ZERO-RISK": ["CWE-369"], "INFINITE-LOOP-RISK": ["CWE-835"], "DEAD-CODE": ["CWE-561"], "TAINT-CROSS-FUNCTION": ["CWE-20"],
+}
+TOP_TEN = {
+    "SQL-INJECTION-RISK": ["A03:2021"], "COMMAND-INJECTION-RISK": ["A03:2021"], "EVAL-USAGE": ["A03:2021"], "PATH-TRAVERSAL-RISK": ["A01:2021"], "SSRF-RISK": ["A10:2021"], "UNSAFE-DESERIALIZATION": ["A08:2021"],
+    "HARDCODED-PASSWORD": ["A07:2021"], "CONFIG-HARDCODED-SECRET": ["A07:2021"], "WEAK-HASH": ["A02:2021"], "WEAK-CIPHER": ["A02:2021"], "INSECURE-RANDOM": ["A02:2021"], "INSECURE-TLS-VERIFICATION": ["A07:2021"], "TAINT-CROSS-FUNCTION": ["A03:2021"],
+}
+
+
+def cause(rule: Column, title: Column, detail: Column, described: Column | None = None, weaknesses: Column | None = None, classes: Column | None = None, link: Column | None = None) -> Column:
+    """A finding's cause in lines: what the rule is about, if that is ``described``; id, title and detail; weaknesses and classes with their addresses; a link.
+
+    Weaknesses (``CWE-n``) and classes are arrays; without them the rule's own
+    count. Parts that are null or empty are left out.
+    """
+    none = F.array().cast("array<string>")
+    of_rule = lambda table: F.coalesce(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[rule], none)
+    cwe = F.coalesce(weaknesses, of_rule(WEAKNESSES)) if weaknesses is not None else of_rule(WEAKNESSES)
+    top = F.coalesce(classes, of_rule(TOP_TEN)) if classes is not None else of_rule(TOP_TEN)
+    named = F.concat(F.lit("["), rule, F.lit("] "), F.coalesce(title, F.lit("")))
+    head = F.when(F.length(F.coalesce(detail, F.lit(""))) > 0, F.concat(named, F.lit(" — "), detail)).otherwise(named)
+    places = F.concat(
+        F.transform(cwe, lambda c: F.concat(c, F.lit(" (https://cwe.mitre.org/data/definitions/"), F.replace(c, F.lit("CWE-"), F.lit("")), F.lit(".html)"))),
+        F.transform(top, lambda c: F.concat(F.lit("OWASP "), c, F.lit(" (https://owasp.org/Top10/)"))),
+    )
+    refs = F.when(F.size(places) > 0, F.concat(F.lit("See: "), F.array_join(places, "; ")))
+    more = F.when(F.length(link) > 0, F.concat(F.lit("More: "), link)) if link is not None else F.lit(None).cast("string")
+    text = F.when(F.length(described) > 0, described) if described is not None else F.lit(None).cast("string")
+    return F.array_join(F.array_compact(F.array(text, head, refs, more)), "\n")
+
+
 def tokens(text: Column) -> Column:
     """Estimate of a text's tokens with its instructions."""
     return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4) + 500
@@ -248,12 +291,25 @@ def module_rollup(files: DataFrame, functions: DataFrame, findings: DataFrame, m
     return out.select("module", "files", "loc", "sloc", "functions", "mean_complexity", "coverage", "churn", "duplication", "language", "findings", "score", risk_level(F.col("score")).alias("risk"))
 
 
-def detected(files: DataFrame, hints: DataFrame) -> DataFrame:
-    """``kind, name, score``: what the files speak for, by ``hints`` (``kind, name, file, pattern, weight``).
+# Files and words that speak for a build tool, a framework or a test tool: kind, name, file, expression, weight.
+HINTS = [
+    ("build", "npm", "package.json", None, 5), ("build", "maven", "pom.xml", None, 5), ("build", "gradle", "build.gradle", None, 5), ("build", "gradle", "build.gradle.kts", None, 5), ("build", "cargo", "Cargo.toml", None, 5),
+    ("build", "go", "go.mod", None, 5), ("build", "make", "Makefile", None, 3), ("build", "cmake", "CMakeLists.txt", None, 5), ("build", "pip", "requirements.txt", None, 4), ("build", "pyproject", "pyproject.toml", None, 5),
+    ("framework", "django", "manage.py", None, 4), ("framework", "django", None, r"\bdjango\b", 2), ("framework", "flask", None, r"\bflask\b", 2), ("framework", "fastapi", None, r"\bfastapi\b", 2),
+    ("framework", "spring", None, r"org\.springframework", 3), ("framework", "react", "package.json", '"react"', 3), ("framework", "vue", "package.json", '"vue"', 3), ("framework", "express", "package.json", '"express"', 3),
+    ("framework", "gin", "go.mod", "gin-gonic/gin", 3), ("framework", "nodejs", "package.json", None, 1), ("framework", "dotnet", None, r"<Project Sdk=", 3),
+    ("test", "pytest", None, r"import pytest", 4), ("test", "unittest", None, r"import unittest", 3), ("test", "junit", None, r"org\.junit", 4), ("test", "jest", "package.json", '"jest"', 4), ("test", "go test", None, r"testing\.T\b", 4),
+]
+
+
+def detected(files: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """``kind, name, score``: what the files speak for, by ``hints`` (``kind, name, file, pattern, weight``), or those of the table above.
 
     A hint names a file, or gives an expression that a text has to have, or both;
     each hint counts once, however many files meet it. Hints are a short table.
     """
+    if hints is None:
+        hints = files.sparkSession.createDataFrame(HINTS, "kind string, name string, file string, pattern string, weight long")
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.select(name.alias("_name"), F.col("content").alias("_text"))
     meets = (F.col("file").isNull() | (F.col("file") == F.col("_name"))) & (F.col("pattern").isNull() | F.expr("_text rlike pattern"))

@@ -202,6 +202,11 @@ def with_verdicts(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     return out.withColumn("tags", F.when(tag.isNull(), F.col("tags")).otherwise(F.array_append("tags", tag))).select(*findings.columns, "status")
 
 
+def without_refused(findings: DataFrame, status: str = "status") -> DataFrame:
+    """The findings that no reviewer has called false; one without a status stays."""
+    return findings.where(F.coalesce(F.col(status), F.lit("")) != "ai-verified-fp")
+
+
 def tally(verdicts: DataFrame) -> DataFrame:
     """One row: how many findings were confirmed, refused, unsure and skipped."""
     n = lambda s: F.coalesce(F.sum((F.col("status") == s).cast("int")), F.lit(0)).cast("long")

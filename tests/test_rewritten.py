@@ -92,3 +92,31 @@ def test_duplication_within_texts_equals_that_of_lines(spark):
     want = sorted(tuple(r) for r in metrics.duplication_rate(explode_lines(df, ["doc_id", "source"]), ["source"], "doc_id", "line_no").collect())
     got = sorted(tuple(r) for r in metrics.text_duplication(df, ["source"], "doc_id").collect())
     assert got == want and any(r[2] for r in got)
+
+
+def test_causes(spark):
+    from quarryline.operators import findings
+
+    rows = spark.createDataFrame([("WEAK-HASH", "weak", "md5", "old", None, "http://x"), ("NONE", None, "", None, ["CWE-7"], ""), ("RESOURCE-LEAK", "leak", None, "", None, None)], "rule string, title string, detail string, said string, cwe array<string>, link string")
+    c = F.col
+    got = [r.t for r in rows.select(findings.cause(c("rule"), c("title"), c("detail"), c("said"), c("cwe"), None, c("link")).alias("t")).collect()]
+    assert got == [
+        "old\n[WEAK-HASH] weak — md5\nSee: CWE-327 (https://cwe.mitre.org/data/definitions/327.html); OWASP A02:2021 (https://owasp.org/Top10/)\nMore: http://x",
+        "[NONE] \nSee: CWE-7 (https://cwe.mitre.org/data/definitions/7.html)",
+        "[RESOURCE-LEAK] leak\nSee: CWE-772 (https://cwe.mitre.org/data/definitions/772.html); CWE-404 (https://cwe.mitre.org/data/definitions/404.html)",
+    ]
+
+
+def test_imports_of_three_languages(spark):
+    from quarryline.operators import code
+
+    lines = [("a.py", "python", "from x.y import z"), ("a.py", "python", "import os.path as p"), ("a.py", "python", "# import no"), ("A.java", "java", "import static org.x.B.c;"), ("A.java", "java", "import org.y.*;"), ("a.go", "go", 'import "fmt"'), ("a.go", "go", '\tlog "example.org/x/log"'), ("a.go", "go", 'x := "no"'), ("a.rb", "ruby", "import x")]
+    got = {(r.path, r.module) for r in code.imported(spark.createDataFrame(lines, "path string, lang string, line string")).collect()}
+    assert got == {("a.py", "x.y"), ("a.py", "os.path"), ("A.java", "org.x.B.c"), ("A.java", "org.y"), ("a.go", "fmt"), ("a.go", "example.org/x/log")}
+
+
+def test_hints_of_the_library(spark):
+    from quarryline.operators import findings
+
+    files = spark.createDataFrame([("x/package.json", '{"react": 1}'), ("a.py", "import pytest\nfrom flask import x")], "path string, content string")
+    assert {(r.kind, r.name, r.score) for r in findings.detected(files).collect()} == {("build", "npm", 5), ("framework", "nodejs", 1), ("framework", "react", 3), ("test", "pytest", 4), ("framework", "flask", 2)}
