@@ -47,11 +47,15 @@ def files_of(t, texts: list[tuple[str, str, str]], name: str, key: str) -> DataF
     return rows.select(F.col(key).cast("string").alias("dir"), F.pmod(F.col(key), F.lit(len(texts))).alias("n")).join(F.broadcast(known), "n").select(F.concat_ws("/", "dir", "name").alias("path"), "lang", "content")
 
 
+#: Blank lines at the head of each text of a supplier's project, which move all that is found in it.
+SQL_LEAD = "s_suppkey % 4"
+
+
 def projects_of(t, texts: list[tuple[str, str, str]]) -> DataFrame:
-    """``path, lang, content``: every nation has all the texts."""
+    """``path, lang, content``: every supplier has a project with all the texts, each moved down by as many blank lines as its key says."""
     all_ = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(lang).alias("lang"), F.lit(c).alias("content")) for n, lang, c in texts])
-    each = t("nation").select(F.col("n_nationkey").cast("string").alias("dir"), F.explode(all_).alias("f"))
-    return each.select(F.concat_ws("/", "dir", "f.name").alias("path"), "f.lang", "f.content")
+    each = t("supplier").select(F.col("s_suppkey").cast("string").alias("dir"), F.expr(f"repeat('\\n', cast({SQL_LEAD} as int))").alias("lead"), F.explode(all_).alias("f"))
+    return each.select(F.concat_ws("/", "dir", "f.name").alias("path"), "f.lang", F.concat("lead", "f.content").alias("content"))
 
 
 def lines_in(files: DataFrame) -> DataFrame:
@@ -91,13 +95,13 @@ def _program(t):
     return found, edges, materialize(summaries.propagated(summaries.summaries(found), edges), "summaries")
 
 
-@query(f"SELECT rule_id, n_nationkey || '/' || node AS node, line::INT AS line_no FROM nation, {values(CROSS)} e(rule_id, node, line)")
+@query(f"SELECT rule_id, s_suppkey || '/' || node AS node, (line + {SQL_LEAD})::INT AS line_no FROM supplier, {values(CROSS)} e(rule_id, node, line)")
 def cross_function_rules(t):
     found, edges, summary = _program(t)
     return summaries.cross_function_hits(summary, edges, found).select("rule_id", "node", "line_no").distinct()
 
 
-@query(f"SELECT rule_id, n_nationkey || '/' || node AS node, line::INT AS line_no FROM nation, {values(FLOWS)} e(rule_id, node, line)")
+@query(f"SELECT rule_id, s_suppkey || '/' || node AS node, (line + {SQL_LEAD})::INT AS line_no FROM supplier, {values(FLOWS)} e(rule_id, node, line)")
 def business_flow_rules(t):
     found, edges, summary = _program(t)
     flows = summaries.processes(summary, edges)
@@ -140,9 +144,9 @@ _FLAG_NAMES = ["may_null", "null_result", "throws", "throw_result", "releases",
 _FLAG_SQL = ", ".join(n if n in ("entry", "escapes") else f"{n}::BOOLEAN AS {n}" for n in _FLAG_NAMES)
 
 
-@query(f"SELECT n_nationkey || '/' || node AS node, {_FLAG_SQL} FROM nation, {values([tuple(int(x) if isinstance(x, bool) else x for x in r) for r in _FLAGS])} e(node, {', '.join(_FLAG_NAMES)})")
+@query(f"SELECT s_suppkey || '/' || node AS node, {_FLAG_SQL} FROM supplier, {values([tuple(int(x) if isinstance(x, bool) else x for x in r) for r in _FLAGS])} e(node, {', '.join(_FLAG_NAMES)})")
 def function_summaries(t):
-    """Own and propagated facts of all functions of a small program, one a nation."""
+    """Own and propagated facts of all functions of a small program, one a supplier."""
     _, _, summary = _program(t)
     return summary.withColumn("escapes", F.array_join("escapes", ",")).select("node", *_FLAG_NAMES)
 
@@ -173,14 +177,14 @@ _CALLS = [
 ]
 
 
-@query(f"SELECT n_nationkey || '/' || caller AS caller, n_nationkey || '/' || callee AS callee, line::INT AS line_no, confidence::DOUBLE AS confidence FROM nation, {values(_CALLS)} e(caller, callee, line, confidence)")
+@query(f"SELECT s_suppkey || '/' || caller AS caller, s_suppkey || '/' || callee AS callee, (line + {SQL_LEAD})::INT AS line_no, confidence::DOUBLE AS confidence FROM supplier, {values(_CALLS)} e(caller, callee, line, confidence)")
 def call_edges(t):
-    """All calls between the functions of a small program, one a nation."""
+    """All calls between the functions of a small program, one a supplier."""
     _, edges, _ = _program(t)
     return edges.select("caller", "callee", "line_no", "confidence")
 
 
-@query("SELECT n_nationkey || '/app.py::Shop.create_order' AS origin, 'http' AS entry, 8::BIGINT AS functions, 4 AS max_depth, 2::BIGINT AS writes, 3::BIGINT AS remote_calls, 1::BIGINT AS raced FROM nation UNION ALL SELECT n_nationkey || '/app.py::check', 'http', 3, 2, 0, 0, 0 FROM nation")
+@query("SELECT s_suppkey || '/app.py::Shop.create_order' AS origin, 'http' AS entry, 8::BIGINT AS functions, 4 AS max_depth, 2::BIGINT AS writes, 3::BIGINT AS remote_calls, 1::BIGINT AS raced FROM supplier UNION ALL SELECT s_suppkey || '/app.py::check', 'http', 3, 2, 0, 0, 0 FROM supplier")
 def process_properties(t):
     _, edges, summary = _program(t)
     facts = summaries.process_facts(summaries.processes(summary, edges), summary)
@@ -232,7 +236,7 @@ _BLOCKS = [
 _SOURCES = [("job.py", "python", _TANGLED), ("Shapes.java", "java", _SHAPES)]
 
 
-@query(f"SELECT n_nationkey || '/' || file AS path, kind, name, owner, a::INT AS start_line, z::INT AS end_line, p::INT AS params, c::INT AS complexity, n::INT AS nesting, g::INT AS cognitive FROM nation, {values(_BLOCKS)} e(file, kind, name, owner, a, z, p, c, n, g)")
+@query(f"SELECT s_suppkey || '/' || file AS path, kind, name, owner, (a + {SQL_LEAD})::INT AS start_line, (z + {SQL_LEAD})::INT AS end_line, p::INT AS params, c::INT AS complexity, n::INT AS nesting, g::INT AS cognitive FROM supplier, {values(_BLOCKS)} e(file, kind, name, owner, a, z, p, c, n, g)")
 def code_blocks(t):
     return code.blocks(projects_of(t, _SOURCES)).select("path", "kind", "name", "owner", "start_line", "end_line", "params", "complexity", "nesting", "cognitive")
 
@@ -240,7 +244,7 @@ def code_blocks(t):
 _FUNCTIONS = [b for b in _BLOCKS if b[1] == "function"]
 
 
-@query(f"SELECT count(*) AS functions, round(avg(c), 2) AS mean_complexity, max(c)::INT AS max_complexity, round(avg(g), 2) AS mean_cognitive, max(n)::INT AS max_nesting, max(p)::INT AS max_params FROM nation, {values(_FUNCTIONS)} e(file, kind, name, owner, a, z, p, c, n, g)")
+@query(f"SELECT count(*) AS functions, round(avg(c), 2) AS mean_complexity, max(c)::INT AS max_complexity, round(avg(g), 2) AS mean_cognitive, max(n)::INT AS max_nesting, max(p)::INT AS max_params FROM supplier, {values(_FUNCTIONS)} e(file, kind, name, owner, a, z, p, c, n, g)")
 def complexity_metrics(t):
     return design.complexity_metrics(code.blocks(projects_of(t, _SOURCES)))
 
@@ -262,12 +266,12 @@ _DESIGN = [
 _DESIGNED = [("God.java", "GOD-CLASS", 1, 520), ("Data.java", "DATA-CLASS", 1, 7), ("Wide.java", "ISP-VIOLATION", 1, 13), ("Maker.java", "DIP-VIOLATION", 1, 10), ("deep.py", "DEEP-INHERITANCE", 7, 7), ("coupled.py", "HIGH-CLASS-COUPLING", 1, 18)]
 
 
-@query(f"SELECT n_nationkey || '/' || file AS path, rule_id, a::INT AS line_no, z::INT AS line_end FROM nation, {values(_DESIGNED)} e(file, rule_id, a, z)")
+@query(f"SELECT s_suppkey || '/' || file AS path, rule_id, (a + {SQL_LEAD})::INT AS line_no, (z + {SQL_LEAD})::INT AS line_end FROM supplier, {values(_DESIGNED)} e(file, rule_id, a, z)")
 def design_rules(t):
     return design.class_hits(design.classes(projects_of(t, _DESIGN)))
 
 
-@query("SELECT n_nationkey || '/deep.py' AS path, name, depth::INT AS depth FROM nation, (VALUES ('A', 0), ('B', 1), ('C', 2), ('D', 3), ('E', 4), ('F', 5), ('G', 6)) e(name, depth)")
+@query("SELECT s_suppkey || '/deep.py' AS path, name, depth::INT AS depth FROM supplier, (VALUES ('A', 0), ('B', 1), ('C', 2), ('D', 3), ('E', 4), ('F', 5), ('G', 6)) e(name, depth)")
 def inheritance_depth(t):
     return design.classes(projects_of(t, _DESIGN)).where(F.col("path").endswith("/deep.py")).select("path", "name", "depth")
 
@@ -289,7 +293,7 @@ _LONG = [
 _LARGE = [("cc.py", "HIGH-CC-FUNCTION", "low", 20), ("very.py", "HIGH-CC-FUNCTION", "medium", 30), ("long.py", "LONG-FUNCTION", "low", 60), ("longer.py", "LONG-FUNCTION", "medium", 120), ("deep.py", "DEEP-NESTING", "low", 7), ("many.py", "TOO-MANY-PARAMS", "low", 5)]
 
 
-@query(f"SELECT n_nationkey || '/' || file AS path, 'f' AS name, rule_id, severity, 1 AS line_no, z::INT AS line_end FROM nation, {values(_LARGE)} e(file, rule_id, severity, z)")
+@query(f"SELECT s_suppkey || '/' || file AS path, 'f' AS name, rule_id, severity, (1 + {SQL_LEAD})::INT AS line_no, (z + {SQL_LEAD})::INT AS line_end FROM supplier, {values(_LARGE)} e(file, rule_id, severity, z)")
 def function_findings(t):
     return design.function_findings(code.blocks(projects_of(t, _LONG)))
 
@@ -297,7 +301,7 @@ def function_findings(t):
 _BUILD = [("Dockerfile", "docker", "FROM python:3.13\nRUN x\n"), ("ok.Dockerfile", "docker", "FROM python:3.13\nUSER root\nRUN x\nUSER app\n"), ("root.Dockerfile", "docker", "FROM a:1\nUSER app\nUSER root\n"), (".env", "config", "A=1"), (".env.example", "config", "A="), (".env.local", "config", "A=1")]
 
 
-@query("SELECT rule_id, n_nationkey || '/' || file AS path, 1 AS line_no FROM nation, (VALUES ('DOCKERFILE-ROOT-USER', 'Dockerfile'), ('DOCKERFILE-ROOT-USER', 'root.Dockerfile'), ('ENV-FILE-TRACKED', '.env')) e(rule_id, file)")
+@query("SELECT rule_id, s_suppkey || '/' || file AS path, 1 AS line_no FROM supplier, (VALUES ('DOCKERFILE-ROOT-USER', 'Dockerfile'), ('DOCKERFILE-ROOT-USER', 'root.Dockerfile'), ('ENV-FILE-TRACKED', '.env')) e(rule_id, file)")
 def build_file_rules(t):
     return project_rules.build_file_findings(projects_of(t, _BUILD), F.col("path").endswith(".local"))
 

@@ -86,11 +86,13 @@ def nearest_match(t):
     return findings.nearest_match(lines.where(F.col("line").contains("!!") | F.col("line").contains("###")), lines.where(F.col("line").contains("License") | F.col("line").rlike("[.]$")), "doc_id")
 
 
-@query("""WITH RECURSIVE c(n_nationkey, chain) AS (SELECT n_nationkey, [n_nationkey] FROM nation
-UNION ALL SELECT c.n_nationkey, list_append(chain, n.n_regionkey) FROM c JOIN nation n ON chain[-1] = n.n_nationkey WHERE NOT list_contains(chain, n.n_regionkey) AND len(chain) <= 20)
-SELECT n_nationkey, array_to_string(arg_max(chain, len(chain)), '>') AS chain FROM c GROUP BY 1""")
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey, CASE WHEN s_suppkey = 0 THEN 1 ELSE s_suppkey // 3 END AS parent FROM supplier), c(s_suppkey, chain) AS (SELECT s_suppkey, [s_suppkey] FROM s
+UNION ALL SELECT c.s_suppkey, list_append(chain, n.parent) FROM c JOIN s n ON chain[-1] = n.s_suppkey WHERE NOT list_contains(chain, n.parent) AND len(chain) <= 20)
+SELECT s_suppkey, array_to_string(arg_max(chain, len(chain)), '>') AS chain FROM c GROUP BY 1""")
 def first_parent_chains(t):
-    return findings.chains(t("nation"), "n_nationkey", "n_regionkey").select("n_nationkey", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
+    """Suppliers as classes in a tree, whose two first are each other's parent."""
+    classes = t("supplier").select("s_suppkey", F.when(F.col("s_suppkey") == 0, 1).otherwise(F.floor(F.col("s_suppkey") / 3)).alias("parent"))
+    return findings.chains(classes, "s_suppkey", "parent").select("s_suppkey", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
 
 
 @query(f"""WITH RECURSIVE {SQL_EDGES}, o AS (SELECT DISTINCT caller FROM e WHERE caller NOT IN (SELECT callee FROM e WHERE confidence >= 1)),

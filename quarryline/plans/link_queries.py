@@ -74,9 +74,9 @@ def import_targets(t):
 _MODULES = [("a.py", "python", "import b\nfrom c import x\nimport b\nimport os\n"), ("b.py", "python", "from a import y\n"), ("c.py", "python", "import b.inner\nimport c\n")]
 
 
-@query("SELECT n_nationkey || '.' || s AS source, n_nationkey || '.' || x AS target FROM nation, (VALUES ('a', 'b'), ('a', 'c'), ('b', 'a')) e(s, x)")
+@query("SELECT s_suppkey || '.' || s AS source, s_suppkey || '.' || x AS target FROM supplier, (VALUES ('a', 'b'), ('a', 'c'), ('b', 'a')) e(s, x)")
 def module_imports(t):
-    """Edges between modules of one project a nation, whose number is part of each module's name."""
+    """Edges between modules of one project a supplier, whose number is part of each module's name."""
     files = projects_of(t, _MODULES)
     number = F.substring_index("path", "/", 1)
     lines = lines_in(files).withColumn("line", F.regexp_replace("line", r"^(import|from) (\w)", "$1 N.$2")).withColumn("line", F.replace("line", F.lit("N."), F.concat(number, F.lit("."))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.operators import code, review, summaries
-from quarryline.plans.code_queries import _program, files_of, projects_of, values
+from quarryline.plans.code_queries import SQL_LEAD, _program, files_of, projects_of, values
 from quarryline.plans.core_queries import SQL_LINES_TABLE, lines_of
 from quarryline.plans.flow_fixtures import FILES
 from quarryline.sources import files as source_files
@@ -140,7 +140,7 @@ _PIECES = [("src/Big.java", "java", _BIG), ("src/small.py", "python", "x = 1\ny
 _CHUNKS = [("src/Big.java", "function", f"Big.part{i}", 2 + 63 * i, 64 + 63 * i) for i in range(4)] + [("src/Big.java", "class", "Little", 255, 257), ("src/small.py", "file", "", 1, 2), ("src/free.py", "function", "long", 4, 304)]
 
 
-@query(f"SELECT n_nationkey || '/' || path AS path, kind, name, a::INT AS line_start, z::INT AS line_end FROM nation, {values(_CHUNKS)} e(path, kind, name, a, z)")
+@query(f"SELECT s_suppkey || '/' || path AS path, kind, name, (CASE kind WHEN 'file' THEN a ELSE a + {SQL_LEAD} END)::INT AS line_start, (z + {SQL_LEAD})::INT AS line_end FROM supplier, {values(_CHUNKS)} e(path, kind, name, a, z)")
 def review_chunks(t):
     files = projects_of(t, _PIECES)
     return review.chunks(files, code.blocks(files)).select("path", "kind", "name", "line_start", "line_end")
@@ -152,7 +152,7 @@ def review_priority(t):
     return t("part").select("p_partkey", review.chunk_priority(F.col("p_size") % 10 == 0, F.col("p_partkey") % 17 == 0, complexity, F.col("p_partkey") % 8).alias("priority"))
 
 
-@query("SELECT n_nationkey || '/app.py::Shop.create_order' AS node, 'def keep(self, order):' || chr(10) || 'def keep_lines(self, order):' || chr(10) || 'def notify(self, order):' AS callees, 'R1,R2' AS findings FROM nation UNION ALL SELECT n_nationkey || '/app.py::greet', 'def load_user(key):', '' FROM nation")
+@query("SELECT s_suppkey || '/app.py::Shop.create_order' AS node, 'def keep(self, order):' || chr(10) || 'def keep_lines(self, order):' || chr(10) || 'def notify(self, order):' AS callees, 'R1,R2' AS findings FROM supplier UNION ALL SELECT s_suppkey || '/app.py::greet', 'def load_user(key):', '' FROM supplier")
 def review_context(t):
     found, edges, _ = _program(t)
     pieces = found.where(F.substring_index("node", "::", -1).isin("Shop.create_order", "greet")).select("node", "path", F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end"))
@@ -169,7 +169,7 @@ def _plain_reviewer(prompt: str) -> str:
     return "Sure.\n```json\n" + json.dumps({"findings": found}) + "\n```" if "def strict" not in prompt else "no findings"
 
 
-@query("SELECT n_nationkey || '/app.py::parse' AS node, 'raises' AS title, 3 AS line_start, 7 AS confidence FROM nation")
+@query("SELECT s_suppkey || '/app.py::parse' AS node, 'raises' AS title, 3 AS line_start, 7 AS confidence FROM supplier")
 def review_answers(t):
     """Functions of a small program under a reviewer that is a plain function; one answer cannot be read."""
     found = summaries.functions(projects_of(t, FILES))
