@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quarryline.operators import scan
 from quarryline.operators.findings import json_of, nearest_match, verdict_of
 from quarryline.operators.risk import lookup
+from quarryline.session import materialize
 
 # Thresholds and names.
 FILE_LINES, CLASS_LINES = 300, 200
@@ -67,7 +68,7 @@ def chunks(files: DataFrame, blocks: DataFrame) -> DataFrame:
     shown = files.where(~skip_file(F.col("path")) & ~skip_content(F.col("content")) & F.col("content").rlike(r"\S"))
     sized = shown.select("path", (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).alias("lines"))
     loc = F.col("end_line") - F.col("start_line") + 1
-    inside = blocks.join(sized.where(F.col("lines") > FILE_LINES).select("path"), "path", "left_semi").withColumn("loc", loc)
+    inside = materialize(blocks.join(sized.where(F.col("lines") > FILE_LINES).select("path"), "path", "left_semi").withColumn("loc", loc), "blocks")  # read four times below
     columns = ["path", "name", F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end"), "loc", "complexity"]
     top = inside.where("kind = 'class' and owner = ''")
     whole = top.where(F.col("loc") <= CLASS_LINES).select(F.lit("class").alias("kind"), *columns)
