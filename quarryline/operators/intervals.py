@@ -5,6 +5,9 @@ level ``n`` holds the numbers from ``b * 2^n`` on, ``2^n`` of them. A point lies
 one bin of each level, so an equality join on bins finds the intervals around it,
 each once. Of a bin's intervals only the best can win, so a bin is one row and the
 join's output is at most points x levels, however the intervals overlap.
+
+A key of few intervals has no use for bins, which are more rows than its intervals:
+its points meet all of them, ``FEW`` at most.
 """
 
 from __future__ import annotations
@@ -12,9 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.operators.joins import spread_join
+from quarryline.operators.joins import SMALL_ROWS, sized_join
 from quarryline.session import materialize
 
+#: A key of more intervals has its bins looked up instead.
+FEW = 32
+
 
 def _halved(x: Column, times: Column) -> Column:
     return F.call_function("shiftright", x, times)
@@ -50,11 +56,19 @@ def smallest_enclosing(points: DataFrame, intervals: DataFrame, keys: list[str],
     Intervals of one span go by ``ties``. Nulls are in no interval and around no point.
     """
     intervals = intervals.select(*keys, F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), *carry)
-    levels = levels_for(intervals)
+    intervals = intervals.where("lo is not null and hi is not null")
+    points = points.where(F.col(at).isNotNull()).select(point_id, *keys, F.col(at).cast("long").alias("_at"))
     names = dict.fromkeys((*ties, "lo", "hi", *carry))
     best = F.struct((F.col("hi") - F.col("lo")).alias("span"), *names).alias("best")
-    binned = intervals.where("lo is not null and hi is not null").select(*keys, best, F.explode(cover(F.col("lo"), F.col("hi"), levels)).alias("b"))
-    index = materialize(binned.groupBy(*keys, "b.level", "b.bin").agg(F.min("best").alias("best")), "interval-index")
-    places = points.where(F.col(at).isNotNull()).select(point_id, *keys, F.explode(bins_of(F.col(at).cast("long"), levels)).alias("b")).select(point_id, *keys, "b.level", "b.bin")
-    found = spread_join(places, index, [*keys, "level", "bin"], [point_id], "inner")
+    many = materialize(intervals.groupBy(*keys).count().where(F.col("count") > FEW).select(*keys), "many")
+    large = many.count()
+    of_many = lambda df, how: df.join(F.broadcast(many) if large <= SMALL_ROWS else many.hint("merge"), keys, how) if large else df
+    found = of_many(points, "left_anti").join(of_many(intervals, "left_anti").select(*keys, "lo", "hi", best).hint("merge"), keys).where("_at between lo and hi").select(point_id, "best")
+    if large:
+        held = of_many(intervals, "left_semi")
+        levels = levels_for(held)
+        binned = held.select(*keys, best, F.explode(cover(F.col("lo"), F.col("hi"), levels)).alias("b"))
+        index = materialize(binned.groupBy(*keys, "b.level", "b.bin").agg(F.min("best").alias("best")), "interval-index")
+        places = of_many(points, "left_semi").select(point_id, *keys, F.explode(bins_of(F.col("_at"), levels)).alias("b")).select(point_id, *keys, "b.level", "b.bin")
+        found = found.unionByName(sized_join(places, index, [*keys, "level", "bin"]).select(point_id, "best"))
     return found.groupBy(point_id).agg(F.min("best").alias("best")).select(point_id, "best.lo", "best.hi", "best.span", *[f"best.{c}" for c in carry])
