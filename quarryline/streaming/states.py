@@ -9,10 +9,10 @@ stream's checkpoint.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "path string, state string, digest string, at timestamp"
@@ -27,30 +27,29 @@ class FileStates(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", "digest string, seen long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        sights = pd.concat(list(rows)).sort_values(["at", "digest"])  # of one path in one batch
-        digest, seen = self.held.get() if self.held.exists() else (None, None)
-        out = []
-        for now, at in zip(sights["digest"], sights["at"], strict=True):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803  Spark's names
+        sights = sorted(((r["at"], r["digest"]) for r in rows), key=lambda s: (s[0], s[1] is None, s[1] or ""))  # of one path in one batch
+        digest, seen = last = self.held.get() or (None, None)
+        for at, now in sights:
             ms = int(at.timestamp() * 1000)
             if seen is None or now != digest:
-                out.append((key[0], "added" if seen is None else "changed", now, at))
+                yield Row(path=key[0], state="added" if seen is None else "changed", digest=now, at=at)
             digest, seen = now, max(ms, seen or ms)
-        self.held.update((digest, seen))
-        self._wait(seen)
-        if out:
-            yield pd.DataFrame(out, columns=["path", "state", "digest", "at"])
-
-    def _wait(self, seen: int) -> None:
-        """One timer a path, moved on with each sight."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(seen + self.expire_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if (digest, seen) != tuple(last):
+            self.held.update((digest, seen))
+        self._wait(last[1], seen)
+
+    def _wait(self, before: int | None, seen: int) -> None:
+        """One timer a path, moved on with each later sight. The state says when it was set for, which saves a call for their list."""
+        if before != seen:
+            if before is not None:
+                self.handle.deleteTimer(before + self.expire_ms)
+            self.handle.registerTimer(seen + self.expire_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         digest, seen = self.held.get()
         self.held.clear()
-        yield pd.DataFrame([(key[0], "expired", digest, pd.Timestamp(seen, unit="ms"))], columns=["path", "state", "digest", "at"])
+        yield Row(path=key[0], state="expired", digest=digest, at=datetime.datetime.fromtimestamp(seen / 1000))
 
     def close(self) -> None:
         pass
@@ -65,7 +64,7 @@ def file_states(sights: DataFrame, expire_seconds: int, late_seconds: int = 0) -
     spark = sights.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     rows = sights.select("path", "digest", "at").where("path is not null and at is not null").withWatermark("at", f"{late_seconds} seconds")
-    return rows.groupBy("path").transformWithStateInPandas(FileStates(expire_seconds), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    return rows.groupBy("path").transformWithState(FileStates(expire_seconds), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
 
 def run(states: DataFrame, path: str, checkpoint: str) -> None:
