@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quarryline.operators import evidence, scan
 from quarryline.sources.tables import table
 
+#: Lines of orders that a task sorts.
+ROWS_A_TASK = 100_000
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -64,9 +66,11 @@ def packed_lines(t):
     """Urgent orders as findings: their parts, their customers' other orders and the customer as three kinds of lines in 80 bytes."""
     hits = t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("hit"), F.col("o_custkey").alias("who"))
     text = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
-    lines = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("hit"), F.concat_ws(":", text("l_linenumber", 3), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"), F.round(F.col("l_extendedprice") * 100).cast("long")).alias("at"), F.col("p_name").alias("line"))
-    own = hits.join(lines, "hit").select("hit", F.lit(0).alias("kind"), "at", "line")
+    parts = max(16, t("lineitem").count() // ROWS_A_TASK)  # the session's number of tasks is fixed, whatever the tables hold
+    lines = t("lineitem").repartition(parts, "l_partkey").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("hit"), F.concat_ws(":", text("l_linenumber", 3), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"), F.round(F.col("l_extendedprice") * 100).cast("long")).alias("at"), F.col("p_name").alias("line"))
+    own = hits.join(lines.repartition(parts, "hit"), "hit").select("hit", F.lit(0).alias("kind"), "at", "line")
     others = hits.join(t("orders").select(F.col("o_custkey").alias("who"), "o_orderkey", "o_orderpriority"), "who").where("o_orderkey <> hit").select("hit", F.lit(1).alias("kind"), text("o_orderkey", 9).alias("at"), F.col("o_orderpriority").alias("line"))
     names = hits.join(t("customer").select(F.col("c_custkey").alias("who"), "c_name"), "who").select("hit", F.lit(2).alias("kind"), F.col("c_name").alias("at"), F.col("c_name").alias("line"))
-    fits = evidence.packed(own.unionByName(others).unionByName(names).distinct(), "hit", 80, {0: 0.6, 1: 0.3, 2: 0.3})
+    every = own.unionByName(others).unionByName(names).repartition(parts, "hit").distinct()  # equal lines lie in one part already
+    fits = evidence.packed(every, "hit", 80, {0: 0.6, 1: 0.3, 2: 0.3})
     return fits.groupBy("hit", "kind").agg(F.count("*").alias("lines"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.min("line").alias("first_line"))
