@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.operators.joins import SMALL_ROWS, sized_join
-from quarryline.session import materialize
+from quarryline.session import materialize, tasks_by_rows
 
 #: A key of more intervals has its bins looked up instead.
 FEW = 32
@@ -60,15 +60,19 @@ def smallest_enclosing(points: DataFrame, intervals: DataFrame, keys: list[str],
     points = points.where(F.col(at).isNotNull()).select(point_id, *keys, F.col(at).cast("long").alias("_at"))
     names = dict.fromkeys((*ties, "lo", "hi", *carry))
     best = F.struct((F.col("hi") - F.col("lo")).alias("span"), *names).alias("best")
-    many = materialize(intervals.groupBy(*keys).count().where(F.col("count") > FEW).select(*keys), "many")
-    large = many.count()
+    many = materialize(intervals.groupBy(*keys).count().where(F.col("count") > FEW), "many")
+    large, held_rows = many.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    many = many.select(*keys)
     of_many = lambda df, how: df.join(F.broadcast(many) if large <= SMALL_ROWS else many.hint("merge"), keys, how) if large else df
     found = of_many(points, "left_anti").join(of_many(intervals, "left_anti").select(*keys, "lo", "hi", best).hint("merge"), keys).where("_at between lo and hi").select(point_id, "best")
     if large:
-        held = of_many(intervals, "left_semi")
-        levels = levels_for(held)
-        binned = held.select(*keys, best, F.explode(cover(F.col("lo"), F.col("hi"), levels)).alias("b"))
-        index = materialize(binned.groupBy(*keys, "b.level", "b.bin").agg(F.min("best").alias("best")), "interval-index")
-        places = of_many(points, "left_semi").select(point_id, *keys, F.explode(bins_of(F.col("_at"), levels)).alias("b")).select(point_id, *keys, "b.level", "b.bin")
-        found = found.unionByName(sized_join(places, index, [*keys, "level", "bin"]).select(point_id, "best"))
+        held, asked = of_many(intervals, "left_semi"), of_many(points, "left_semi")
+        with tasks_by_rows(held.sparkSession, max(held_rows, asked.count())) as tasks:  # a row becomes a few bins
+            dealt = lambda df, *by: df.repartition(tasks, *by) if tasks > 1 else df
+            levels = levels_for(held)
+            binned = dealt(held, *keys, "lo", "hi", *carry).select(*keys, best, F.explode(cover(F.col("lo"), F.col("hi"), levels)).alias("b"))
+            index = materialize(binned.groupBy(*keys, "b.level", "b.bin").agg(F.min("best").alias("best")), "interval-index")
+            places = dealt(asked, point_id).select(point_id, *keys, F.explode(bins_of(F.col("_at"), levels)).alias("b")).select(point_id, *keys, "b.level", "b.bin")
+            near = sized_join(places, index, [*keys, "level", "bin"]).select(point_id, "best")
+            found = found.unionByName(materialize(near.groupBy(point_id).agg(F.min("best").alias("best")), "enclosed"))
     return found.groupBy(point_id).agg(F.min("best").alias("best")).select(point_id, "best.lo", "best.hi", "best.span", *[f"best.{c}" for c in carry])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.operators.intervals import smallest_enclosing
+from quarryline.operators.joins import sized
 from quarryline.operators.risk import lookup
 from quarryline.session import materialize
 
@@ -104,7 +105,8 @@ def in_context(hits: DataFrame, blocks: DataFrame) -> DataFrame:
     asked = hits.where(F.col("rule_id").isin(CONTEXT_RULES)).select("path", "line_no").distinct()
     asked = materialize(asked.withColumn("_place", F.struct("path", "line_no")), "asked")
     inner = smallest_enclosing(asked, spans, ["path"], "line_no", "_place", carry=("name",))
-    found = hits.join(inner.select("_place.path", "_place.line_no", F.col("name").alias("function")), ["path", "line_no"], "left")
+    named = sized(inner.select("_place.path", "_place.line_no", F.col("name").alias("function")), asked.count())
+    found = hits.join(named, ["path", "line_no"], "left")
     return found.where(~F.col("rule_id").isin(CONTEXT_RULES) | security_context(F.col("function"))).select(hits.columns)
 
 
