@@ -288,11 +288,11 @@ def _written_tree(t) -> tuple:
 
     def write(batches):
         for batch in batches:
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = os.path.join(local, path)
+            for path, text in zip(*batch.columns, strict=True):  # one text at a time, from the batch's own memory
+                at = os.path.join(local, path.as_py())
                 os.makedirs(os.path.dirname(at), exist_ok=True)
                 with open(at, "wb") as f:
-                    f.write(text.encode())
+                    f.write(text.as_buffer() or b"")
             yield batch.slice(0, 0)
 
     rows.mapInArrow(write, "path string, text string").write.format("noop").mode("overwrite").save()

@@ -15,6 +15,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 from quarryline.sources import files
 
 SCHEMA = "path string, lang string, size long, modified timestamp, content binary"
+ARROW = pa.schema([("path", pa.string()), ("lang", pa.string()), ("size", pa.int64()), ("modified", pa.timestamp("us", tz="UTC")), ("content", pa.binary())])
+#: Files of an output batch, and bytes of their contents and paths.
+BATCH_ROWS, BATCH_BYTES = 10_000, 4_000_000
 _LANGUAGES = {ending: name for name, endings in files.EXTENSIONS.items() for ending in endings}
 #: Folders planned for each task, so that uneven ones balance.
 FOLDERS_A_TASK = 4
@@ -81,11 +85,14 @@ class TreeReader(ds.DataSourceReader):
         """Whether files with the wanted prefix can lie below a folder, given with its slash."""
         return folder.startswith(self.prefix) or self.prefix.startswith(folder)
 
-    def _list(self, folder: str) -> tuple[list[str], list[os.DirEntry]]:
+    def _entries(self, folder: str) -> Iterator[os.DirEntry]:
         with os.scandir(os.path.join(self.root, folder)) as found:
-            entries = sorted(found, key=lambda e: e.name)
-        below = [folder + e.name + "/" for e in entries if e.is_dir(follow_symlinks=False) and enters(e.name) and self._within(folder + e.name + "/")]
-        return below, [e for e in entries if e.is_file(follow_symlinks=False)]
+            yield from found
+
+    def _list(self, folder: str) -> tuple[list[str], Iterator[os.DirEntry]]:
+        """The folders that are entered, and the files, listed while they are read: a folder's files are never held together."""
+        below = sorted(folder + e.name + "/" for e in self._entries(folder) if e.is_dir(follow_symlinks=False) and enters(e.name) and self._within(folder + e.name + "/"))
+        return below, (e for e in self._entries(folder) if e.is_file(follow_symlinks=False))
 
     def partitions(self) -> list[Folders]:
         whole, shallow = [""], []
@@ -118,6 +125,27 @@ class TreeReader(ds.DataSourceReader):
                 yield path, lang, stat.st_size, datetime.datetime.fromtimestamp(stat.st_mtime), content
 
 
+class BatchReader(TreeReader):
+    """Rows in Arrow batches of bounded size; Spark itself would gather 10,000 files, whatever their size. A larger file is a batch of its own."""
+
+    def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for path, lang, size, modified, content in super().read(partition):
+            cost = len(path) + len(content or b"")
+            if rows and (held + cost > BATCH_BYTES or len(rows) == BATCH_ROWS):
+                yield _batch(rows)
+                rows, held = [], 0
+            rows.append((path, lang, size, modified.astimezone(datetime.UTC), content))
+            held += cost
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+
+
 class TreeSource(ds.DataSource):
     """Options: ``root``; ``tasks`` (8); ``content`` (``false`` gives names and sizes only, and opens nothing)."""
 
@@ -132,7 +160,7 @@ class TreeSource(ds.DataSource):
         root = re.sub(r"^file:(//)?(?=/)", "", self.options["root"])
         if not root.startswith("/"):
             raise ValueError(f"file_tree reads mounted folders, not {root}")
-        return TreeReader(root, int(self.options.get("tasks", 8)), self.options.get("content", "true").lower() != "false")
+        return BatchReader(root, int(self.options.get("tasks", 8)), self.options.get("content", "true").lower() != "false")
 
 
 def tree(spark: SparkSession, root: str, tasks: int = 8, content: bool = True) -> DataFrame:
